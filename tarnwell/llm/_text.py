@@ -25,6 +25,10 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def times(constant: np.uint64, n: int) -> np.uint64:
+    return np.uint64(int(constant) * n % (1 << 64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -102,7 +106,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
         at = first + k
         there = at < last
         term = np.zeros(len(first), np.uint64)
-        term[there] = mix(hashes[np.minimum(at, max(total - 1, 0))[there]] + np.uint64(k + 1) * BASE)
+        term[there] = mix(hashes[np.minimum(at, max(total - 1, 0))[there]] + times(BASE, k + 1))
         out = out * BASE + term
     return mix(out), number
 
