@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import sys
 import tempfile
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def by_value(name: str) -> None:
-    """Send the functions of module ``name`` to Python workers by value, so that executors need no copy of the library."""
-    cloudpickle.register_pickle_by_value(sys.modules[name])
+    """Unless PYTHONPATH, which workers share, has the library: send the functions of module ``name`` by value."""
+    if ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
