@@ -224,8 +224,10 @@ def _of_length(spark, ints: DataFrame, k: int, block_rows: int, group_rows: int,
     def meet(asked: DataFrame) -> DataFrame:
         """asked: queries with to_cell, to_block and group. Blocks are sent once for every group that asks for them."""
         asks = asked.select("to_cell", "to_block", F.col("cell").alias("from_cell"), "group").distinct()
-        sent = data.join(asks, (data["cell"] == asks["to_cell"]) & (data["block"] == asks["to_block"])).select("id", "v", "to_cell", "to_block", "from_cell", "group")
+        asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])
+        sent = data.withColumnsRenamed({"cell": "in_cell", "block": "in_block"}).join(asks, (F.col("in_cell") == F.col("to_cell")) & (F.col("in_block") == F.col("to_block")))
         keys = ["to_cell", "to_block", "from_cell", "group"]
+        sent = sent.select(*[F.col(c).alias(c) for c in ("id", "v", *keys)])  # columns of its own: both sides come from one table
         asked = asked.withColumn("from_cell", F.col("cell"))
         return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_searcher(k), fields)
 

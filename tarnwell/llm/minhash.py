@@ -16,6 +16,7 @@ Classes are the connected components of all confirmed links between texts that m
 class need no further test, which is what keeps large groups cheap and loses nothing: in each round every
 bucket that still holds several classes compares all its members with one pivot text, links merge classes,
 and the last round compares whatever is left across classes. Buckets that hold one class stop.
+Shingles that only one text has bound what a text can share, which drops texts and pairs that can't link.
 Exact copies are one text from the start. Components are found by label contraction over written tables;
 nothing of document number is collected.
 
@@ -163,7 +164,9 @@ def _hopeful(a: str, b: str, threshold: float) -> Column:
     apart = sum((F.bit_count(F.col(f"{a}s{s}").bitwiseXOR(F.col(f"{b}s{s}"))) for s in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
     k = min(BANDS * ROWS, SKETCH_WORDS * 64)
     p = (1 - threshold) / 2
-    return sizes & (apart <= F.lit(int(k * p + 6 * (k * p * (1 - p)) ** 0.5)))
+    # No pair shares more than the shingles of either that some other text has at all.
+    reach = F.least(F.col(f"{a}common"), F.col(f"{b}common")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.col(f"{a}n") + F.col(f"{b}n")) - F.lit(1e-9)
+    return sizes & reach & (apart <= F.lit(int(k * p + 6 * (k * p * (1 - p)) ** 0.5)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -190,8 +193,14 @@ def classes(
     own = docs.select(F.col(key).alias("rep"), _node(text).alias("node"), F.col(text).alias("text"))
     own = own.join(reps.withColumnRenamed("rep", "r"), "node").where(F.col("rep").eqNullSafe(F.col("r"))).select("node", "text")
     sets = written(own.mapInArrow(_setter(width), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "sets")
-    labels = written(sets.select("node", F.col("node").alias("label")), "labels")
-    members = members.select("bucket", "node", "n", *sketch)
+    # Shingles that a single text has: no link can use them, and a text with too few others has no link.
+    single = sets.select("node", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    single = single.groupBy("node").agg(F.count("*").alias("own"))
+    linked = sets.select("node", F.size("set").alias("n")).join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    linked = written(linked.where(F.col("common") >= F.lit(threshold) * F.col("n") - F.lit(1e-9)).select("node", "common"), "linked")
+    labels = written(linked.select("node", F.col("node").alias("label")), "labels")
+    sketch = ["common", *sketch]
+    members = written(members.join(linked, "node").select("bucket", "node", "n", *sketch), "linkable")
     for turn in range(pivots + 1):
         now = members.join(labels, "node")
         head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)]))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, ppm, sharding
+from . import covertree, licenses, minhash, mixing, packing, ppm, quality, rules, sharding, toxicity
 
 QUERIES = {
+    "op1_cover_tree_topk": covertree.op1_cover_tree_topk,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_bestfit_packing": packing.op3_bestfit_packing,
+    "op4_license_dice": licenses.op4_license_dice,
     "op5_entropy_mix": mixing.op5_entropy_mix,
     "op6_vector_sharding": sharding.op6_vector_sharding,
+    "op7_weak_quality": quality.op7_weak_quality,
     "op8_dart_minhash": minhash.op8_dart_minhash,
     "op9_ppm_lm": ppm.op9_ppm_lm,
+    "op10_weak_rules": rules.op10_weak_rules,
 }
 ORACLE_SQL: dict[str, str] = {}

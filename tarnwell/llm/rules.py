@@ -31,10 +31,6 @@ def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-#: name -> vote; each reads the columns of _stats.COUNTS.
-RULES: dict[str, Column] = {}
-
-
 def rules() -> dict[str, Column]:
     """The rule set. Thresholds are shares, so that they hold for texts of any length."""
     n = F.col("n_words")
@@ -43,7 +39,9 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n < 10, n >= 40),
         "repeats": _vote(_share("n_repeat_words", "n_words") > 0.2, some & (_share("n_repeat_words", "n_words") <= 0.1) & (n >= 10)),
+        "loops": _vote(_share("n_repeat_words", "n_words") > 0.5, some & (_share("n_repeat_words", "n_words") <= 0.05) & (n >= 10)),
         "signs": _vote(_share("n_signed_words", "n_words") > 0.2, some & (_share("n_signed_words", "n_words") <= 0.02)),
+        "symbols": _vote(_share("n_symbols", "word_chars") > 0.03, some & (_share("n_symbols", "word_chars") <= 0.005)),
         "capitals": _vote(_share("n_upper", "n_letters") > 0.4, (F.col("n_letters") > 20) & (_share("n_upper", "n_letters") < 0.15)),
         "lines": _vote((F.col("n_lines") >= 2) & (_share("n_dup_lines", "n_lines") > 0.25), (F.col("n_lines") >= 2) & (F.col("n_dup_lines") == 0)),
         "word_size": _vote(some & ((size < 2.5) | (size > 12)), (size >= 3.5) & (size <= 9)),
@@ -53,24 +51,20 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(votes: np.ndarray, n: np.ndarray, steps: int = 200, prior: float = 1.0, start: float = 0.85) -> dict:
-    """votes: (patterns, rules) of -1, 0, 1; n: documents of each. Class share, vote rates and posteriors.
+def estimate(votes: np.ndarray, n: np.ndarray, steps: int = 200, prior: float = 0.01, start: float = 0.8) -> dict:
+    """votes: (patterns, rules) of -1, 0, 1; n: documents of each. Class share, drop rates and posteriors.
 
-    Starts from each rule being right with probability ``start``; ``prior`` counts smooth the vote rates.
+    An abstention says nothing; ``drop[c, r]`` is the share of drop votes among the votes of rule r on class c
+    (0 bad, 1 good). Starts from a share ``start`` of good documents, among which drop votes are a fifth as
+    common as overall; ``prior`` smooths the rates.
     """
-    good = 0.5
-    n = n.astype(float)
-    rate = np.zeros((2, votes.shape[1], 3))  # class, rule, vote + 1
-    for v in range(3):
-        seen = (n @ (votes == v - 1) + prior) / (n.sum() + 3 * prior)
-        rate[:, :, v] = seen
-    both = rate[0, :, 1] + rate[0, :, 2]
-    for c in range(2):
-        rate[c, :, 1 + c], rate[c, :, 2 - c] = both * start, both * (1 - start)
+    good, n = start, n.astype(float)
+    down, up = (votes == 0).astype(float), (votes == 1).astype(float)
+    overall = (n @ down + prior) / (n @ (down + up) + 2 * prior)
+    drop = np.stack([np.minimum(0.95, overall * (1 - 0.2 * start) / (1 - start)), 0.2 * overall])
     post = np.full(len(n), 0.5)
     for _ in range(steps):
-        logs = np.stack([sum(np.log(rate[c, r, votes[:, r] + 1]) for r in range(votes.shape[1])) for c in range(2)], axis=1) if len(n) else np.zeros((0, 2))
-        logs += np.log([1 - good, good])
+        logs = down @ np.log(drop).T + up @ np.log(1 - drop).T + np.log([1 - good, good])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
         done = len(n) == 0 or np.abs(new - post).max() < 1e-9
         post = new
@@ -78,10 +72,9 @@ def estimate(votes: np.ndarray, n: np.ndarray, steps: int = 200, prior: float =
             break
         good = float(np.clip((n @ post) / n.sum(), 1e-6, 1 - 1e-6))
         for c, w in ((0, n * (1 - post)), (1, n * post)):
-            for v in range(3):
-                rate[c, :, v] = (w @ (votes == v - 1) + prior * 0.01) / (w.sum() + 0.03 * prior)
-    accuracy = (rate[1, :, 2] * good + rate[0, :, 1] * (1 - good)) / np.maximum((rate[:, :, 1:].sum(axis=2) * np.array([[1 - good], [good]])).sum(axis=0), 1e-300)
-    return {"good": good, "rate": rate, "posterior": post, "accuracy": accuracy}
+            drop[c] = (w @ down + prior) / (w @ (down + up) + 2 * prior)
+    right = good * (1 - drop[1]) + (1 - good) * drop[0]
+    return {"good": good, "drop": drop, "posterior": post, "accuracy": right}
 
 
 def judged(counted: DataFrame, rule_set: dict[str, Column] | None = None) -> DataFrame:
