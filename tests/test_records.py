@@ -273,7 +273,7 @@ def test_registry(spark):
     assert __spark_entry__.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", ["sma_50_200", "ema_macd", "rsi_14", "technical_facts", "near_dup_overlap", "accept_records", "stratified_split"])
+@pytest.mark.parametrize("name", ["sma_50_200", "ema_macd", "rsi_14", "technical_facts", "near_dup_overlap", "accept_records"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "documents", "labels", "pages", "conversations"):
