@@ -62,6 +62,12 @@ def discard(*frames: DataFrame) -> None:
                 break
 
 
+def others(docs: DataFrame, *taken: str) -> list[str]:
+    """Columns of ``docs`` but those in ``taken``: an operator's own columns replace equally named ones."""
+    names = {t.lower() for t in taken}
+    return [c for c in docs.columns if c.lower() not in names]
+
+
 def id_fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

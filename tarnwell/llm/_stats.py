@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as tx
-from ._common import by_value
+from ._common import by_value, others
 
 WINDOW = 5
 by_value(__name__)
@@ -127,6 +127,6 @@ def _runner(names: list[str]):
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Other columns of ``docs`` and the COUNTS of each whole text; null counts as empty."""
-    keep = [c for c in docs.columns if c != text]
+    keep = others(docs, text, *COUNTS)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{c} long" for c in COUNTS]
     return docs.select(*keep, text).mapInArrow(_runner(keep), ", ".join(fields))

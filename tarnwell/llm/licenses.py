@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as tx
-from ._common import by_value, table
+from ._common import by_value, others, table
 
 THRESHOLD = 0.85
 for _m in (__name__, tx.__name__):
@@ -141,7 +141,7 @@ def _scanner(names: list[str], texts: dict[str, str], threshold: float):
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Other columns of ``docs`` with license, dice and the bytes of the best segment; null where nothing matches."""
-    keep = [c for c in docs.columns if c != text]
+    keep = others(docs, text, "license", "dice", "start_byte", "end_byte")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["license string, dice double, start_byte long, end_byte long"]
     return docs.select(*keep, text).mapInArrow(_scanner(keep, templates or TEMPLATES, threshold), ", ".join(fields))
 

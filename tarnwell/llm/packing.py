@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, spread, table, written
+from ._common import by_value, others, spread, table, written
 
 CAPACITY, CLOSING_ID, OPEN_BINS, ITEMS_PER_TASK, WORDS_HELD = 4096, 1, 256, 40_000, 200_000
 VOCABULARY = "word_bpe_49k.json"
 for _m in (__name__, tx.__name__):
     by_value(_m)
+_PACKED = ("bin", "offset", "left_open", "own", "up", "base")
 _HELD: dict = {}
 
 
@@ -97,7 +98,7 @@ def _cutter(vocabulary: str, capacity: int, closing: int, names: list[str], with
 
 def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, closing: int = CLOSING_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: the other columns of ``docs``, piece, start, length, ids_crc32 and, if asked for, ids."""
-    keep = [c for c in docs.columns if c != text]
+    keep = others(docs, text, "piece", "start", "length", "ids_crc32", "ids", "sequence_id", *_PACKED)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["piece int, start long, length long, ids_crc32 long"]
     fields += ["ids binary"] * with_ids
     return docs.select(*keep, text).mapInArrow(_cutter(vocabulary, capacity, closing, keep, with_ids), ", ".join(fields))
@@ -177,7 +178,7 @@ def _packer(capacity: int, open_bins: int, size: str, names: list[str]):
 
 def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """``items``, a written table, with sequence_id and offset; sizes are 1 to ``capacity``."""
-    level, joined, depth = items, None, 0
+    level, joined, depth = items.select(*others(items, "sequence_id", *_PACKED)), None, 0
     while True:
         count = level.count()
         tasks = max(1, -(-count // per_task))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _stats, rules
 from . import _text as tx
-from ._common import by_value, table, written
+from ._common import by_value, others, table, written
 
 BITS, TRAIN_ROWS, CUT = 14, 20_000, 0.5
 for _m in (__name__, tx.__name__, _stats.__name__):
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "quality") -> DataFrame:
     """Other columns of ``docs`` and the quality of each whole text, 0 to 1."""
-    keep = [c for c in docs.columns if c != text]
+    keep = others(docs, text, out)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"]
     return docs.select(*keep, text).mapInArrow(_scorer(keep, *model, out), ", ".join(fields))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, id_fold, table
+from ._common import by_value, id_fold, others, table
 
 TRAIN_ROWS, MOST_ENTRIES, CUT = 20_000, 4_000, 0.3
 PREFIXES = (4, 5, 6, 7)
@@ -245,7 +245,7 @@ def _scorer(lexicon: Lexicon, names: list[str]):
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
     """Other columns of ``docs`` and the score of each whole text."""
-    keep = [c for c in docs.columns if c != text]
+    keep = others(docs, text, out)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"]
     return docs.select(*keep, text).mapInArrow(_scorer(lexicon, [*keep, out]), ", ".join(fields))
 
