@@ -159,14 +159,14 @@ def contract(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _hopeful(a: str, b: str, threshold: float) -> Column:
-    """Sizes allow the similarity, and the one-bit coordinates do not rule it out (6 standard deviations)."""
+    """Sizes allow the similarity, and the one-bit coordinates do not rule it out (5 standard deviations)."""
     sizes = F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * F.lit(threshold)
     apart = sum((F.bit_count(F.col(f"{a}s{s}").bitwiseXOR(F.col(f"{b}s{s}"))) for s in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
     k = min(BANDS * ROWS, SKETCH_WORDS * 64)
     p = (1 - threshold) / 2
     # No pair shares more than the shingles of either that some other text has at all.
     reach = F.least(F.col(f"{a}common"), F.col(f"{b}common")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.col(f"{a}n") + F.col(f"{b}n")) - F.lit(1e-9)
-    return sizes & reach & (apart <= F.lit(int(k * p + 6 * (k * p * (1 - p)) ** 0.5)))
+    return sizes & reach & (apart <= F.lit(int(k * p + 5 * (k * p * (1 - p)) ** 0.5)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -203,16 +203,20 @@ def classes(
     members = written(members.join(linked, "node").select("bucket", "node", "n", *sketch), "linkable")
     for turn in range(pivots + 1):
         now = members.join(labels, "node")
-        head = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)]))
+        # First the member with the fewest shingles of its own, which is the one nearest to all others; then any.
+        own = F.lit(0.0) if turn else 1 - F.col("common") / F.col("n")
+        head = F.min(F.struct(own.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)]))
         live = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), head.alias("p")).where("lo <> hi")
         if turn < pivots:
             pairs = now.join(live.select("bucket", "p.*"), "bucket").where((F.col("label") != F.col("p_label")) & _hopeful("", "p_", threshold))
             pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
         else:
-            # What is left: buckets of several classes. Each member meets the members of other classes, smaller names first.
-            rest = now.join(live.select("bucket"), "bucket", "left_semi")
-            other = rest.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)])
-            pairs = rest.join(other, "bucket").where((F.col("node") < F.col("p_node")) & (F.col("label") != F.col("p_label")) & _hopeful("", "p_", threshold))
+            # What is left: buckets of several classes. Each member meets the members of other classes, in the first
+            # bucket that the two share.
+            rest = now.join(live.select("bucket"), "bucket", "left_semi").join(texts.select("node", "bands"), "node")
+            other = rest.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", "bands", *sketch)])
+            first = F.array_intersect("bands", "p_bands")[0] == F.col("bucket")
+            pairs = rest.join(other, "bucket").where((F.col("node") < F.col("p_node")) & (F.col("label") != F.col("p_label")) & _hopeful("", "p_", threshold) & first)
             pairs = pairs.select(F.col("node").alias("a"), F.col("p_node").alias("b"))
         pairs = written(pairs.distinct(), "pairs")
         if pairs.isEmpty():
@@ -227,13 +231,11 @@ def classes(
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row per class: the row of the smallest key, and of equal rows one."""
-    got = classes(docs, key, text, **options)
+    got = classes(docs.select(key, text), key, text, **options)
     stay = got.where(F.col("class_id").eqNullSafe(F.col(key))).select(F.col(key).alias("__key"), F.col("node").alias("__node")).distinct()
-    named = docs.withColumn("__text", _node(text))
-    kept = named.join(stay, named[key].eqNullSafe(stay["__key"]) & named["__text"].eqNullSafe(stay["__node"]))
-    others = [c for c in docs.columns if c != key]
-    one = kept.groupBy(key, "__text").agg(*[F.first(c).alias(c) for c in others])
-    return one.select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), _node(text).alias("n"))
+    kept = row.join(stay, F.col("k").eqNullSafe(F.col("__key")) & F.col("n").eqNullSafe(F.col("__node")))
+    return kept.groupBy("k", "n").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op8_dart_minhash(spark, sf_dir: str) -> DataFrame:
