@@ -38,9 +38,8 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.lexsort((np.arange(len(items)), -share[:, 0])):
         fits = residual[:, 0] >= share[i, 0]
         score = residual @ (share[i] * weight)
-        if fits.any():
-            score = np.where(fits, score, -np.inf)
-        s = int(np.argmax(score))
+        # Where it fits nowhere, the emptiest shard takes it, which keeps the law of near equal bytes.
+        s = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else residual[:, 0]))
         out[i] = s
         residual[s] -= share[i]
     return out

@@ -258,7 +258,7 @@ def test_newton_finds_the_multiplier(spark):
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_shards_balance_and_number_their_rows(spark, request, which):
     rows = request.getfixturevalue(which)
-    got = sharding.shard(rows, ["doc_id"], cells=64, cell_rows=7).collect()
+    got = sharding.shard(rows, ["doc_id"], cells=512, cell_rows=7).collect()
     assert len(got) == rows.count()
     slots, load, groups = defaultdict(list), Counter(), defaultdict(set)
     for r in got:
