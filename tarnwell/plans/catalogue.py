@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules
 from ..functions.scalar import normalized, r6, redacted, title_key, word_count
 from ..operators import dataset, evidence, signals, text, timeseries
 from ..sources import bars
@@ -534,3 +535,29 @@ def trace_stats(spark, sf_dir):
 def event_day_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("event_type").alias("series"), F.date_trunc("day", "ts").alias("d")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_FULL} SELECT series, bool_and(coalesce(rsi BETWEEN 0 AND 100, true)) AS rsi_ok, bool_and(coalesce(bb_lower <= bb_middle AND bb_middle <= bb_upper, true)) AS bands_ok FROM signal GROUP BY 1")
+def indicator_sanity(spark, sf_dir):
+    ok = rules.indicator_sanity()
+    return timeseries.with_indicators(bars.validated(_bars(spark, sf_dir))).groupBy("series").agg(F.bool_and(ok["rsi"]).alias("rsi_ok"), F.bool_and(ok["bands"]).alias("bands_ok"))
+
+
+# Recommendations: the first 300 characters of a document as reasoning, its label as signal. RE2 has no look-around, so the SQL marks breaks first.
+_SENTENCES = "string_split(regexp_replace(regexp_replace(trim(r), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS r, CASE WHEN doc_id % 3 = 0 THEN 'BULLISH' WHEN doc_id % 3 = 1 THEN 'NEUTRAL' ELSE 'HOLD' END AS signal FROM documents), s AS (SELECT *, {_SENTENCES} AS x FROM d)
+ SELECT doc_id, signal IN ('BULLISH', 'BEARISH', 'NEUTRAL') AS signal_ok, CAST(len(x) AS INTEGER) AS n_sentences, len(x) BETWEEN 3 AND 5 AS sentences_ok,
+ len(list_filter(x, lambda y : NOT regexp_matches(y, '[.!?]\\z'))) = 0 AS closed_ok FROM s""")
+def recommendation_rules(spark, sf_dir):
+    i = F.col("doc_id")
+    x = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("reasoning"), F.when(i % 3 == 0, "BULLISH").when(i % 3 == 1, "NEUTRAL").otherwise("HOLD").alias("signal"))
+    ok = rules.recommendation()
+    return x.select("doc_id", ok["signal"].alias("signal_ok"), F.size(rules.sentences(F.col("reasoning"))).alias("n_sentences"), ok["sentences"].alias("sentences_ok"), ok["closed"].alias("closed_ok"))
+
+
+@query(f"""WITH {_SENT}, a AS (SELECT source, {_AGG} FROM s GROUP BY 1) SELECT source, successful_count + failed_count AS total_count, positive_count + negative_count + neutral_count = successful_count AS adds_up FROM a""")
+def sentiment_coverage(spark, sf_dir):
+    x = evidence.sentiment_aggregate(_sentiments(spark, sf_dir), "source")
+    return x.select("source", (F.col("successful_count") + F.col("failed_count")).alias("total_count"), (F.col("positive_count") + F.col("negative_count") + F.col("neutral_count") == F.col("successful_count")).alias("adds_up"))
