@@ -88,9 +88,10 @@ def overlap_candidates(df: DataFrame, threshold: float = NEAR) -> DataFrame:
     right = prefix.where("df > 1").select("w", "k", F.col("id").alias("b"), F.col("n").alias("lb"))
     near_size = 2 * F.least("la", "lb") >= F.lit(threshold) * (F.col("la") + F.col("lb")) - F.lit(1e-9)
     pairs = left.join(right, ["w", "k"]).where((F.col("a") < F.col("b")) & near_size).select("a", "b", "la", "lb").distinct()
-    x = pairs.join(counted.select(F.col("id").alias("a"), "w", F.col("times").alias("ta")), "a")
-    x = x.join(counted.select(F.col("id").alias("b"), "w", F.col("times").alias("tb")), ["b", "w"])
-    got = x.groupBy("a", "b", "la", "lb").agg(F.sum(F.least("ta", "tb")).alias("overlap"))
+    # The exact overlap of a pair: common (word, occurrence) elements, each text's in one array.
+    bags = elements.groupBy("id").agg(F.collect_list(F.xxhash64("w", "k")).alias("bag"))
+    x = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ba")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bb")), "b")
+    got = x.select("a", "b", "la", "lb", F.size(F.array_intersect("ba", "bb")).cast("long").alias("overlap"))
     return got.where(2 * F.col("overlap") >= F.lit(threshold) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
 
 
