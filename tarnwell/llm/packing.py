@@ -16,6 +16,7 @@ other is cut. Repeated rows are packed once each. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._common import by_value, others, spread, table, written
 
-CAPACITY, CLOSING_ID, OPEN_BINS, ITEMS_PER_TASK, WORDS_HELD = 4096, 1, 256, 40_000, 200_000
+CAPACITY, CLOSING_ID, OPEN_BINS, ITEMS_PER_TASK, WORDS_HELD = 4096, 1, 256, 40_000, 600_000
 VOCABULARY = "word_bpe_49k.json"
 for _m in (__name__, tx.__name__):
     by_value(_m)
@@ -36,7 +37,7 @@ _HELD: dict = {}
 
 
 def _tokenizer(path: str):
-    """The worker's tokenizer and its word memory."""
+    """The worker's tokenizer and what it remembers of words."""
     if path not in _HELD:
         import os
 
@@ -53,18 +54,40 @@ def _tokenizer(path: str):
     return _HELD[path]
 
 
+#: Points and commas that close a word of ASCII letters or digits: tokens of their own, which a space sets apart.
+_CLOSING = re.compile(rb"(?<=[a-z0-9])[.,]+(?=[\t-\r ]|$)")
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Words as the tokenizer sees them, without case. Texts that may hold a special token keep it, as those are told by case."""
+    if b"<|" in text:
+        return text.split()
+    return _CLOSING.sub(rb" \g<0>", text.lower()).split()
+
+
+def _encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
+    """Ids of each word. Words go in lines of 256, which costs half of one by one; a token belongs to the word where it starts."""
+    texts = [w.decode() for w in words]
+    lines = [texts[i : i + 256] for i in range(0, len(texts), 256)]
+    out: list[bytes] = []
+    for line, e in zip(lines, tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        starts = np.cumsum([0, *[len(w) + 1 for w in line]])
+        ids = np.array(e.ids, "<u4").tobytes()
+        at = np.array([o[0] for o in e.offsets], np.int64)
+        cut = (4 * np.searchsorted(at, starts)).tolist()
+        out += [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
 def encode(texts: list[bytes], vocabulary: str = VOCABULARY) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
     tokenizer, held = _tokenizer(vocabulary)
-    parts = [t.split() for t in texts]
+    parts = [_split(t) for t in texts]
     if len(held) > WORDS_HELD:
         held.clear()
-    new = list({w for p in parts for w in p}.difference(held))
-    for i in range(0, len(new), 4096):
-        chunk = new[i : i + 4096]
-        for w, e in zip(chunk, tokenizer.encode_batch([w.decode() for w in chunk], add_special_tokens=False), strict=True):
-            held[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([held[w] for w in p]) for p in parts]
+    fresh = list(set().union(*parts).difference(held))
+    held.update(zip(fresh, _encode_words(tokenizer, fresh), strict=True))
+    return [b"".join(map(held.__getitem__, p)) for p in parts]
 
 
 def _cutter(vocabulary: str, capacity: int, closing: int, names: list[str], with_ids: bool):
