@@ -178,11 +178,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(
-    docs: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, weights: str = "set"
+    docs: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, weights: str = "set", also: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per row of ``docs``: ``key``, node (name of its text; null for null text) and class_id, the smallest key of its class."""
-    fields = f"`{key}` {dict(docs.dtypes)[key]}, node long, n int, bands array<long>, " + ", ".join(f"s{s} long" for s in range(SKETCH_WORDS))
-    signed = docs.select(key, _node(text).alias("node"), text).mapInArrow(_signer([key, "node"], bands, rows, width, weights), fields)
+    """One row per row of ``docs``: ``key``, node (name of its text; null for null text), the columns ``also`` and class_id, the smallest key of its class."""
+    own = [key, *also]
+    fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own) + ", node long, n int, bands array<long>, " + ", ".join(f"s{s} long" for s in range(SKETCH_WORDS))
+    signed = docs.select(*own, _node(text).alias("node"), text).mapInArrow(_signer([*own, "node"], bands, rows, width, weights), fields)
     signed = written(signed, "signatures")
     sketch = [f"s{s}" for s in range(SKETCH_WORDS)]
     texts = signed.where("node is not null and n > 0").groupBy("node").agg(F.min(key).alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", *sketch)])
@@ -190,13 +191,13 @@ def classes(
     shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = written(member.join(shared, "bucket"), "buckets")
     reps = members.select("node", "rep").distinct()
-    own = docs.select(F.col(key).alias("rep"), _node(text).alias("node"), F.col(text).alias("text"))
-    own = own.join(reps.withColumnRenamed("rep", "r"), "node").where(F.col("rep").eqNullSafe(F.col("r"))).select("node", "text")
-    sets = written(own.mapInArrow(_setter(width), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    whole = docs.select(F.col(key).alias("rep"), _node(text).alias("node"), F.col(text).alias("text"))
+    whole = whole.join(reps.withColumnRenamed("rep", "r"), "node").where(F.col("rep").eqNullSafe(F.col("r"))).select("node", "text")
+    sets = written(whole.mapInArrow(_setter(width), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "sets")
     # Shingles that a single text has: no link can use them, and a text with too few others has no link.
     single = sets.select("node", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    single = single.groupBy("node").agg(F.count("*").alias("own"))
-    linked = sets.select("node", F.size("set").alias("n")).join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    single = single.groupBy("node").agg(F.count("*").alias("single"))
+    linked = sets.select("node", F.size("set").alias("n")).join(single, "node", "left").select("node", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("common"))
     linked = written(linked.where(F.col("common") >= F.lit(threshold) * F.col("n") - F.lit(1e-9)).select("node", "common"), "linked")
     labels = written(linked.select("node", F.col("node").alias("label")), "labels")
     sketch = ["common", *sketch]
@@ -204,8 +205,8 @@ def classes(
     for turn in range(pivots + 1):
         now = members.join(labels, "node")
         # First the member with the fewest shingles of its own, which is the one nearest to all others; then any.
-        own = F.lit(0.0) if turn else 1 - F.col("common") / F.col("n")
-        head = F.min(F.struct(own.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)]))
+        alone = F.lit(0.0) if turn else 1 - F.col("common") / F.col("n")
+        head = F.min(F.struct(alone.alias("o"), F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "n", *sketch)]))
         live = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), head.alias("p")).where("lo <> hi")
         if turn < pivots:
             pairs = now.join(live.select("bucket", "p.*"), "bucket").where((F.col("label") != F.col("p_label")) & _hopeful("", "p_", threshold))
@@ -224,18 +225,20 @@ def classes(
         links = written(confirmed(pairs, sets, threshold).select("a", "b"), "confirmed")
         labels = contract(links, labels)
         discard(pairs, links)
-    rows_ = signed.select(key, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows_ = signed.select(*own, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = rows_.where("label is not null").groupBy("label").agg(F.min(key).alias("class_id"))
-    return rows_.join(ids, "label", "left").select(key, "node", F.coalesce("class_id", key).alias("class_id"))
+    return rows_.join(ids, "label", "left").select(*own, "node", F.coalesce("class_id", key).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row per class: the row of the smallest key, and of equal rows one."""
-    got = classes(docs.select(key, text), key, text, **options)
-    stay = got.where(F.col("class_id").eqNullSafe(F.col(key))).select(F.col(key).alias("__key"), F.col("node").alias("__node")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), _node(text).alias("n"))
-    kept = row.join(stay, F.col("k").eqNullSafe(F.col("__key")) & F.col("n").eqNullSafe(F.col("__node")))
-    return kept.groupBy("k", "n").agg(F.first("row").alias("row")).select("row.*")
+    """``docs`` (a table in files, so that a row has the same number in every read) with one row per class.
+
+    The row of the smallest key stays, and of equal rows the first. Texts are shuffled once, to drop rows by number.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    got = classes(numbered.select(key, "__row", text), key, text, also=("__row",), **options)
+    stay = got.where(F.col("class_id").eqNullSafe(F.col(key))).groupBy(key, "node", F.when(F.col("node").isNull() & F.col(key).isNull(), F.col("__row")).alias("alone")).agg(F.min("__row").alias("__row"))
+    return numbered.join(stay.select("__row"), "__row", "left_semi").drop("__row")
 
 
 def op8_dart_minhash(spark, sf_dir: str) -> DataFrame:
