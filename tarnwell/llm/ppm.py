@@ -10,11 +10,14 @@ A text is coded with its end marker (byte 255, which UTF-8 never holds) after ``
 (byte 254). Scores are log10 probabilities of the whole text. The base score is the add-one unigram
 model over words and one end token.
 
-The trie keeps (context, byte) paths of the full order whose share of all training bytes is at least
-``floor``, so it has at most 1 / floor of them per order whatever the corpus size; shorter contexts are
-summed from the full counts before that rule. Word counts stay distributed: only words whose share is
-``common`` or more (at most 1 / common) are broadcast, the rest is joined. Rare words are rare by
-definition, so that join has no hot key.
+Every counted path counts, however rare. The trie is never in one place: a path belongs to the shard that the
+last ``LOCAL`` bytes of its context hash to, so a shard holds a context together with its longer and shorter
+ones down to ``LOCAL`` bytes. Paths of shorter contexts, at most 256 ** LOCAL whatever the corpus size, are
+broadcast. The number of shards grows with the training bytes. Texts are cut into blocks of about ``ASK``
+bytes; each block asks the shards for its distinct paths, and the answers come back to the block.
+
+Word counts stay distributed: only words whose share is ``common`` or more (at most 1 / common) are broadcast,
+the rest is joined. Rare words are rare by definition, so that join has no hot key.
 
 Null text scores as empty text (end token only). A null id trains. Repeated rows count each time.
 An empty table gives an empty result. Other input columns are not read.
@@ -35,7 +38,8 @@ from ._common import by_value, id_fold, others, table, written
 ORDER = 5
 START, END = 254, 255
 WORD, GRAM = 0, 1
-BLOCK = 1 << 20
+BLOCK, ASK, SHARD = 1 << 20, 1 << 23, 1 << 24
+LOCAL = 3
 for _m in (__name__, tx.__name__):
     by_value(_m)
 
@@ -112,8 +116,24 @@ def _counter(order: int):
     return run
 
 
+def _shard(codes, order: int, shards: int, shift=lambda x, n: x >> n, both=lambda x, y: x & y):
+    """Shard of each path, for arrays and, given their operators, for columns."""
+    tail = both(shift(codes, 8), (1 << (8 * min(LOCAL, order))) - 1)
+    return shift(tail * 2654435761, 16) % shards
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Ascending codes as compressed differences."""
+    return pa.compress(np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, n * 8, "zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.int64).ravel())
+
+
 class Trie:
-    """Look-up tables of the counted byte contexts; see the module text for the arithmetic."""
+    """Counted byte contexts of a shard; see the module text for the arithmetic."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], order: int):
         """levels[j]: sorted paths of j context bytes and one symbol, and their counts."""
@@ -133,31 +153,8 @@ class Trie:
                 self.out.append(np.add.reduceat(self.counts[j - 1][lower], at))
             else:
                 self.out.append(np.zeros(len(at), np.int64))
-        self._table()
-
-    def _table(self) -> None:
-        """Open-addressing table from full paths to log10 probabilities."""
-        keys = self.paths[self.order]
-        logs = self._slow(keys)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.logs = np.zeros(1 << self.bits, np.float32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            s = slot[left]
-            free = self.keys[s] < 0
-            _, win = np.unique(s[free], return_index=True)
-            won = left[free][win]
-            self.keys[slot[won]], self.logs[slot[won]] = keys[won], logs[won]
-            stay = np.ones(len(left), bool)
-            stay[np.flatnonzero(free)[win]] = False
-            left = left[stay]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * tx.BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _slow(self, codes: np.ndarray) -> np.ndarray:
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each path, by escapes from the longest context down."""
         logs = np.zeros(len(codes))
         left = np.arange(len(codes))
@@ -181,28 +178,9 @@ class Trie:
         logs[left] -= np.log10(np.maximum(256 - gone_k[left], 1))
         return logs
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes))
-        if not len(codes):
-            return out
-        slot, left = self._slot(codes), np.arange(len(codes))
-        misses = []
-        while len(left):
-            there = self.keys[slot]
-            want = codes[left]
-            hit = there == want
-            out[left[hit]] = self.logs[slot[hit]]
-            misses.append(left[there < 0])
-            on = ~hit & (there >= 0)
-            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        if len(miss := np.concatenate(misses)):
-            kinds, back = np.unique(codes[miss], return_inverse=True)
-            out[miss] = self._slow(kinds)[back]
-        return out
-
-
-def train(docs: DataFrame, text: str = "text", order: int = ORDER, floor: float = 1e-7, common: float = 5e-7) -> dict:
-    """Counts over every row of ``docs``; the trie and the frequent words are small, "counts" is a table (kind, key, n)."""
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, common: float = 5e-7) -> dict:
+    """Counts over every row of ``docs``; the short contexts and the frequent words are small, "counts" is a table (kind, key, n) of all paths and words."""
     counts = written(
         docs.select(text).mapInArrow(_counter(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts"
     )
@@ -210,52 +188,117 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, floor: float
     ends = docs.count()
     tokens = (sums[WORD]["n"] if WORD in sums else 0) + ends
     kinds = (sums[WORD]["kinds"] if WORD in sums else 0) + (ends > 0)
-    least = F.lit(floor * (sums[GRAM]["n"] if GRAM in sums else 0))
-    grams = counts.where(F.col("kind") == GRAM)
-    levels = [grams.select(F.lit(order).alias("j"), "key", "n").where(F.col("n") >= least)]
-    for j in range(order):
-        key = F.col("key").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1))
-        levels.append(grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.lit(j).alias("j"), "key", "n"))
-    paths = levels[0]
-    for level in levels[1:]:
-        paths = paths.unionByName(level)
-    got = paths.toArrow()
-    at, key, n = (got[c].to_numpy() for c in ("j", "key", "n"))
+    near, low = min(LOCAL, order), []
+    if near:
+        key = F.col("key").bitwiseAND(F.lit((1 << (8 * near)) - 1))
+        got = counts.where(F.col("kind") == GRAM).groupBy(key.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        low = [_summed(got["key"].to_numpy() & ((1 << (8 * (j + 1))) - 1), got["n"].to_numpy()) for j in range(near)]
+    shards = 1 + (sums[GRAM]["n"] if GRAM in sums else 0) // SHARD
     top = counts.where((F.col("kind") == WORD) & (F.col("n") >= F.lit(common * tokens))).select("key", "n").orderBy("key").toArrow()
-    trie = Trie([_summed(key[at == j], n[at == j]) for j in range(order + 1)], order)
-    return {"trie": trie, "counts": counts, "tokens": tokens, "kinds": kinds, "ends": ends, "top": (top["key"].to_numpy(), top["n"].to_numpy())}
+    top = (top["key"].to_numpy(), top["n"].to_numpy())
+    return {"order": order, "low": low, "shards": shards, "counts": counts, "tokens": tokens, "kinds": kinds, "ends": ends, "top": top}
 
 
-_SCORED = "__row long, n_tokens long, __known long, __base double, score double, __rare array<long>"
+def _asker(order: int, shards: int, names: list[str]):
+    """Rows with their number and block, and after each block its distinct paths by shard."""
 
-
-def _scorer(model, meta: list[pa.Field]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = model.value
-        trie, (top, top_n), room = m["trie"], m["top"], m["tokens"] + m["kinds"] + 1
-        row = TaskContext.get().partitionId() << 40
-        end = np.log10((m["ends"] + 1) / room)
+        row, block = TaskContext.get().partitionId() << 40, TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        size, types = 0, []
+
+        def ask() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held))
+            to = _shard(codes, order, shards)
+            turn = np.argsort(to, kind="stable")
+            codes, to = codes[turn], to[turn]
+            at = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            parts = np.split(codes, at[1:])
+            cols = [pa.nulls(len(at), t) for t in types]
+            cols += [pa.nulls(len(at), pa.int64()), pa.array(np.full(len(at), block)), pa.array(to[at].astype(np.int32))]
+            cols += [pa.array([len(p) for p in parts], pa.int32()), pa.array([_packed(p) for p in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for batch in batches:
+            types = [f.type for f in batch.schema]
             data, at = tx.text_buffer(batch.column(batch.num_columns - 1))
             for i, j in tx.blocks(at, BLOCK):
-                part, off, n = data[at[i] : at[j]], at[i : j + 1] - at[i], j - i
-                codes, doc = _codes(part, off, trie.order)
-                score = np.bincount(doc, trie.log10(codes), minlength=n)
-                hashes, counts = _word_hashes(part, off)
-                own = np.repeat(np.arange(n), counts)
-                spot = np.minimum(np.searchsorted(top, hashes), max(len(top) - 1, 0))
-                found = top[spot] == hashes if len(top) else np.zeros(len(hashes), bool)
-                logs = np.log10((top_n[spot[found]] + 1) / room) if len(top) else np.zeros(0)
-                base = np.bincount(own[found], logs, minlength=n) + end
-                known = np.bincount(own[found], minlength=n) + (m["ends"] > 0)
-                rare, split = hashes[~found], np.concatenate([[0], np.cumsum(np.bincount(own[~found], minlength=n))])
-                cols = [batch.column(k).slice(i, n) for k in range(batch.num_columns - 1)]
-                cols += [pa.array(row + np.arange(n)), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-                cols.append(pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(rare)))
+                n = j - i
+                codes, _ = _codes(data[at[i] : at[j]], at[i : j + 1] - at[i], order)
+                held.append(np.unique(codes))
+                size += len(codes)
+                cols = [batch.column(k).slice(i, n) for k in range(batch.num_columns)]
+                cols += [pa.array(row + np.arange(n)), pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
                 row += n
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in meta] + ["__row", "n_tokens", "__known", "__base", "score", "__rare"])
+                if size >= ASK:
+                    yield ask()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield ask()
+
+    return run
+
+
+_ANSWER = pa.schema([("__block", pa.int64()), ("__m", pa.int32()), ("__codes", pa.binary()), ("__logs", pa.binary())])
+
+
+def _answerer(model):
+    """Answers of one shard, from its paths (key, n), to the blocks that ask."""
+
+    def run(paths, asks):
+        if not asks.num_rows:
+            return _ANSWER.empty_table()
+        m = model.value
+        order, keys, n = m["order"], paths["key"].to_numpy(), paths["n"].to_numpy()
+        levels = m["low"] + [_summed(keys & ((1 << (8 * (j + 1))) - 1), n) for j in range(len(m["low"]), order + 1)]
+        parts = [_unpacked(c, k) for c, k in zip(asks["__codes"].to_pylist(), asks["__m"].to_pylist(), strict=True)]
+        codes = np.unique(np.concatenate(parts))
+        logs = Trie(levels, order).log10(codes).astype(np.float32)
+        said = [pa.compress(logs[np.searchsorted(codes, p)].tobytes(), "zstd", asbytes=True) for p in parts]
+        return pa.table([asks["__block"], asks["__m"], asks["__codes"], pa.array(said, pa.binary())], schema=_ANSWER)
+
+    return run
+
+
+_SCORED = "__row long, n_tokens long, __known long, __base double, score double, __rare array<long>"
+
+
+def _scorer(model, meta: list[pa.Field]):
+    def run(texts, answers):
+        m = model.value
+        (top, top_n), room = m["top"], m["tokens"] + m["kinds"] + 1
+        end = np.log10((m["ends"] + 1) / room)
+        sizes = answers["__m"].to_pylist()
+        keys = np.concatenate([_unpacked(c, k) for c, k in zip(answers["__codes"].to_pylist(), sizes, strict=True)])
+        logs = np.concatenate([np.frombuffer(pa.decompress(c, k * 4, "zstd"), np.float32) for c, k in zip(answers["__logs"].to_pylist(), sizes, strict=True)])
+        turn = np.argsort(keys)
+        keys, logs = keys[turn], logs[turn].astype(float)
+        data, at = tx.text_buffer(texts.column(texts.num_columns - 1))
+        done = []
+        for i, j in tx.blocks(at, BLOCK):
+            part, off, n = data[at[i] : at[j]], at[i : j + 1] - at[i], j - i
+            codes, doc = _codes(part, off, m["order"])
+            turn = np.argsort(codes)
+            codes = codes[turn]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            each = np.repeat(logs[np.searchsorted(keys, codes[first])], np.diff(np.append(first, len(codes))))
+            score = np.bincount(doc[turn], each, minlength=n)
+            hashes, counts = _word_hashes(part, off)
+            own = np.repeat(np.arange(n), counts)
+            spot = np.minimum(np.searchsorted(top, hashes), max(len(top) - 1, 0))
+            found = top[spot] == hashes if len(top) else np.zeros(len(hashes), bool)
+            words = np.log10((top_n[spot[found]] + 1) / room) if len(top) else np.zeros(0)
+            base = np.bincount(own[found], words, minlength=n) + end
+            known = np.bincount(own[found], minlength=n) + (m["ends"] > 0)
+            rare, split = hashes[~found], np.concatenate([[0], np.cumsum(np.bincount(own[~found], minlength=n))])
+            cols = [texts.column(k).slice(i, n) for k in range(len(meta) + 1)]
+            cols += [pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            cols.append(pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(rare)))
+            done.append(pa.table(cols, [f.name for f in meta] + ["__row", "n_tokens", "__known", "__base", "score", "__rare"]))
+        return pa.concat_tables(done)
 
     return run
 
@@ -267,8 +310,18 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     spread = docs.select(*keep, text)
     meta = spread.drop(text).schema
     sent = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in meta) + ", " + _SCORED
-    scored = written(spread.mapInArrow(_scorer(sent, list(meta)), fields), "ppm-scored")
+    order, shards = model["order"], model["shards"]
+    typed = [f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema]
+    asking = ", ".join([*typed, "__row long, __block long, __shard int, __m int, __codes binary"])
+    names = [*spread.columns, "__row", "__block", "__shard", "__m", "__codes"]
+    asked = written(spread.mapInArrow(_asker(order, shards, names), asking), "ppm-asked")
+    asks = asked.where(F.col("__shard").isNotNull()).select("__shard", "__block", "__m", "__codes")
+    to = _shard(F.col("key"), order, shards, F.shiftright, lambda x, y: x.bitwiseAND(F.lit(y)))
+    paths = model["counts"].where(F.col("kind") == GRAM).select(to.cast("int").alias("__shard"), "key", "n")
+    answers = paths.groupBy("__shard").cogroup(asks.groupBy("__shard")).applyInArrow(_answerer(sent), "__block long, __m int, __codes binary, __logs binary")
+    texts = asked.where(F.col("__shard").isNull()).select(*keep, "__row", "__block", text)
+    fields = ", ".join([*typed[:-1], _SCORED])
+    scored = written(texts.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scorer(sent, list(meta)), fields), "ppm-scored")
     room = float(model["tokens"] + model["kinds"] + 1)
     words = scored.select("__row", F.explode("__rare").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("times"))
     seen = model["counts"].where(F.col("kind") == WORD).select("key", "n")

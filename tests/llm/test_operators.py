@@ -452,6 +452,14 @@ def test_ppm_like_a_plain_model(spark, docs):
         assert r["score"] == pytest.approx(plain_ppm(train, t, 3), rel=1e-5, abs=1e-4)
 
 
+def test_ppm_keeps_rare_paths_of_a_large_corpus(spark):
+    """Of 24 MB, a path met once is a share of 4e-8: known all the same, so each byte after the first costs one bit."""
+    rare, n = "QWERTYUIOPASDFGHJKLZ", 2000
+    df = spark.range(n).select("id", F.repeat(F.lit("abc def gh. "), 1000).alias("text")).unionByName(spark.createDataFrame([(-1, rare)], "id long, text string"))
+    got = ppm.score(df.where("id < 0"), ppm.train(df)).first()
+    assert got["score"] == pytest.approx(math.log10(0.5 / (n + 1)) + len(rare) * math.log10(0.5), rel=1e-6)
+
+
 def test_ppm_beats_the_base_on_held_out_rows(spark):
     got = ppm.op9_ppm_lm(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
