@@ -1,15 +1,19 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Text is normalised to words of ASCII letters (lower case), digits and other characters; ASCII punctuation
-separates words. Segments of a document are its lines, its paragraphs (lines between blank ones) and the
-whole text. A segment with bigrams B matches a template with bigrams A (both with multiplicity) by
+separates words. Every run of neighbouring words of a document, across lines and paragraphs, is a window. A
+window with bigrams B matches a template with bigrams A (both with multiplicity) by
 
     2 |A and B| / (|A| + |B|)
 
-A template is a candidate only if its size lies within the bounds that the threshold t allows,
-|B| t / (2 - t) to |B| (2 - t) / t, and a segment only if enough of its bigrams occur in any template;
-neither can lose a match. The best match is reported: the highest coefficient, then the longer template,
-then its name, then the first segment.
+The best window from any start begins and ends with a bigram of the template and has at most |A| (2 - t) / t
+bigrams at threshold t, of which at least |A| t / (2 - t) are the template's. Only starts with so many of them
+ahead are tried, each with every end; that loses no match.
+
+Of overlapping windows of one template the one with the highest coefficient stays, and of overlapping windows of
+different templates the one that shares most bigrams, so that a notice inside a longer one is not told twice.
+``licenses`` holds all that stay, by place. The best of them is reported besides: the highest coefficient, then
+the longer template, then its name, then the first window.
 
 Null, empty and one-word texts match nothing. Repeated rows are scanned each; null ids pass through;
 extra columns are not read. An empty table gives an empty result.
@@ -17,7 +21,8 @@ extra columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from . import _text as tx
 from ._common import by_value, others, table
 
-THRESHOLD = 0.85
+THRESHOLD, CELLS = 0.85, 1 << 20
 for _m in (__name__, tx.__name__):
     by_value(_m)
 
@@ -73,54 +78,83 @@ class Templates:
             self.sizes.append(len(grams))
         self.all = np.unique(np.array([g for b in self.bags for g in b], np.uint64))
 
-    def best(self, grams: list[int]) -> tuple[float, int, str] | None:
-        """Coefficient, template size and name of the best template of a segment."""
-        b, t, found = len(grams), self.threshold, None
-        bag = None
-        for name, own, a in zip(self.names, self.bags, self.sizes, strict=True):
-            if b * t > a * (2 - t) or a * t > b * (2 - t):
-                continue
-            bag = bag or Counter(grams)
-            dice = 2 * sum(min(n, bag[g]) for g, n in own.items()) / (a + b)
-            if dice >= t and (found is None or (dice, a) > found[:2]):
-                found = (dice, a, name)
-        return found
-
-    def least(self, b: np.ndarray) -> np.ndarray:
-        """Shared bigrams that a segment of b needs at least: with the smallest template within its bounds."""
-        a = np.array(sorted(self.sizes))
-        at = np.searchsorted(a, b * self.threshold / (2 - self.threshold) - 1e-9)
-        smallest = np.where(at < len(a), a[np.minimum(at, len(a) - 1)], 1 << 40)
-        return self.threshold * (smallest + b) / 2
-
-
-def _scan(part: np.ndarray, off: np.ndarray, templates: Templates) -> dict[int, tuple]:
-    """Best (dice, size, name, start, end) by document number of a block."""
+        self.times = [np.array([b[g] for g in self.all.tolist()], np.int64) for b in self.bags]
+
+    def windows(self, k: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, float, int, int, int]]:
+        """Document, coefficient, shared bigrams, first and last bigram of the best window from each start in template ``k``.
+
+        at, which, doc: ascending places of bigrams that some template has, their numbers in ``all`` and documents.
+        """
+        a, t, times = self.sizes[k], self.threshold, self.times[k]
+        if not a:
+            return
+        own = times[which] > 0
+        at, which, doc = at[own], which[own], doc[own]
+        longest = int(a * (2 - t) / t + 1e-9)
+        ahead = np.searchsorted(at, at + longest) - np.arange(len(at))
+        starts = np.flatnonzero(ahead >= a * t / (2 - t) - 1e-9)
+        if not len(starts):
+            return
+        # A bigram counts unless the window holds as many equal ones before it as the template has in all.
+        turn = np.lexsort((at, which, doc))
+        back = np.arange(len(at)) - times[which[turn]]
+        same = (back >= 0) & (which[turn[back]] == which[turn]) & (doc[turn[back]] == doc[turn])
+        before = np.empty(len(at), np.int64)
+        before[turn] = np.where(same, at[turn[back]], -1)
+        width = min(longest, len(at))
+        step = max(1, CELLS // width)
+        for i in range(0, len(starts), step):
+            s = starts[i : i + step, None]
+            e = s + np.arange(width)
+            inside = e < len(at)
+            e = np.minimum(e, len(at) - 1)
+            inside &= (at[e] < at[s] + longest) & (doc[e] == doc[s])
+            shared = np.cumsum(inside & (before[e] < at[s]), axis=1)
+            dice = np.where(inside, 2 * shared / (a + at[e] - at[s] + 1), 0.0)
+            best = np.argmax(dice, axis=1)
+            for r in np.flatnonzero(dice[np.arange(len(s)), best] >= t):
+                c = best[r]
+                yield int(doc[s[r, 0]]), float(dice[r, c]), int(shared[r, c]), int(at[s[r, 0]]), int(at[e[r, c]])
+
+
+def _apart(windows: list[tuple], first: int) -> list[tuple]:
+    """Windows in the given order but those that share a word with an earlier one; [first], [first + 1]: first and last bigram."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for w in windows:
+        i = bisect(kept, (w[first], 1 << 62))
+        if not (i and kept[i - 1][1] >= w[first] - 1) and not (i < len(kept) and kept[i][0] <= w[first + 1] + 1):
+            insort(kept, (w[first], w[first + 1]))
+            out.append(w)
+    return out
+
+
+def _scan(part: np.ndarray, off: np.ndarray, templates: Templates) -> dict[int, list[tuple]]:
+    """All (dice, size, name, start, end) by document number of a block, by place."""
     low = _WORD[part]
     starts, ends, counts = tx.words(low, off)
-    if not len(starts):
+    grams, number = _bigrams(tx.span_hash(low, starts, ends), counts)
+    if not len(grams):
         return {}
-    hashes = tx.span_hash(low, starts, ends)
-    word_doc = np.repeat(np.arange(len(off) - 1), counts)
-    breaks = np.cumsum(np.append(0, low == 10))
-    line = breaks[starts]
-    gap = np.append(0, np.diff(line))
-    new_doc = np.append(True, word_doc[1:] != word_doc[:-1])
-    found: dict[int, tuple] = {}
-    for new in (new_doc | (gap > 0), new_doc | (gap > 1), new_doc):
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(starts)))
-        grams, number = _bigrams(hashes, sizes)
-        spot = np.minimum(np.searchsorted(templates.all, grams), len(templates.all) - 1)
-        cum = np.append(0, np.cumsum(templates.all[spot] == grams))
-        stop = np.cumsum(number)
-        hits = cum[stop] - cum[stop - number]
-        for s in np.flatnonzero((hits > 0) & (hits + 1e-9 >= templates.least(number))):
-            got = templates.best(grams[stop[s] - number[s] : stop[s]].tolist())
-            d = int(word_doc[first[s]])
-            if got and (d not in found or got[:2] > found[d][:2] or (got[:2] == found[d][:2] and got[2] < found[d][2])):
-                found[d] = (*got, int(starts[first[s]] - off[d]), int(ends[first[s] + sizes[s] - 1] - off[d]))
-    return found
+    spot = np.minimum(np.searchsorted(templates.all, grams), len(templates.all) - 1)
+    at = np.flatnonzero(templates.all[spot] == grams)
+    doc = np.repeat(np.arange(len(number)), number)[at]
+    found = defaultdict(list)
+    for k, name in enumerate(templates.names):
+        own = defaultdict(list)
+        for d, dice, shared, i, j in templates.windows(k, at, spot[at], doc):
+            own[d].append((-dice, -shared, i, j))
+        for d, ws in own.items():
+            found[d] += [(shared, dice, name, i, j, templates.sizes[k]) for dice, shared, i, j in _apart(sorted(ws), 2)]
+    out = {}
+    for d, ws in found.items():
+        word = int(counts[:d].sum() - number[:d].sum())  # from a bigram's place to its first word's
+        ws = sorted(_apart(sorted(ws), 3), key=lambda w: w[3])
+        out[d] = [(-dice, a, name, int(starts[i + word] - off[d]), int(ends[j + word + 1] - off[d])) for _, dice, name, i, j, a in ws]
+    return out
+
+
+_ALL = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())]))
 
 
 def _scanner(names: list[str], texts: dict[str, str], threshold: float):
@@ -130,19 +164,23 @@ def _scanner(names: list[str], texts: dict[str, str], threshold: float):
             data, at = tx.text_buffer(batch.column(batch.num_columns - 1))
             for i, j in tx.blocks(at):
                 found = _scan(data[at[i] : at[j]], at[i : j + 1] - at[i], templates)
-                rows = [found.get(d) for d in range(j - i)]
+                rows = [found.get(d, []) for d in range(j - i)]
+                best = [min(r, key=lambda w: (-w[0], -w[1], *w[2:])) if r else None for r in rows]
                 cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                cols += [pa.array([r and r[2] for r in rows], pa.string()), pa.array([r and r[0] for r in rows], pa.float64())]
-                cols += [pa.array([r and r[3] for r in rows], pa.int64()), pa.array([r and r[4] for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "license", "dice", "start_byte", "end_byte"])
+                cols += [pa.array([r and r[2] for r in best], pa.string()), pa.array([r and r[0] for r in best], pa.float64())]
+                cols += [pa.array([r and r[3] for r in best], pa.int64()), pa.array([r and r[4] for r in best], pa.int64())]
+                cols.append(pa.array([[{"license": w[2], "dice": w[0], "start_byte": w[3], "end_byte": w[4]} for w in r] for r in rows], _ALL))
+                yield pa.RecordBatch.from_arrays(cols, [*names, "license", "dice", "start_byte", "end_byte", "licenses"])
 
     return run
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Other columns of ``docs`` with license, dice and the bytes of the best segment; null where nothing matches."""
-    keep = others(docs, text, "license", "dice", "start_byte", "end_byte")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["license string, dice double, start_byte long, end_byte long"]
+    """Other columns of ``docs`` with license, dice and the bytes of the best window, null where nothing matches, and all ``licenses``."""
+    keep = others(docs, text, "license", "dice", "start_byte", "end_byte", "licenses")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [
+        "license string, dice double, start_byte long, end_byte long, licenses array<struct<license: string, dice: double, start_byte: bigint, end_byte: bigint>>"
+    ]
     return docs.select(*keep, text).mapInArrow(_scanner(keep, templates or TEMPLATES, threshold), ", ".join(fields))
 
 

@@ -201,6 +201,37 @@ def test_licences_like_a_plain_scan(spark, docs):
     assert sum(v is not None for v in got.values()) > 2
 
 
+def test_licences_inside_other_text(spark):
+    """Templates in their standard layout between other paragraphs, inside a line, wrapped, and several in one document."""
+    code, t = " ".join(f"word{i}" for i in range(120)), licenses.TEMPLATES
+    laid = {n: s.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS").replace(" Unless", "\n\nUnless").replace(" You should", "\n\nYou should") for n, s in t.items()}
+    texts = [f"{code}\n\n{s}\n\n{code}" for s in laid.values()] + [f"é {code} {s.replace(' ', chr(10), 2)} {code}" for s in t.values()]
+    texts.append(f"{code} {laid['MIT-text']} {code}\n{t['GPL-3.0']} {code} {t['GPL-3.0']}\n{code} {t['CC-BY-SA-4.0']}")
+    got = {r["i"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()}
+    for i, name in enumerate([*t, *t]):
+        (w,) = got[i]["licenses"]
+        assert (w["license"], w["dice"]) == (got[i]["license"], got[i]["dice"]) == (name, 1.0)
+        inside = texts[i].encode()[w["start_byte"] : w["end_byte"]].decode()
+        assert " ".join(inside.split()) == t[name].rstrip(".").removesuffix("/")
+    assert [w["license"] for w in got[len(texts) - 1]["licenses"]] == ["MIT-text", "GPL-3.0", "GPL-3.0", "CC-BY-SA-4.0"]
+
+
+def test_licence_windows_like_all_windows():
+    """Every window of random texts over a template's words against the search from starts."""
+    import numpy as np
+
+    rng, template = np.random.default_rng(1), "a b c a b d e a b"
+    scan = licenses.Templates({"T": template}, 0.7)
+    bag = Counter(zip(template.split(), template.split()[1:], strict=False))
+    for _ in range(300):
+        ws = rng.choice(list("aabbcdex"), rng.integers(2, 30)).tolist()
+        pairs = list(zip(ws, ws[1:], strict=False))
+        dice = [2 * sum((bag & Counter(pairs[i:j])).values()) / (8 + j - i) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1)]
+        part = np.frombuffer(" ".join(ws).encode(), np.uint8)
+        got = licenses._scan(part, np.array([0, len(part)]), scan).get(0, [])
+        assert max((w[0] for w in got), default=0.0) == pytest.approx(max(dice) if max(dice) >= 0.7 else 0.0)
+
+
 def test_licences_of_odd_rows(odd, empty):
     got = licenses.scan(odd.withColumn("license", F.lit("x"))).collect()
     assert len(got) == len(ODD) and all(r["license"] is None for r in got)
