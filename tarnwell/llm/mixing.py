@@ -9,10 +9,14 @@ separates by source, and its gradient and Hessian need only a source's token tot
 summed by source once, with partial sums before the shuffle, and each source row runs its own damped
 Newton iterations as a fold; documents then get the exponentially tilted rate exp(multiplier).
 
-Rates are rounded into whole copies by error diffusion: documents are dealt by a hash of their row into
-groups of about ``group_rows``, and within a group, largest first, a fractional copy is taken when that
-brings the taken tokens closest to the wanted ones. A group ends within about half its smallest document of its
-share, and no source, however hot, meets in one task. No rate is above ``most``.
+Rates are rounded into whole copies, the one below or the one above, by error diffusion: largest first, a fractional
+copy is taken when that brings the taken tokens closest to the wanted ones. Documents heavier than the mean group
+(at most as many as there are groups) are rounded first, all of a source together; what they leave owed or
+overtaken is spread over the rate of the source's other documents. Those are dealt by a hash of their row into groups of
+about ``group_rows``. A group holds every ``HELD``-th document back and passes it, with what the group still
+owes, to the next level, where ``HELD`` groups form one, until a source is one group. So a source, however hot,
+never meets in one task, and ends within about half the smallest document of its last group, unless its heavy documents
+outweigh what the others can make up for. No rate is above ``most``.
 
 Targets: sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3 and so on, and share all
 tokens; a target stops at ``most`` times its source's size and the excess is reshared by weight.
@@ -29,7 +33,7 @@ from pyspark.sql.window import Window
 
 from ._common import table, written
 
-WEIGHTS, MOST, GROUP_ROWS, STEPS = (1, 2, 3), 3, 256, 60
+WEIGHTS, MOST, GROUP_ROWS, STEPS, HELD = (1, 2, 3), 3, 256, 60, 16
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,33 +70,67 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     return done.select("source", "source_size", "documents", "target", m.alias("multiplier"))
 
 
+_GROUP = ["group", "groups", "source_size", "target", "whole", "part"]
+
+
+def rounded(level: DataFrame) -> DataFrame:
+    """One row per source and group: all its documents, largest first, and done: the copies of each (null: held back) and what is owed.
+
+    level: source, the columns of a group, and either a document or what an earlier group owes.
+    """
+    keep = [F.first(c).alias(c) for c in _GROUP[1:]]
+    grouped = level.groupBy("source", "group").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("all"), F.sum("owed").alias("owed"), *keep)
+    whole, part = F.col("whole"), F.col("part")
+
+    def take(done: Column, x: Column) -> Column:
+        held = (F.col("groups") > 1) & (F.size(done["n"]) % HELD == HELD - 1)
+        want = done["owed"] + x["size"] * part
+        extra = F.when((part > 1e-9) & (x["size"] > 0) & (want * 2 >= x["size"]), F.lit(1)).otherwise(F.lit(0))
+        owed = F.when(held, done["owed"]).otherwise(want - extra * x["size"])
+        return F.struct(owed.alias("owed"), F.concat(done["n"], F.array(F.when(~held, (whole + extra).cast("int")))).alias("n"))
+
+    start = F.struct(F.col("owed").alias("owed"), F.array().cast("array<int>").alias("n"))
+    return grouped.select("source", *_GROUP, "all", F.aggregate("all", start, take).alias("done"))
+
+
 def copies(sized: DataFrame, keys: list[str], most: int = MOST, group_rows: int = GROUP_ROWS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """sized, a written table: ``keys``, source, size and a unique row. Adds source_size, target and copies."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     targets = written(source_targets(sums, weights, most), "mix-targets")
     rate = F.coalesce(F.least(F.lit(float(most)), F.exp("multiplier")), F.lit(0.0))
-    near = targets.select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("documents") / group_rows).alias("groups"))
-    docs = sized.join(near, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    docs = docs.withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")))
-    fields = [*keys, "source", "size", "row"]
-    grouped = docs.groupBy("source", "group").agg(
-        F.sort_array(F.collect_list(F.struct("size", F.xxhash64("row").alias("turn"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(fields)])), asc=False).alias("all"),
-        F.first("rate").alias("rate"),
-        F.first("source_size").alias("source_size"),
-        F.first("target").alias("target"),
+    whole = F.floor(rate + F.lit(1e-12))
+    near = targets.select(
+        F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("part"), F.ceil(F.col("documents") / group_rows).alias("groups")
     )
-    whole = F.floor(F.col("rate") + F.lit(1e-12))
-    part = F.greatest(F.col("rate") - whole, F.lit(0.0))
-
-    def take(done: Column, x: Column) -> Column:
-        want = done["owed"] + x["size"] * part
-        extra = F.when((part > 1e-9) & (x["size"] > 0) & (want * 2 >= x["size"]), F.lit(1)).otherwise(F.lit(0))
-        return F.struct((want - extra * x["size"]).alias("owed"), F.concat(done["n"], F.array((whole + extra).cast("int"))).alias("n"))
-
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("n"))
-    n = F.aggregate("all", start, take)["n"]
-    one = grouped.select("source_size", "target", F.explode(F.arrays_zip(F.col("all").alias("a"), n.alias("n"))).alias("x"))
-    return one.select(*[F.col(f"x.a.k{i}").alias(c) for i, c in enumerate(fields)], "source_size", "target", F.when(F.col("x.a.size") > 0, F.col("x.n")).otherwise(0).alias("copies"))
+    fields = [*keys, "source", "size", "row"]
+    heavy = (F.col("groups") > 1) & (F.col("size") * F.col("groups") > F.col("source_size"))
+
+    def dealt(to: DataFrame) -> DataFrame:
+        docs = sized.join(to, F.col("source").eqNullSafe(F.col("of")))
+        return docs.select("source", F.struct("size", F.xxhash64("row").alias("turn"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(fields)]).alias("doc"), *to.drop("of").columns, "size", "row")
+
+    top = dealt(near).where(heavy).withColumns({"group": F.lit(0).cast("long"), "groups": F.lit(1).cast("long"), "owed": F.lit(0.0)})
+    done = [written(rounded(top), "mix-heavy")]
+    left = done[0].select(F.col("source").alias("by"), F.col("done.owed").alias("owed"), F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + x["size"]).alias("taken"))
+    rest = F.col("source_size") - F.coalesce(F.col("taken"), F.lit(0))
+    shift = F.when((F.col("part") > 1e-9) & (rest > 0), F.coalesce(F.col("owed"), F.lit(0.0)) / rest).otherwise(0.0)
+    light = near.join(left, F.col("of").eqNullSafe(F.col("by")), "left").withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") + shift))).drop("by", "owed", "taken")
+    level = dealt(light).where(~heavy).withColumns({"group": F.pmod(F.xxhash64("row"), F.col("groups")), "owed": F.lit(0.0)})
+    groups = -(-(targets.agg(F.max("documents")).first()[0] or 0) // group_rows)
+    while True:
+        done.append(written(rounded(level), "mix-level"))
+        if groups <= 1:
+            break
+        groups = -(-groups // HELD)
+        up = done[-1].where("groups > 1").withColumns({"group": F.floor(F.col("group") / HELD), "groups": F.ceil(F.col("groups") / HELD)})
+        held = up.select("source", *_GROUP, F.lit(0.0).alias("owed"), F.explode(F.filter(F.arrays_zip(F.col("all").alias("a"), F.col("done.n").alias("n")), lambda x: x["n"].isNull())["a"]).alias("doc"))
+        level = held.unionByName(up.select("source", *_GROUP, F.col("done.owed").alias("owed")), allowMissingColumns=True)
+    out = None
+    for x in done:
+        one = x.select("source_size", "target", F.explode(F.arrays_zip(F.col("all").alias("a"), F.col("done.n").alias("n"))).alias("x")).where("x.n is not null")
+        one = one.select(*[F.col(f"x.a.k{i}").alias(c) for i, c in enumerate(fields)], "source_size", "target", F.when(F.col("x.a.size") > 0, F.col("x.n")).otherwise(0).alias("copies"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def sized_rows(docs: DataFrame, keys: list[str], text: str = "text", source: str = "source") -> DataFrame:

@@ -273,6 +273,23 @@ def test_mix_hits_its_targets(spark, request, which):
             assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 100
 
 
+@pytest.mark.parametrize("rate", [0.45, 0.6, 1.4])
+def test_mix_rounds_heavy_documents_together(spark, rate):
+    """Ten documents hold 43 % of a source's words and each outweighs its group; a null source brings the rate about."""
+    sizes = [20 + i * 7919 % 23 for i in range(6000)]
+    sizes += [sum(sizes) * 43 // 570] * 10
+    other = round((3 * rate - 1) * sum(sizes)) // 40
+    rows = [("a", n) for n in sizes] + [(None, 30 + i % 21) for i in range(other)]
+    sized = written(spark.createDataFrame([(i, s, n, i) for i, (s, n) in enumerate(rows)], "doc_id long, source string, size long, row long"), "heavy")
+    got = mixing.copies(sized, ["doc_id"]).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    for s in ("a", None):
+        taken = sum(r["size"] * r["copies"] for r in got if r["source"] == s)
+        target = next(r["target"] for r in got if r["source"] == s)
+        assert abs(taken - target) <= 30
+    assert next(r["target"] for r in got if r["source"] == "a") == pytest.approx(rate * sum(sizes), rel=0.02)
+
+
 def test_mix_of_nothing(empty):
     assert mixing.copies(mixing.sized_rows(empty, ["doc_id"]), ["doc_id"]).count() == 0
 
