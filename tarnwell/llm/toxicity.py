@@ -9,7 +9,7 @@ of the text and mapped to a probability by a logistic curve.
 
 Learning (``learn``): rates of words and word beginnings in toxic and other training rows give each entry
 the weight log(rate in toxic / rate in others), and word pairs that hold an entry but occur in clean rows
-only become exception phrases. Rows to learn from are a bounded sample: the ``train_rows`` smallest hashes
+only, in ``PAIR_ROWS`` of them at least, become exception phrases besides the fixed ones. Rows to learn from are a bounded sample: the ``train_rows`` smallest hashes
 of labelled ids. Scoring reads every whole text.
 
 Null and empty text: score of no match. Null ids and labels: not learnt from. Repeated rows are scored
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, id_fold, others, table
+from ._common import by_value, id_fold, others, table, written
 
-TRAIN_ROWS, MOST_ENTRIES, CUT = 20_000, 4_000, 0.3
+TRAIN_ROWS, MOST_ENTRIES, CUT, PAIR_ROWS = 20_000, 4_000, 0.3, 4
 PREFIXES = (4, 5, 6, 7)
 for _m in (__name__, tx.__name__):
     by_value(_m)
@@ -188,6 +188,29 @@ def _leveller(lexicon: Lexicon):
     return run
 
 
+def _pairer(entries: dict[str, float]):
+    """(label, pair, rows): rows of this task that hold two neighbouring words of which one matches an entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, str], int] = Counter()
+        held: dict[str, bool] = {}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = fold(text or "")
+                for w in set(words):
+                    if w not in held:
+                        held[w] = any(e in entries for e in _entries(w))
+                rows.update({(label, f"{a} {b}") for a, b in zip(words, words[1:]) if (held[a] or held[b]) and len(a) <= 60 and len(b) <= 60})
+                if len(held) > 200_000:
+                    held.clear()
+        keys = list(rows)
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part], pa.string()), pa.array([rows[k] for k in part], pa.int64())], ["label", "pair", "rows"])
+
+    return run
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Weighted logistic curve of one variable by Newton's method."""
     a, b = np.zeros(2)
@@ -204,10 +227,11 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon from the labelled rows among ``docs``; at most ``train_rows`` labels and ``most`` entries."""
+    """Lexicon from the labelled rows among ``docs``; at most ``train_rows`` labels, ``most`` entries and ``most`` learnt exceptions."""
     picked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64(key), key).limit(train_rows)
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select("label", "text")
+    rows = written(rows, "toxic-rows")
     counts = rows.mapInArrow(_counter, "label int, entry string, hits long, rows long")
     side = lambda c, v: F.sum(F.when(F.col("label") == v, F.col(c)).otherwise(0))
     sums = counts.groupBy("entry").agg(side("hits", 1).alias("h1"), side("hits", 0).alias("h0"), side("rows", 1).alias("r1"), side("rows", 0).alias("r0"))
@@ -225,6 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # A whole word adds nothing to a beginning of the same weight.
     entries = {e: w for e, w in found.items() if not any(w <= found.get(e[: n + 1], -1.0) + 0.05 for n in PREFIXES if n + 1 < len(e))}
     lexicon = Lexicon(entries, exceptions)
+    pairs = rows.mapInArrow(_pairer(entries), "label int, pair string, rows long").groupBy("pair").agg(side("rows", 1).alias("r1"), side("rows", 0).alias("r0"))
+    clean = pairs.where((F.col("r1") == 0) & (F.col("r0") >= PAIR_ROWS)).orderBy(-F.col("r0"), "pair").limit(most).collect()
+    lexicon.exceptions += tuple(f" {x['pair']} " for x in clean)
     levels = rows.mapInArrow(_leveller(lexicon), "label int, level double").groupBy("label", F.round("level", 2).alias("level")).agg(F.count("*").alias("n")).toPandas()
     if levels["label"].nunique() == 2:
         lexicon.curve = logistic(levels["level"].to_numpy(float), levels["label"].to_numpy(float), levels["n"].to_numpy(float))

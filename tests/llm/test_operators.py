@@ -110,6 +110,16 @@ def test_lexicon_matches_like_a_plain_scan():
     assert full.score(None) == full.score("") < full.score("trash")
 
 
+def test_toxicity_learns_exceptions_from_clean_pairs(spark):
+    rows = [(i, f"du gruk mensch nummer{i}", 1) for i in range(40)] + [(100 + i, f"der gruk fisch schwimmt tag{i}" if i < 6 else f"ein ruhiger tag{i} am see", 0) for i in range(200)]
+    rows += [(400 + i, f"gruk boot{i % 2}", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(df.drop("toxic"), df.drop("text"))
+    assert " gruk " in lex.entries and " gruk fisch " in lex.exceptions and " gruk mensch " not in lex.exceptions
+    assert lex.sums("Ein GRUK Fisch")[0] == 0 < lex.sums("gruk mensch")[0]
+    assert lex.sums("gruk boot1")[0] > 0  # in too few clean rows
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     big = "/root/testdata/sf0.01"
     got = toxicity.op2_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()
