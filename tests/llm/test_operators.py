@@ -444,6 +444,11 @@ def test_near_duplicate_classes_like_all_pairs(spark, docs):
     assert {r["doc_id"]: r["class_id"] for r in got} == plain_classes(rows)
 
 
+def test_the_sketch_drops_fewer_links_than_the_banding():
+    most = minhash.most_apart(minhash.BANDS * minhash.ROWS, 0.8)
+    assert sum(math.comb(160, i) * 0.1**i * 0.9 ** (160 - i) for i in range(most + 1, 161)) < 3e-8 < (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+
+
 def test_weighted_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     e = rng.integers(1, 1 << 62, 400).astype(np.uint64)
