@@ -49,9 +49,12 @@ class IndicatorConfig:
     band_width: float = 2.0
 
     def __post_init__(self):
-        whole = (self.sma_short, self.sma_long, self.rsi_period, self.macd_fast, self.macd_slow, self.macd_signal, self.band_window)
-        if any(not isinstance(x, int) or x < 1 for x in whole) or self.macd_fast >= self.macd_slow or self.sma_short >= self.sma_long or self.band_width <= 0:
-            raise ValueError("windows are positive whole numbers, fast below slow, band width above 0")
+        for name, value in vars(self).items():
+            kind, least = (float, 0.0) if name == "band_width" else (int, 1)
+            if isinstance(value, bool) or not isinstance(value, (int, kind)) or not value >= least or value == 0:
+                raise ValueError(f"{name} must be a {kind.__name__} above 0")
+        if self.macd_fast >= self.macd_slow:
+            raise ValueError("macd_fast must be below macd_slow")
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +48,10 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """``text`` without token shapes and without the given secret values (see ``secret_values``)."""
+    for value in secrets:
+        text = F.replace(text, F.lit(value), F.lit("[REDACTED]"))
     return F.regexp_replace(F.regexp_replace(text, TOKEN_PATTERN, "[REDACTED]"), BEARER_PATTERN, "Bearer [REDACTED]")
 
 
@@ -69,14 +75,27 @@ def host(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 
 
-def error_category(status: Column) -> Column:
-    """Category of a provider's HTTP status; null status is a connection failure."""
-    return (
-        F.when(status.isNull(), "connection")
-        .when(status == 408, "timeout")
-        .when(status == 429, "rate_limit")
-        .when(status.isin(401, 403), "authentication")
-        .when(status >= 500, "server")
-        .when(status == 422, "validation")
-        .otherwise("invalid_request")
-    )
+def error_category(status: Column, provider: str = "research") -> Column:
+    """Category of a provider's HTTP status; null status is a connection failure. ``generation`` tells servers and access apart."""
+    x = F.when(status.isNull(), "connection").when(status == 429, "rate_limit")
+    if provider == "generation":
+        x = x.when(status >= 500, "server").when(status.isin(401, 403), "authentication")
+    else:
+        x = x.when(status.isin(408, 409, 498) | (status >= 500), "connection")
+    return x.otherwise("invalid_request")
+
+
+def parsed_output(text: Column) -> Column:
+    """Body of an answer, plain or in one whole fence, if it is a JSON object; NaN and infinities are no JSON."""
+    body = unfenced(text)
+    return F.when(F.try_parse_json(body).isNotNull() & F.ltrim(body).startswith("{"), body)
+
+
+def redacted_values(values: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """A map without secrets: whole values under secret-like keys, tokens and given secrets elsewhere."""
+    return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit("[REDACTED]")).otherwise(redacted(v, secrets)))
+
+
+def secret_values() -> tuple[str, ...]:
+    """Values of this process's environment variables that have secret-like names, longest first."""
+    return tuple(sorted({v for k, v in os.environ.items() if v and re.search(SECRET_KEY, k)}, key=lambda v: (-len(v), v)))

@@ -13,14 +13,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
 from email.utils import parsedate_to_datetime
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import HORIZON_DAYS, EngineError, FetchError, GroundingError, ProviderError
-from ..functions.scalar import BEARER_PATTERN, FENCE, SECRET_KEY, TICKER, TOKEN_PATTERN
-from ..operators import evidence, signals, timeseries
+from ..functions.scalar import BEARER_PATTERN, FENCE, SECRET_KEY, TICKER, TOKEN_PATTERN, secret_values
+from ..operators import claims, evidence, signals, timeseries
 from ..sources.sinks import strict_json
 
 Complete = Callable[[str, str], str]
@@ -120,12 +121,14 @@ def sentiment_rows(answers: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def redacted(value):
-    """Values under secret-like keys and strings in the shape of tokens are replaced."""
+    """Values under secret-like keys, strings in the shape of tokens and secrets of the environment are replaced."""
     if isinstance(value, dict):
         return {k: "[REDACTED]" if re.search(SECRET_KEY, str(k)) else redacted(v) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         return [redacted(v) for v in value]
     if isinstance(value, str):
+        for secret in secret_values():
+            value = value.replace(secret, "[REDACTED]")
         return re.sub(BEARER_PATTERN, "Bearer [REDACTED]", re.sub(TOKEN_PATTERN, "[REDACTED]", value))
     return value
 
@@ -289,9 +292,11 @@ def view(o: Observation, most: int = 400) -> dict:
     if out is not None and o.tool == "get_news":
         out = {"ticker": out["ticker"], "headlines": [{k: h.get(k) for k in ("title", "publisher", "published")} for h in out["headlines"]]}
     elif out is not None and o.tool == "web_search":
-        out = {"query": out["query"], "results": [{"title": r.get("title"), "snippet": (r.get("snippet") or "")[:most]} for r in out["results"]]}
+        out = {"query": out["query"], "results": [{"title": r.get("title"), "snippet": (r.get("snippet") or "")[:most], "source": urlsplit(r.get("url") or "").hostname} for r in out["results"]]}
     elif out is not None and o.tool == "llm_sentiment":
         out = {"aggregate": out["aggregate"]}
+    elif out is not None and o.tool == "get_price_data":
+        out = {k: out.get(k) for k in ("ticker", "period", "summary", "latest_indicators", "row_count", "as_of")}
     args = {"headline_count": len(o.arguments.get("headlines", []))} if o.tool == "llm_sentiment" else o.arguments
     return {"evidence_id": o.evidence_id, "tool": o.tool, "arguments": args, "output": out, "success": o.success, "error": o.error}
 
@@ -402,9 +407,8 @@ def check_report(output: dict, observations: list[Observation], ticker: str, ext
     texts |= {f"top_three_risks.{i}": f"{r['title']}. {r['supporting_evidence']}" for i, r in enumerate(risks)}
     texts["hedge_strategy_recommendation"] = " ".join(hedge[k] for k in ("strategy", "data_driven_rationale", "limitations"))
     texts["limitations"] = " ".join(output.get("limitations", []))
-    for name, said in texts.items():
-        if broken := evidence.broken_rules(name, said, ticker, volatility, counts):
-            raise GroundingError(f"{name}: {', '.join(broken)}")
+    for name, broken in claims.broken_fields(texts, ticker, volatility, counts).items():
+        raise GroundingError(f"{name}: {', '.join(broken)}")
     return output
 
 

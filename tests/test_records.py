@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tarnwell.functions import scalar
 from tarnwell.functions.config import FetchError, GenerationConfig, JournalError
-from tarnwell.operators import dataset, evidence, text
+from tarnwell.operators import claims, dataset, evidence, text
 from tarnwell.plans.catalogue import ORACLE_SQL, QUERIES, written
 from tarnwell.sources import bars, records, sinks
 from tarnwell.streaming import event_stream, run_once, sessions, windowed_bars
@@ -223,11 +223,20 @@ def test_batch_results_need_exactly_one_record(spark):
         ("hedge_strategy_recommendation", "The optimal strike is near.", ["optimal_option"]),
         ("hedge_strategy_recommendation", "Premium is attractive.", ["option_valuation"]),
         ("financial_health_summary", "PE is above its historical ratio.", ["benchmark_valuation"]),
+        ("financial_health_summary", "Cash flow is unknown but the balance-sheet is sound", ["fundamentals"]),
+        ("financial_health_summary", "There is no view; solvency remains good. The balance sheet cannot be assessed.", ["fundamentals"]),
+        ("financial_health_summary", "An optimal put was not found. No optimal put.", ["optimal_option"]),
+        ("hedge_strategy_recommendation", "We do not set a 5% stop-loss. Stop-loss near 7%; it is 4.5% of the position.", ["hedge_sizing"]),
+        ("market_sentiment_summary", "Use NVDA futures; hedge 30%.", []),
+        ("market_sentiment_summary", "8 of 10 headlines were analyzed, 2 failed, 5 neutral", ["successful_count", "failed_count"]),
+        ("market_sentiment_summary", "22.7% as a 90-day expected move, 5% one-sigma move", ["sigma_scale"]),
+        ("market_sentiment_summary", "", []),
+        ("market_sentiment_summary", None, []),
     ],
 )
-def test_report_rules(field, said, broken):
+def test_report_rules(spark, field, said, broken):
     counts = [{"successful_count": 9, "total_headline_count": 10, "positive_count": 3, "negative_count": 1, "neutral_count": 5, "failed_count": 1}]
-    assert evidence.broken_rules(field, said, "NVDA", [0.3796], counts) == broken
+    assert claims.broken_fields({field: said}, "NVDA", [0.3796], counts).get(field, []) == broken
 
 
 def test_grounding_of_metrics(spark):
