@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import sys
@@ -68,73 +69,93 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select("id", word_count(F.col("text")).alias("input_words"))
 
 
-def overlap_candidates(df: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """df: id, norm. Pairs (a < b) whose bags of words share enough for the threshold, without a loss.
+def one_per_text(df: DataFrame, order: str = "id") -> DataFrame:
+    """df: ``order`` and norm. The first row of each normalised text; equal texts meet nobody else twice."""
+    first = df.groupBy(F.md5(F.col("norm").cast("binary")).alias("key")).agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi")
+
+
+def bags(df: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """df: id, norm. id, the number of words n, all (word, occurrence) elements as hashes, and ``prefix``: those that a near text shares one of.
+
+    Elements stand rarest first. Two texts that reach the threshold share an element among the first
+    n - ceil(n t / (2 - t)) + 1 of each. Elements of one text alone are left out of the prefix.
+    """
+    words = df.where("norm <> ''").select("id", F.split("norm", " ").alias("ws")).repartition("id")
+    counted = words.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).groupBy("id", "n", "w").agg(F.count("*").cast("int").alias("times"))
+    elements = counted.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.xxhash64("w", k))).alias("e"))
+    rarity = elements.groupBy("e").agg(F.count("*").alias("df"))
+    grouped = elements.join(rarity, "e").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int") + 1
+    shared = F.filter(F.slice("all", F.lit(1), most), lambda x: x["df"] > 1)
+    return grouped.select("id", "n", F.transform("all", lambda x: x["e"]).alias("bag"), F.transform(shared, lambda x: x["e"]).alias("prefix"))
+
+
+def overlap_candidates(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
+    """df: id, norm, one row per normalised text. Pairs (a < b) whose bags of words share enough for the threshold, without a loss.
 
     A pair of la and lb words with o words in common (with multiplicity) has a similarity of at most
-    2 o / (la + lb). Every text is the set of its (word, occurrence) elements, rarest first; two texts that
-    reach the threshold share an element among the first n - ceil(n t / (2 - t)) + 1 of each, so only
-    those prefixes are joined. Frequent words stand at the end and hardly ever in a prefix.
+    2 o / (la + lb). Pairs that share a prefix element and have sizes that allow it are confirmed on their bags. Sizes
+    come in classes of a factor that a near pair spans at most two of, so that a frequent element is many small keys.
     """
-    words = df.select("id", F.explode(F.split("norm", " ")).alias("w")).where("w <> ''")
-    counted = words.groupBy("id", "w").agg(F.count("*").cast("int").alias("times"))
-    elements = counted.select("id", "w", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
-    rarity = elements.groupBy("w", "k").agg(F.count("*").alias("df"))
-    sized = df.select("id", F.size(F.split("norm", " ")).alias("n")).where("norm <> ''")
-    ranked = elements.join(rarity, ["w", "k"]).join(sized, "id")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "w", "k"))
-    prefix = ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)) + 1)
-    left = prefix.where("df > 1").select("w", "k", F.col("id").alias("a"), F.col("n").alias("la"))
-    right = prefix.where("df > 1").select("w", "k", F.col("id").alias("b"), F.col("n").alias("lb"))
-    near_size = 2 * F.least("la", "lb") >= F.lit(threshold) * (F.col("la") + F.col("lb")) - F.lit(1e-9)
-    pairs = left.join(right, ["w", "k"]).where((F.col("a") < F.col("b")) & near_size).select("a", "b", "la", "lb").distinct()
-    # The exact overlap of a pair: common (word, occurrence) elements, each text's in one array.
-    bags = elements.groupBy("id").agg(F.collect_list(F.xxhash64("w", "k")).alias("bag"))
-    x = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("ba")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bb")), "b")
-    got = x.select("a", "b", "la", "lb", F.size(F.array_intersect("ba", "bb")).cast("long").alias("overlap"))
+    own = written(bags(df, threshold))
+    step = 2 / threshold - 1  # a near pair's sizes differ by this factor at most
+    band = F.floor(F.log("n") / F.lit(math.log(step))).cast("int")
+    keyed = own.select("id", "n", F.explode("prefix").alias("e"), band.alias("band"))
+    left = keyed.select("e", "band", F.col("id").alias("x"), F.col("n").alias("nx"))
+    right = keyed.select("e", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own_band"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    near_size = 2 * F.least("nx", "ny") >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - F.lit(1e-9)
+    once = (F.col("x") != F.col("y")) & ((F.col("band") != F.col("own_band")) | (F.col("x") < F.col("y")))
+    pairs = left.join(right, ["e", "band"]).where(once & near_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda key, n, bag: own.select(F.col("id").alias(key), F.col("n").alias(n), F.col("bag").alias(bag))
+    got = pairs.join(side("a", "la", "ba"), "a").join(side("b", "lb", "bb"), "b")
+    got = got.select("a", "b", "la", "lb", F.size(F.array_intersect("ba", "bb")).cast("long").alias("overlap"))
     return got.where(2 * F.col("overlap") >= F.lit(threshold) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
 
 
 def deduplicated(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
     """df: rank (order of priority, unique), id, text. Every row with status kept or a removal reason.
 
-    One ordered pass, told as a fix-point: a row with an earlier row of the same id is duplicate_id; of the
-    others, a row is kept when no kept earlier row is near it. Rows whose near neighbours before them are all
-    decided are decided together, until none is left. ``written`` cuts the lineage of each round.
+    One ordered pass, told as a fix-point: a row with an earlier row of the same id is duplicate_id; of the others, the
+    first of each normalised text is decided and its equals follow it: duplicates of it where it is kept, else near
+    what it is near. A first row is kept when no kept earlier row is near it. Rows whose near neighbours before
+    them are all decided are decided together, until none is left. ``written`` cuts the lineage of each round.
     """
     first_id = F.row_number().over(Window.partitionBy("id").orderBy("rank")) == 1
-    rows = written(df.withColumn("norm", normalize_any("text")).withColumn("own", first_id).select("rank", "id", "norm", "own"))
-    live = rows.where("own").select(F.col("rank").alias("id"), "norm")
-    pairs = overlap_candidates(live, threshold).select("a", "b")
+    rows = df.withColumn("norm", normalize_any("text")).withColumn("own", first_id)
+    rows = written(rows.select("rank", "id", "norm", "own", F.md5(F.col("norm").cast("binary")).alias("key")))
+    reps = rows.where("own").groupBy("key").agg(F.min("rank").alias("rep"))
+    live = written(rows.join(reps, F.col("rank") == F.col("rep"), "left_semi").select(F.col("rank").alias("id"), "norm"))
+    pairs = overlap_candidates(live, written, threshold).select("a", "b")
     texts = live.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     judged = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
-    judged = judged.withColumn("ratio", similarity_of("nb", "na")).where(F.col("ratio") >= threshold)
-    edges = written(judged.select("a", "b", "ratio", (F.col("na") == F.col("nb")).alias("same")))
-    empty = live.where("norm = ''").select("id")  # texts without words are equal to one another
-    state = written(live.select("id", F.when(F.col("norm") == "", F.when(F.col("id") == F.lit(empty.agg(F.min("id")).first()[0]), True).otherwise(False)).alias("kept")))
+    edges = written(judged.withColumn("ratio", similarity_of("nb", "na")).where(F.col("ratio") >= threshold).select("a", "b", "ratio"))
+    state = written(live.select("id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         e = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         seen = e.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.count_if(F.col("ka").isNull()).alias("open"))
-        nxt = state.join(seen, "id", "left").select(
-            "id",
-            F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))).alias("kept"),
-        )
-        state = written(nxt)
+        decided = F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
+        state = written(state.join(seen, "id", "left").select("id", F.coalesce("kept", decided).alias("kept")))
         if state.where("kept is null").isEmpty():
             break
     kept = state.where("kept").select(F.col("id").alias("a"))
-    why = edges.join(kept, "a").groupBy("b").agg(F.min(F.when(F.col("same"), F.col("a"))).alias("exact"), F.min(F.struct("a", "ratio")).alias("near"))
+    near = edges.join(kept, "a").groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("a", "ratio")).alias("near"))
+    x = rows.join(reps, "key", "left").join(state.select(F.col("id").alias("rep"), "kept"), "rep", "left").join(near, "rep", "left")
+    status = F.when(~F.col("own"), "duplicate_id").when(~F.col("kept"), "near_duplicate").when(F.col("rank") == F.col("rep"), "kept").otherwise("exact_duplicate")
+    x = x.withColumn("status", status)
+    of = F.when(F.col("status") == "exact_duplicate", F.col("rep")).when(F.col("status") == "near_duplicate", F.col("near.a"))
+    ratio = F.when(F.col("status") == "exact_duplicate", 1.0).when(F.col("status") == "near_duplicate", F.col("near.ratio"))
+    x = x.select("rank", "id", "status", of.alias("of"), ratio.alias("similarity"))
     ids = rows.select(F.col("rank").alias("of"), F.col("id").alias("of_id"))
-    x = rows.join(state.withColumnRenamed("id", "rank"), "rank", "left").join(why.withColumnRenamed("b", "rank"), "rank", "left")
-    first_empty = empty.agg(F.min("id")).first()[0]
-    reason = F.when(~F.col("own"), "duplicate_id").when(F.col("kept"), "kept").when(F.col("exact").isNotNull() | (F.col("norm") == ""), "exact_duplicate").otherwise("near_duplicate")
-    of = F.when(F.col("norm") == "", F.lit(first_empty)).otherwise(F.coalesce("exact", "near.a"))
-    x = x.withColumns({"status": reason, "of": F.when(F.col("own") & ~F.col("kept"), of)})
-    x = x.withColumn("ratio", F.when(F.col("status") == "exact_duplicate", 1.0).when(F.col("status") == "near_duplicate", F.col("near.ratio")))
-    x = x.join(ids, "of", "left")
-    return x.select("rank", "id", "status", F.when(F.col("status") == "duplicate_id", F.col("id")).otherwise(F.col("of_id")).alias("duplicate_of"), F.col("ratio").alias("similarity"))
+    return x.join(ids, "of", "left").select("rank", "id", "status", F.when(F.col("status") == "duplicate_id", F.col("id")).otherwise(F.col("of_id")).alias("duplicate_of"), "similarity")
 
 
 def dedup_stats(result: DataFrame) -> DataFrame:
     hit = lambda s: F.count_if(F.col("status") == s)
     return result.agg(F.count("*").alias("input_count"), hit("kept").alias("kept_count"), hit("duplicate_id").alias("duplicate_ids"), hit("exact_duplicate").alias("exact_duplicates"), hit("near_duplicate").alias("near_duplicates"))
+
+
+def similarity_stats(result: DataFrame) -> DataFrame:
+    """Greatest similarity of a removed near duplicate and how many records were held against kept ones."""
+    near = F.col("status") == "near_duplicate"
+    return result.agg(F.max(F.when(near, F.col("similarity"))).alias("max_similarity"), F.count_if(near).alias("near_duplicates"))
