@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,7 +138,7 @@ def stratum_level(df: DataFrame, total: int, levels: tuple[tuple[str, ...], ...]
 
 
 def stratified_split(df: DataFrame, seed: int = 42, minimum: int = 120, key: str = "id") -> DataFrame:
-    """df: key, topic, risk. ``split`` of every row: exact totals, stratum quotas by largest remainder, seeded order.
+    """df: key, topic, risk and, if it is to be checked, scenario_key (a hash of the normalised scenario). ``split`` of every row: exact totals, stratum quotas by largest remainder, seeded order.
 
     Rows rank within their stratum by a hash; strata are dimension values, and quotas are worked out on
     one row per stratum, so no row leaves its executor.
@@ -144,8 +146,9 @@ def stratified_split(df: DataFrame, seed: int = 42, minimum: int = 120, key: str
     total = df.count()
     if total < minimum:
         raise ValueError(f"a split needs {minimum} rows")
-    if df.select(key).distinct().count() != total:
-        raise ValueError("ids must be unique")
+    for name in (key, *[c for c in ("scenario_key",) if c in df.columns]):
+        if df.select(name).distinct().count() != total:
+            raise ValueError(f"{name} must be unique")
     level, sizes = stratum_level(df, total), split_sizes(total)
     x = df.withColumn("stratum", F.concat_ws("|", *[F.col(c) for c in level]) if level else F.lit("all"))
     counts = {r["stratum"]: r["count"] for r in x.groupBy("stratum").count().collect()}
@@ -201,3 +204,39 @@ def chat_records(df: DataFrame, system: str) -> DataFrame:
     answer = F.to_json(F.struct("risk_level", "category", "reason", "action"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return df.select("id", F.array(message("system", F.lit(system)), message("user", user), message("assistant", answer)).alias("messages"))
+
+
+def journal_mismatches(assigned: DataFrame, plan: DataFrame) -> DataFrame:
+    """assigned: batch_id and the columns of the plan, one row per assignment of a journal. Rows that no row of the plan equals; any is fatal."""
+    own = [c for c in plan.columns if c in assigned.columns]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"p.{c}")) for c in own]
+    return assigned.alias("a").join(plan.select(*own).alias("p"), same, "left_anti")
+
+
+def generation_counts(journal: DataFrame, candidates: DataFrame, accepted: DataFrame, plan: DataFrame, before: DataFrame) -> DataFrame:
+    """One row: failed batches, returned records, valid ones before and after, and plan rows without a valid record. before: ids valid at the start."""
+    valid = accepted.select("id").distinct()
+    counted = {
+        "failed_batches": journal.where(F.col("error_category").isNotNull() | F.col("response").isNull()),
+        "returned_count": candidates,
+        "existing_valid": before.select("id").distinct(),
+        "newly_generated": valid.join(before.select("id").distinct(), "id", "left_anti"),
+        "missing_count": plan.join(valid, "id", "left_anti"),
+    }
+    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*[F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in counted])
+
+
+def uniqueness(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: rows, distinct values, and whether they agree."""
+    out = None
+    for k in keys:
+        one = df.agg(F.lit(k).alias("key"), F.count("*").alias("n"), F.count_distinct(k).alias("values"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("unique", F.col("n") == F.col("values"))
+
+
+def prior_first(df: DataFrame, key: str = "norm_md5") -> DataFrame:
+    """df: id, prior and ``key``. Of equal keys the first row stays, rows that an earlier run kept before others, then by id."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(~F.col("prior"), "id"))
+    return df.withColumn("__n", n).where("__n = 1").drop("__n")

@@ -86,3 +86,8 @@ def price_summary(df: DataFrame, as_of=None) -> DataFrame:
     )
     ytd = F.when(finite(F.col("base"), True).isNotNull(), (F.col("this_year") / F.col("base") - 1) * 100)
     return got.withColumn("ytd_return_pct", ytd).drop("base", "this_year")
+
+
+def with_metadata(summary: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Summaries with pe_ratio from ratios (series, pe_ratio); null where there is none."""
+    return summary.join(ratios, "series", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,11 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.scalar import normalized, r6, redacted, title_key, word_count
-from ..operators import dataset, evidence, signals, text, timeseries
+from ..operators import claims, dataset, evidence, signals, text, timeseries
 from ..sources import bars
 from ..streaming import windowed_bars
 
+_LOCAL: list[str] = []
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -29,15 +32,23 @@ def query(sql: str | None = None):
     return add
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that executors share; a local master may leave spark.checkpoint.dir unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that executors share; only a local master may leave spark.checkpoint.dir unset, and gets one that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/tarnwell-plans"
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tarnwell-plans-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = f"file://{_LOCAL[0]}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -149,9 +160,15 @@ _FACTS = """(close / sma_50 - 1) * 100 AS p50, (close / sma_200 - 1) * 100 AS p2
  CASE WHEN bb_lower <= bb_middle AND bb_middle <= bb_upper THEN CASE WHEN close < bb_lower THEN 'below_lower' WHEN close > bb_upper THEN 'above_upper' WHEN close = bb_middle THEN 'middle' WHEN close < bb_middle THEN 'lower_half' ELSE 'upper_half' END END AS band_location"""
 
 
-@query(f"{_FULL} SELECT series, d, score, momentum FROM signal")
+def _reason(a: str, b: str) -> str:
+    """SQL of one vote's reason; a, b: the names it gives."""
+    x, y = a.lower(), "50" if b == "50" else b.lower()
+    return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN '{a} vs {b}: unavailable (0)' WHEN {x} > {y} THEN '{a} above {b} (+1)' WHEN {x} < {y} THEN '{a} below {b} (-1)' ELSE '{a} equals {b} (+0)' END"
+
+
+@query(f"{_FULL} SELECT series, d, score, momentum, concat_ws('; ', {', '.join(_reason(a, b) for a, b in signals.VOTES)}) AS reasons FROM signal")
 def momentum_votes(spark, sf_dir):
-    return _indicators(spark, sf_dir).select("series", "d", "score", "momentum")
+    return _indicators(spark, sf_dir).select("series", "d", "score", "momentum", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(f"""{_FULL}, f AS (SELECT series, d, momentum, {_FACTS} FROM signal)
@@ -209,6 +226,8 @@ def history_sufficiency(spark, sf_dir):
     return last.groupBy("series").agg(F.count("*").alias("n_rows"), ((F.count("*") >= 200) & F.bool_and("valid")).alias("sufficient"))
 
 
+WANTED = 2_000  # headlines that a union of sources is cut to
+
 # Headlines: first line of each document by id, and page titles as the fallback source.
 _TITLES = "titles AS (SELECT doc_id AS pos, trim(split_part(text, chr(10), 1)) AS title FROM documents)"
 _KEY = "regexp_replace(lower(trim(title)), '\\s+', ' ', 'g')"
@@ -224,12 +243,12 @@ def headlines_dedup(spark, sf_dir):
 
 
 @query(f"""WITH {_TITLES}, pages_ AS (SELECT page_id AS pos, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
- both_ AS (SELECT * FROM (SELECT pos, title, 0 AS source_rank FROM titles ORDER BY pos LIMIT 20) UNION ALL SELECT pos, title, 1 FROM pages_),
+ both_ AS (SELECT pos, title, 0 AS source_rank FROM titles UNION ALL SELECT pos, title, 1 FROM pages_),
  one AS (SELECT *, {_KEY} AS title_key FROM both_ WHERE {_KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY source_rank, pos) = 1)
- SELECT pos, title, source_rank, title_key FROM one ORDER BY source_rank, pos LIMIT 50""")
+ SELECT pos, title, source_rank, title_key FROM one ORDER BY source_rank, pos LIMIT {WANTED}""")
 def headlines_fallback(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return text.headline_union(_titles(spark, sf_dir).orderBy("pos").limit(20), pages, 50)
+    return text.headline_union(_titles(spark, sf_dir), pages, WANTED)
 
 
 def _sentiments(spark, sf_dir):
@@ -284,14 +303,14 @@ def word_counts(spark, sf_dir):
     return text.word_counts(_docs(spark, sf_dir))
 
 
-@query(f"""WITH n AS (SELECT doc_id AS id, string_split({_NORM}, ' ') AS ws FROM documents WHERE {_NORM} <> ''),
+@query(f"""WITH n AS (SELECT min(doc_id) AS id, string_split(n, ' ') AS ws FROM (SELECT doc_id, {_NORM} AS n FROM documents) WHERE n <> '' GROUP BY n),
  e AS (SELECT id, w, count(*) AS k, any_value(l) AS l FROM (SELECT id, unnest(ws) AS w, len(ws) AS l FROM n) GROUP BY id, w),
- rare AS (SELECT w FROM e GROUP BY w HAVING count(*) BETWEEN 2 AND 1000000),
- p AS (SELECT a.id AS a, b.id AS b, a.l AS la, b.l AS lb, sum(least(a.k, b.k)) AS o FROM e a JOIN e b ON a.w = b.w AND a.id < b.id AND 2 * least(a.l, b.l) >= 0.88 * (a.l + b.l) - 1e-9 SEMI JOIN rare ON rare.w = a.w GROUP BY 1, 2, 3, 4)
+ p AS (SELECT a.id AS a, b.id AS b, a.l AS la, b.l AS lb, sum(least(a.k, b.k)) AS o FROM e a JOIN e b ON a.w = b.w AND a.id < b.id AND 2 * least(a.l, b.l) >= 0.88 * (a.l + b.l) - 1e-9 GROUP BY 1, 2, 3, 4)
  SELECT a, b, CAST(la AS INTEGER) AS la, CAST(lb AS INTEGER) AS lb, CAST(o AS BIGINT) AS overlap FROM p WHERE 2 * o >= 0.88 * (la + lb) - 1e-9""")
 def near_dup_overlap(spark, sf_dir):
+    """Pairs of first documents of their texts; exact_duplicates tells who else has the text."""
     x = written(_docs(spark, sf_dir).select("id", normalized(F.col("text")).alias("norm")))
-    return text.overlap_candidates(x)
+    return text.overlap_candidates(text.one_per_text(x), written)
 
 
 def _deduped(spark, sf_dir):
@@ -375,7 +394,7 @@ def _candidates(spark, sf_dir):
         F.lit("KYC").alias("category"),
         F.lit("Internal policy: identity evidence is complete.").alias("policy_excerpt"),
         F.when(i % 19 == 0, "high").otherwise("low").alias("risk_level"),
-        F.substring("text", 1, 300).alias("scenario"),
+        F.col("text").alias("scenario"),
     )
 
 
@@ -392,7 +411,7 @@ def _asked(spark, sf_dir):
 
 
 _ACC = """c AS (SELECT doc_id // 5 AS batch_id, doc_id % 5 AS pos, CASE WHEN doc_id % 13 = 0 THEN 'other_' || doc_id WHEN doc_id % 11 = 0 AND doc_id % 5 <> 0 THEN 'doc_' || (doc_id - 1) ELSE 'doc_' || doc_id END AS id,
- CASE WHEN doc_id % 17 = 0 THEN 'AML' ELSE 'KYC' END AS topic, CASE WHEN doc_id % 19 = 0 THEN 'high' ELSE 'low' END AS risk_level, length(trim(substr(text, 1, 300))) AS n FROM documents),
+ CASE WHEN doc_id % 17 = 0 THEN 'AML' ELSE 'KYC' END AS topic, CASE WHEN doc_id % 19 = 0 THEN 'high' ELSE 'low' END AS risk_level, length(trim(text)) AS n FROM documents),
  a AS (SELECT doc_id // 5 AS batch_id, 'doc_' || doc_id AS id, true AS asked FROM documents),
  o AS (SELECT c.*, CASE WHEN coalesce(n, 0) NOT BETWEEN 20 AND 2000 THEN 'schema_validation' WHEN asked IS NULL THEN 'unrequested_id' WHEN topic <> 'KYC' THEN 'assignment_mismatch' WHEN risk_level <> 'low' THEN 'assigned_risk_mismatch' END AS own
  FROM c LEFT JOIN a USING (batch_id, id)),
@@ -436,26 +455,30 @@ def _split(spark, sf_dir):
     return dataset.stratified_split(_examples(spark, sf_dir).select("id", "topic", "risk", F.md5(normalized(F.col("scenario")).cast("binary")).alias("norm_md5")))
 
 
-@query(f"""WITH {_EX}, t AS (SELECT count(*) AS n FROM ex), sz AS (SELECT n, CASE WHEN (n % 10) * 1 >= 5 OR n % 10 = 0 THEN n // 10 + CASE WHEN n % 10 = 0 THEN 0 ELSE 1 END ELSE n // 10 END AS h FROM t),
+_SPLIT = f"""{_EX}, t AS (SELECT count(*) AS n FROM ex), sz AS (SELECT n, CASE WHEN (n % 10) * 1 >= 5 OR n % 10 = 0 THEN n // 10 + CASE WHEN n % 10 = 0 THEN 0 ELSE 1 END ELSE n // 10 END AS h FROM t),
  st AS (SELECT topic || '|' || risk AS stratum, count(*) AS c FROM ex GROUP BY 1),
  q AS (SELECT stratum, c, CAST(floor(c * h * 1.0 / n) AS BIGINT) AS base, c * h * 1.0 / n - floor(c * h * 1.0 / n) AS frac, h FROM st, sz),
  tq AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, stratum) <= h - sum(base) OVER () THEN 1 ELSE 0 END AS n_test FROM q),
- r AS (SELECT ex.*, topic || '|' || risk AS stratum, row_number() OVER (PARTITION BY topic || '|' || risk ORDER BY md5(CAST(id AS VARCHAR) || '|42|split'), id) AS place FROM ex)
- SELECT id, topic, risk, r.stratum, CASE WHEN place <= n_test THEN 'test' WHEN place <= 2 * n_test THEN 'validation' ELSE 'train' END AS split FROM r JOIN tq USING (stratum)""")
+ r AS (SELECT ex.*, topic || '|' || risk AS stratum, row_number() OVER (PARTITION BY topic || '|' || risk ORDER BY md5(CAST(id AS VARCHAR) || '|42|split'), id) AS place FROM ex),
+ split AS (SELECT id, topic, risk, r.stratum, scenario AS text, CASE WHEN place <= n_test THEN 'test' WHEN place <= 2 * n_test THEN 'validation' ELSE 'train' END AS split FROM r JOIN tq USING (stratum))"""
+
+
+@query(f"WITH {_SPLIT} SELECT id, topic, risk, stratum, split FROM split")
 def stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("id", "topic", "risk", "stratum", "split")
 
 
-@query()
+@query(f"WITH {_SPLIT}, k AS (SELECT 'id' AS key, CAST(id AS VARCHAR) AS value, split FROM split UNION ALL SELECT 'norm_md5', md5({_NORM}), split FROM split) SELECT key, value, count(DISTINCT split) AS splits FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
 def split_leakage(spark, sf_dir):
     return dataset.leakage(_split(spark, sf_dir), ("id", "norm_md5"))
 
 
-@query(f"""WITH {_EX} SELECT id, 3 AS n_messages, 'system' AS first_role, length('Policy:' || chr(10) || 'Internal policy.' || chr(10) || chr(10) || 'Scenario:' || chr(10) || scenario) AS user_chars FROM ex""")
+@query(f"""WITH {_EX} SELECT id, 'system|user|assistant' AS roles, 'You triage cases.' AS system, md5('Policy:' || chr(10) || 'Internal policy.' || chr(10) || chr(10) || 'Scenario:' || chr(10) || scenario) AS user_md5,
+ '{{"risk_level":"' || risk || '","category":"' || topic || '","reason":"because","action":"review the case"}}' AS answer FROM ex""")
 def chat_records(spark, sf_dir):
     x = _examples(spark, sf_dir).select("id", F.lit("Internal policy.").alias("policy_excerpt"), "scenario", F.col("risk").alias("risk_level"), F.col("topic").alias("category"), F.lit("because").alias("reason"), F.lit("review the case").alias("action"))
-    m = dataset.chat_records(x, "You triage cases.")
-    return m.select("id", F.size("messages").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"), F.length(F.col("messages")[1]["content"]).cast("long").alias("user_chars"))
+    m = dataset.chat_records(x, "You triage cases.").select("id", F.array_join(F.transform("messages", lambda x: x["role"]), "|").alias("roles"), *[F.col("messages")[i]["content"].alias(f"c{i}") for i in range(3)])
+    return m.select("id", "roles", F.col("c0").alias("system"), F.md5(F.col("c1").cast("binary")).alias("user_md5"), F.col("c2").alias("answer"))
 
 
 # Tool calls: one per turn of a conversation.
@@ -492,30 +515,79 @@ def citation_check(spark, sf_dir):
     return x.select("conv_id", F.size(c["unknown"]).alias("n_unknown"), c["within"].alias("within"), c["has_quantitative"].alias("has_quantitative"))
 
 
-@query(f"""WITH {BARS}, {_SUMMARY} SELECT series AS evidence_id, 'current_price' AS name, current_price AS value, current_price AS observed, true AS grounded FROM summary
- UNION ALL SELECT series, 'ytd_return_pct', {_r6('ytd + 1')}, {_r6('ytd')}, CASE WHEN ytd IS NULL THEN true ELSE false END FROM summary""")
+_METRICS = (("current_price", 0), ("ytd_return_pct", 1), ("RSI", 0), ("MACD_histogram", 1e-7), ("SMA_200", 0), ("pe_ratio", 0))
+
+
+@query(f"""{_FULL}, last AS (SELECT * FROM signal QUALIFY row_number() OVER (PARTITION BY series ORDER BY d DESC) = 1), {_SUMMARY},
+ o AS (SELECT l.series, s.current_price, {_r6('s.ytd')} AS ytd_return_pct, {_r6('l.rsi')} AS rsi, {_r6('l.macd_histogram')} AS macd_histogram, {_r6('l.sma_200')} AS sma_200, CAST(NULL AS DOUBLE) AS pe_ratio FROM last l JOIN summary s USING (series)),
+ m AS ({' UNION ALL '.join(f"SELECT series AS evidence_id, '{n}' AS name, {n.lower()} + {d} AS value, {n.lower()} AS observed FROM o" for n, d in _METRICS)} UNION ALL SELECT 'nowhere', 'RSI', 50.0, NULL)
+ SELECT *, CASE WHEN value IS NULL THEN observed IS NULL ELSE coalesce(abs(value - observed) <= greatest(1e-9 * greatest(abs(value), abs(observed)), 1e-9), false) END AS grounded FROM m""")
 def metric_grounding(spark, sf_dir):
-    s = written(signals.price_summary(bars.validated(_bars(spark, sf_dir))).withColumn("ytd_return_pct", r6(F.col("ytd_return_pct"))))
-    obs = s.select(F.col("series").alias("evidence_id"), F.to_json(F.struct(F.struct("current_price", "ytd_return_pct").alias("summary"))).alias("output"))
-    m = s.select(F.col("series").alias("evidence_id"), F.lit("current_price").alias("name"), F.col("current_price").alias("value"))
-    m = m.unionByName(s.select(F.col("series").alias("evidence_id"), F.lit("ytd_return_pct").alias("name"), r6(F.col("ytd_return_pct") + 1).alias("value")))
-    return evidence.grounded_metrics(m, obs)
+    """Values as they stand in the outputs, values that are off by 1 and by 1e-7, missing ones and an unknown observation."""
+    x = written(_indicators(spark, sf_dir))
+    last = written(signals.latest(x).join(signals.price_summary(x), "series").withColumn("pe_ratio", F.lit(None).cast("double")))
+    r = {n: (F.col(n) if n == "current_price" else r6(F.col(n))).alias(n) for n, _ in _METRICS}
+    parts = {"summary": ("current_price", "ytd_return_pct", "pe_ratio"), "latest_indicators": ("RSI", "MACD_histogram", "SMA_200")}
+    obs = last.select(F.col("series").alias("evidence_id"), F.to_json(F.struct(*[F.struct(*[r[n] for n in names]).alias(part) for part, names in parts.items()])).alias("output"))
+    claims_ = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (r[n] + F.lit(float(d))).alias("value")) for n, d in _METRICS]))
+    m = last.select(F.col("series").alias("evidence_id"), claims_.alias("c")).select("evidence_id", "c.name", "c.value")
+    return evidence.grounded_metrics(m.unionByName(spark.createDataFrame([("nowhere", "RSI", 50.0)], m.schema)), obs)
+
+
+# Sentences that keep to or break each rule of report texts; every document makes a report of two of them.
+SAID = (
+    "Cash flow is strong.", "Cash flow is not assessed.", "Solvency unavailable, earnings-quality is unknown but the balance-sheet is sound.", "There is no view on cash-flow; solvency remains good.",
+    "The optimal strike is near.", "No optimal put was found.", "An optimal view.", "Premium is attractive.", "We do not know if implied volatility is cheap.", "PE is above its historical ratio.", "The ratio is not above the sector.", "Valued below the sector, P/E 20.5.",
+    "Hedge about 30% of exposure.", "We do not set a 5% stop-loss.", "Use NVDA futures.", "Stop-loss near 7.5%; cover 12 %.", "The strike is at $120.", "The 90-day move is 22.7%.", "The 90-day move is 38%.", "The annualized 90-day volatility is 38%.",
+    "22.66% as a 90-day expected move.", "A 5% one-sigma move; one-sigma return scale is 22.71%.", "9 of 10 headlines analyzed; 3 positive.", "8 of 10 headlines were analyzed.", "2 failed, 5 neutral.", "Analysis of 9 recent headlines, 1 negative.", "12 positive items and 1 analyses failed.", "9 of 11 headlines.",
+)
+VOLATILITY, COUNTED = 0.3796, {"successful_count": 9, "failed_count": 1, "positive_count": 3, "negative_count": 1, "neutral_count": 5, "total_headline_count": 10}
 
 
 def _reports(spark, sf_dir):
-    """Report texts made from bars: a sigma claim that is right for every second series, and a count claim."""
-    v = timeseries.annualized_volatility(bars.validated(_bars(spark, sf_dir)), 30)
-    pct = F.col("annualized_volatility") * 100 * F.sqrt(F.lit(90 / 252)) + F.when(F.length("series") % 2 == 0, 0.0).otherwise(1.0)
-    said = F.format_string("The 90-day one-standard-deviation move is %.2f%%. 3 positive and 1 negative headlines. Cash flow is strong.", pct)
-    return v.select(
-        F.col("series").alias("report_id"), F.lit("market_sentiment_summary").alias("field"), said.alias("text"), F.lit("NVDA").alias("ticker"),
-        F.array("annualized_volatility").alias("volatility"), F.array(F.create_map(F.lit("positive_count"), F.lit(3).cast("long"), F.lit("negative_count"), F.lit(2).cast("long"))).alias("counts"),
+    """A report per document from two of the sentences; every second is a hedge recommendation."""
+    i, said = F.col("doc_id"), F.array(*map(F.lit, SAID))
+    pick = lambda n: F.element_at(said, (n % len(SAID) + 1).cast("int"))
+    counts = F.create_map(*[F.lit(x) for k, v in COUNTED.items() for x in (k, v)]).cast("map<string,bigint>")
+    return table(spark, sf_dir, "documents").select(
+        i.alias("report_id"), F.when(i % 2 == 0, "hedge_strategy_recommendation").otherwise("market_sentiment_summary").alias("field"), F.concat_ws(" ", pick(i), pick(F.floor(i / 3))).alias("text"),
+        F.lit("NVDA").alias("ticker"), F.array(F.lit(VOLATILITY)).alias("volatility"), F.array(counts).alias("counts"),
     )
 
 
-@query()
+def _claims_sql() -> str:
+    """The rules in SQL. RE2 has no look-around, but the sentence break needs none: a mark, then space. A mention is found by its own text."""
+    q = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    c = claims
+    before, after = "substr({s}, 1, strpos({s}, {m}) - 1)", "substr({s}, strpos({s}, {m}) + length({m}))"
+    denied = lambda s, m: f"(regexp_matches({before.format(s=s, m=m)}, {q(c.DENIED_BEFORE)}) OR regexp_matches({after.format(s=s, m=m)}, {q('^(?:' + c.DENIED_AFTER + ')')}))"
+    first = lambda p: f"(regexp_extract(s, {q(p)}) <> '' AND NOT {denied('s', f'regexp_extract(s, {q(p)})')})"
+    has = lambda p: f"regexp_matches(s, {q(p)})"
+    futures = r"\bNVDA\s+futures\b"
+    rules = {
+        "fundamentals": f"{has(c.ASSERTED)} AND len(list_filter(regexp_extract_all(s, {q(c.FUNDAMENTALS)}), lambda m : NOT {denied('s', 'm')})) > 0",
+        "optimal_option": f"{has(c.OPTION)} AND {first(c.OPTIMAL)}",
+        "option_valuation": first(c.OPTION_VALUE),
+        "benchmark_valuation": f"{has(c.YARDSTICK)} AND {has(c.RATIO)} AND {first(c.COMPARED)}",
+        "hedge_sizing": f"field = 'hedge_strategy_recommendation' AND CASE WHEN {has(c.SIZING)} THEN {first(c.SIZING)} ELSE {first(futures)} END",
+    }
+    for key, patterns in c.COUNTS.items():
+        part_of = f"AND NOT regexp_matches({before.format(s='s', m='m')}, '\\d+\\s+of\\s+$')" if key == "successful_count" else ""
+        rules[key] = " OR ".join(f"len(list_filter(regexp_extract_all(s, {q(p)}), lambda m : CAST(regexp_extract(m, {q(p)}, 1) AS BIGINT) <> {COUNTED[key]} {part_of})) > 0" for p in patterns)
+    sigma = VOLATILITY * 100 * (90 / 252) ** 0.5
+    look = f"substr(t, greatest(1, strpos(t, m) - {c.SIGMA_LOOK_BACK}), strpos(t, m) - greatest(1, strpos(t, m) - {c.SIGMA_LOOK_BACK}))"
+    scale = " OR ".join(f"len(list_filter(regexp_extract_all(t, {q(p)}), lambda m : abs(CAST(regexp_extract(m, {q(p)}, 1) AS DOUBLE) - {sigma!r}) > 0.06 AND NOT regexp_matches({look}, {q(c.SIGMA_OTHER_SCALE)}))) > 0" for p in c.SIGMA)
+    flags = ", ".join(f"bool_or({e}) AS {n}" for n, e in rules.items())
+    names = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in c.RULES)
+    return f"""WITH r AS (SELECT doc_id AS report_id, CASE WHEN doc_id % 2 = 0 THEN 'hedge_strategy_recommendation' ELSE 'market_sentiment_summary' END AS field,
+ {_list(SAID)}[doc_id % {len(SAID)} + 1] || ' ' || {_list(SAID)}[(doc_id // 3) % {len(SAID)} + 1] AS t FROM documents),
+ s AS (SELECT report_id, field, unnest(string_split_regex(t, '[.!?;]\\s+')) AS s FROM r), f AS (SELECT report_id, {flags} FROM s GROUP BY 1), g AS (SELECT report_id, {scale} AS sigma_scale FROM r)
+ SELECT report_id, coalesce(concat_ws(',', {names}), '') AS broken FROM f JOIN g USING (report_id)"""
+
+
+@query(_claims_sql())
 def report_claims(spark, sf_dir):
-    return evidence.check_reports(_reports(spark, sf_dir)).select("report_id", F.array_join("broken", ",").alias("broken"))
+    return claims.check_reports(_reports(spark, sf_dir)).select("report_id", F.array_join("broken", ",").alias("broken"))
 
 
 @query(f"WITH {_CALLS} SELECT conv_id, turn, md5(substr(regexp_replace(regexp_replace('Bearer ' || md5(coalesce(output, '')) || ' sk-' || md5(tool) || ' ' || coalesce(output, ''), '(?:gsk_|sk-|hf_)[A-Za-z0-9_-]{{8,}}', '[REDACTED]', 'g'), '(?i)Bearer\\s+[A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'), 1, 200)) AS output_md5 FROM calls")
@@ -543,18 +615,18 @@ def indicator_sanity(spark, sf_dir):
     return timeseries.with_indicators(bars.validated(_bars(spark, sf_dir))).groupBy("series").agg(F.bool_and(ok["rsi"]).alias("rsi_ok"), F.bool_and(ok["bands"]).alias("bands_ok"))
 
 
-# Recommendations: the first 300 characters of a document as reasoning, its label as signal. RE2 has no look-around, so the SQL marks breaks first.
+# Recommendations: a document as reasoning, a signal by its id. RE2 has no look-around, so the SQL marks breaks first.
 _SENTENCES = "string_split(regexp_replace(regexp_replace(trim(r), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS r, CASE WHEN doc_id % 3 = 0 THEN 'BULLISH' WHEN doc_id % 3 = 1 THEN 'NEUTRAL' ELSE 'HOLD' END AS signal FROM documents), s AS (SELECT *, {_SENTENCES} AS x FROM d)
- SELECT doc_id, signal IN ('BULLISH', 'BEARISH', 'NEUTRAL') AS signal_ok, CAST(len(x) AS INTEGER) AS n_sentences, len(x) BETWEEN 3 AND 5 AS sentences_ok,
+@query(f"""WITH d AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 3 = 0 THEN 'BULLISH' WHEN doc_id % 3 = 1 THEN 'NEUTRAL' ELSE 'HOLD' END AS signal FROM documents), s AS (SELECT *, {_SENTENCES} AS x FROM d)
+ SELECT doc_id, signal IN ('BULLISH', 'BEARISH', 'NEUTRAL') AS signal_ok, length(r) <= 900 AS length_ok, CAST(len(x) AS INTEGER) AS n_sentences, len(x) BETWEEN 3 AND 5 AS sentences_ok,
  len(list_filter(x, lambda y : NOT regexp_matches(y, '[.!?]\\z'))) = 0 AS closed_ok FROM s""")
 def recommendation_rules(spark, sf_dir):
     i = F.col("doc_id")
-    x = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("reasoning"), F.when(i % 3 == 0, "BULLISH").when(i % 3 == 1, "NEUTRAL").otherwise("HOLD").alias("signal"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reasoning"), F.when(i % 3 == 0, "BULLISH").when(i % 3 == 1, "NEUTRAL").otherwise("HOLD").alias("signal"))
     ok = rules.recommendation()
-    return x.select("doc_id", ok["signal"].alias("signal_ok"), F.size(rules.sentences(F.col("reasoning"))).alias("n_sentences"), ok["sentences"].alias("sentences_ok"), ok["closed"].alias("closed_ok"))
+    return x.select("doc_id", ok["signal"].alias("signal_ok"), ok["length"].alias("length_ok"), F.size(rules.sentences(F.col("reasoning"))).alias("n_sentences"), ok["sentences"].alias("sentences_ok"), ok["closed"].alias("closed_ok"))
 
 
 @query(f"""WITH {_SENT}, a AS (SELECT source, {_AGG} FROM s GROUP BY 1) SELECT source, successful_count + failed_count AS total_count, positive_count + negative_count + neutral_count = successful_count AS adds_up FROM a""")

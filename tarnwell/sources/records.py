@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import JournalError
-from ..functions.scalar import title_key
+from ..functions.scalar import finite, host, title_key
 
 NEWS_SCHEMA = (
     "title string, publisher string, link string, pubDate string, providerPublishTime double, provider struct<displayName:string>, canonicalUrl struct<url:string>, clickThroughUrl struct<url:string>, "
@@ -88,12 +89,35 @@ def batch_candidates(journal: DataFrame, fields: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str, ticker: str, as_of: str, version: int) -> DataFrame:
-    """Cached runs of a ticker and day; another version, or none, is a miss (no rows)."""
+    """Cached runs of a ticker and day; a missing file, broken lines, another version or none are a miss (no rows). A store that fails is an error."""
+    schema = "version int, payload string, ticker string, as_of string, workflow string"
     try:
-        df = spark.read.parquet(path)
-    except Exception:
-        return spark.createDataFrame([], "ticker string, as_of string, workflow string, version int, payload string")
-    return df.where((F.col("ticker") == ticker) & (F.col("as_of").cast("string") == as_of) & (F.col("version") == version))
+        df = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    fine = (F.col("ticker") == ticker) & (F.col("as_of") == as_of) & (F.col("version") == version) & F.col("_bad").isNull()
+    return df.where(fine).drop("_bad")
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """Clean records from JSON lines; a broken line is an error."""
+    fields = "id string, topic string, category string, policy_excerpt string, scenario string, risk_level string, reason string, action string"
+    return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
+
+
+def pe_ratios(raw: DataFrame, column: str = "info") -> DataFrame:
+    """raw: series and a JSON object of a provider's metadata. The trailing price-earnings ratio where it is a finite number."""
+    return raw.select("series", finite(F.get_json_object(column, "$.trailingPE").try_cast("double")).alias("pe_ratio"))
+
+
+def observation_views(observations: DataFrame, most: int = 400) -> DataFrame:
+    """observations: evidence_id, tool, output (JSON). What a provider sees of searches: titles, short snippets and hosts, no addresses."""
+    item = "struct<title:string,snippet:string,url:string>"
+    found = F.from_json(F.col("output"), f"query string, results array<{item}>")
+    short = F.transform(found["results"], lambda r: F.struct(r["title"].alias("title"), F.substring(r["snippet"], 1, most).alias("snippet"), host(r["url"]).alias("source")))
+    return observations.select("evidence_id", "tool", found["query"].alias("query"), short.alias("results"))
 
 
 def read_trace(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:

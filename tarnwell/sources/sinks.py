@@ -9,7 +9,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import html_escaped
+from ..functions.scalar import html_escaped, redacted, redacted_values, secret_values
 
 
 def no_nan(df: DataFrame) -> DataFrame:
@@ -28,23 +28,44 @@ def append_journal(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "append")
 
 
-def manifest(split: DataFrame, seed: int, stratified_by: str) -> DataFrame:
-    """Per split: rows, ids in order and SHA-256 over the rows' JSON in the order of ids."""
+MANIFEST_ROWS = 10_000
+
+
+def manifest(split: DataFrame, seed: int, stratified_by: str, block_rows: int = MANIFEST_ROWS) -> DataFrame:
+    """Per split: rows and a SHA-256 over the hashes of its blocks, each the SHA-256 of its rows' JSON in the order of ids.
+
+    Rows are dealt to blocks of about ``block_rows`` by a hash of the id, so that no task holds a whole split.
+    """
     line = F.to_json(F.struct(*[c for c in split.columns if c != "split"]))
-    got = split.groupBy("split").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("id"), line.alias("line")))).alias("all"))
-    sha = F.sha2(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), 256)
-    return got.select("split", "n", F.transform("all", lambda x: x["id"]).alias("ids"), sha.alias("sha256"), F.lit(seed).alias("seed"), F.lit(stratified_by).alias("stratified_by"))
+    n = split.groupBy("split").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    dealt = split.select("split", "id", line.alias("line")).join(n, "split").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
+    block = dealt.groupBy("split", "n", "block").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("block", "sha"))), lambda x: x["sha"])
+    return block.groupBy("split", "n").agg(F.sha2(F.array_join(whole, "\n"), 256).alias("sha256")).select("split", "n", "sha256", F.lit(seed).alias("seed"), F.lit(stratified_by).alias("stratified_by"))
 
 
 def save_splits(split: DataFrame, path: str, seed: int = 42, stratified_by: str = "topic") -> None:
-    """Refuses to replace an existing split or manifest."""
+    """Refuses to replace an existing split or manifest. ``ids`` lists the ids of each split in order."""
     split.write.mode("errorifexists").partitionBy("split").option("ignoreNullFields", "false").json(f"{path}/splits")
+    split.select("split", "id").repartitionByRange("split", "id").sortWithinPartitions("split", "id").write.mode("errorifexists").json(f"{path}/ids")
     manifest(split, seed, stratified_by).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def save_cache(df: DataFrame, path: str) -> None:
-    """df: ticker, as_of, workflow and more. Replaces the slots it has rows for and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "as_of", "workflow").parquet(path)
+    """df: ticker, as_of, workflow and more, as JSON lines. Replaces the slots it has rows for and leaves the others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("ticker", "as_of", "workflow").json(path)
+
+
+def run_summary(config: dict, counters: DataFrame) -> str:
+    """JSON of a run's parameters and its one row of counters."""
+    return strict_json({"configuration": config, "validation": counters.first().asDict()})
+
+
+def append_trace(events: DataFrame, path: str, most: int = 200) -> None:
+    """New JSON lines of trace events; outputs lose their secrets, then all beyond ``most`` characters."""
+    shown = F.substring(redacted(F.col("output"), secret_values()), 1, most)
+    write_jsonl(events.withColumns({"output": shown, "input_arguments": redacted_values(F.col("input_arguments"), secret_values())}), path, "append")
 
 
 def strict_json(value) -> str:
