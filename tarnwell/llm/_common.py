@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,22 @@ def by_value(name: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow or mapInPandas; at its end the worker, which later stages reuse, gives its free memory back."""
+
+    def go(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return go
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +81,27 @@ def discard(*frames: DataFrame) -> None:
                 break
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: a value for each row that is the same in every read, however the files are split.
+
+    It is made of file and place. What is not a table in files, or more than columns and rows picked from one, is written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "_metadata" in {c.lower() for c in docs.columns}:
+        docs = written(docs.withColumnRenamed("_metadata", f"{name}_metadata"), "numbered")
+    at = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+    return at.withColumnRenamed(f"{name}_metadata", "_metadata")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def others(docs: DataFrame, *taken: str) -> list[str]:
     """Columns of ``docs`` but those in ``taken``: an operator's own columns replace equally named ones."""
     names = {t.lower() for t in taken}
@@ -76,3 +116,6 @@ def id_fold(column: str, folds: int) -> Column:
 def spread(df: DataFrame, rows: int, per_task: int) -> DataFrame:
     """Deal ``df`` round robin over tasks of about ``per_task`` rows."""
     return df.repartition(max(1, -(-rows // per_task)))
+
+
+by_value(__name__)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as tx
-from ._common import by_value, others
+from ._common import by_value, lean, others
 
 WINDOW = 5
 by_value(__name__)
@@ -122,7 +122,7 @@ def _runner(names: list[str]):
                 cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], [*names, *COUNTS])
 
-    return run
+    return lean(run)
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:

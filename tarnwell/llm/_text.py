@@ -1,8 +1,8 @@
 """Vectorised word and shingle hashing over Arrow text buffers.
 
 Words are maximal runs of bytes other than space, tab, newline, vertical tab, form feed and
-carriage return. Documents are worked on in blocks of about a megabyte, whole documents each, so
-that the arrays stay small whatever the batch size; a longer document forms a block alone.
+carriage return. Documents are worked on in blocks of about half a megabyte and some thousand rows, whole documents
+each, so that the arrays stay small whatever the batch size; a longer document forms a block alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 4096
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,12 +37,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES)
+    held = n <= BLOCK_BYTES + 1  # those of a longer document go with it
+    if not held or not _POWERS:
+        got = {}
         for name, base in (("up", BASE), ("down", BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
+            got[name] = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+            got[name][0] = 1
+            np.cumprod(got[name], out=got[name])
+        if not held:
+            return got["up"], got["down"]
+        _POWERS.update(got)
     return _POWERS["up"], _POWERS["down"]
 
 
@@ -58,11 +62,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of documents with at most ``limit`` bytes together, or one document."""
+    """Ranges [i, j) of at most BLOCK_ROWS documents with at most ``limit`` bytes together, or one document."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + BLOCK_ROWS, n)
         yield i, j
         i = j
 

@@ -26,32 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, others, spread, table, written
+from ._common import by_value, lean, others, spread, table, written
 
-CAPACITY, CLOSING_ID, OPEN_BINS, ITEMS_PER_TASK, WORDS_HELD = 4096, 1, 256, 40_000, 600_000
+CAPACITY, CLOSING_ID, OPEN_BINS, ITEMS_PER_TASK, WORDS_HELD = 4096, 1, 256, 40_000, 300_000
 VOCABULARY = "word_bpe_49k.json"
 for _m in (__name__, tx.__name__):
     by_value(_m)
 _PACKED = ("bin", "offset", "left_open", "own", "up", "base")
-_HELD: dict = {}
 
 
 def _tokenizer(path: str):
-    """The worker's tokenizer and what it remembers of words."""
-    if path not in _HELD:
-        import os
+    """The tokenizer of a vocabulary file or, without a folder, of a public one."""
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        if "/" not in path:
-            import public_tokenizers
+    if "/" not in path:
+        import public_tokenizers
 
-            path_on_disk = public_tokenizers.path(path)
-        else:
-            path_on_disk = path
-        _HELD[path] = (Tokenizer.from_file(path_on_disk), {})
-    return _HELD[path]
+        path = public_tokenizers.path(path)
+    return Tokenizer.from_file(path)
 
 
 #: Points and commas that close a word of ASCII letters or digits: tokens of their own, which a space sets apart.
@@ -79,9 +74,8 @@ def _encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
     return out
 
 
-def encode(texts: list[bytes], vocabulary: str = VOCABULARY) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-    tokenizer, held = _tokenizer(vocabulary)
+def encode(texts: list[bytes], tokenizer, held: dict[bytes, bytes]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers, without special tokens. held: the ids of words met before."""
     parts = [_split(t) for t in texts]
     if len(held) > WORDS_HELD:
         held.clear()
@@ -94,11 +88,12 @@ def _cutter(vocabulary: str, capacity: int, closing: int, names: list[str], with
     tail = np.array([closing], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, held = _tokenizer(vocabulary), {}  # of this task, so that the worker keeps neither
         for batch in batches:
             data, at = tx.text_buffer(batch.column(batch.num_columns - 1))
             for i, j in tx.blocks(at):
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, got in enumerate(encode([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)], vocabulary)):
+                for d, got in enumerate(encode([data[at[k] : at[k + 1]].tobytes() for k in range(i, j)], tokenizer, held)):
                     got += tail
                     for p, b in enumerate(range(0, len(got), 4 * capacity)):
                         own = got[b : b + 4 * capacity]
@@ -116,7 +111,7 @@ def _cutter(vocabulary: str, capacity: int, closing: int, names: list[str], with
                     cols, more = [*cols, pa.array(ids, pa.binary())], [*more, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names + more)
 
-    return run
+    return lean(run)
 
 
 def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, closing: int = CLOSING_ID, with_ids: bool = False) -> DataFrame:
@@ -196,7 +191,7 @@ def _packer(capacity: int, open_bins: int, size: str, names: list[str]):
             kept = {b: x for b, x in kept.items() if b in used}
         yield from out(list(waiting), True)
 
-    return run
+    return lean(run)
 
 
 def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = ITEMS_PER_TASK) -> DataFrame:
@@ -207,7 +202,7 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, open_
         tasks = max(1, -(-count // per_task))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in level.schema) + ", bin long, offset long, left_open boolean"
         got = written(spread(level, count, per_task).mapInArrow(_packer(capacity, open_bins, size, level.columns), fields), f"pack-{depth}")
-        name = F.col("bin") * 8 + depth
+        name = F.col("bin") * 64 + depth
         if joined is None:
             joined = got.withColumn("bin", name)
         else:
@@ -218,7 +213,7 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, open_
                 .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
                 .drop("up", "base")
             )
-        if tasks == 1 or depth == 6:
+        if tasks == 1:
             return joined.withColumnRenamed("bin", "sequence_id").drop("left_open")
         level = got.where("left_open").groupBy(name.alias("own")).agg(F.sum(size).alias(size))
         level = written(level, f"pack-left-{depth}")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _stats, rules
 from . import _text as tx
-from ._common import by_value, others, table, written
+from ._common import by_value, lean, others, table, written
 
 BITS, TRAIN_ROWS, CUT = 14, 20_000, 0.5
 for _m in (__name__, tx.__name__, _stats.__name__):
@@ -71,10 +71,12 @@ def _featurer(names: list[str]):
                 lists = [pa.ListArray.from_arrays(split, pa.array(which.astype(np.int32))), pa.ListArray.from_arrays(split, pa.array(value))]
                 yield pa.RecordBatch.from_arrays([*cols, *lists], [*names, "which", "value"])
 
-    return run
+    return lean(run)
 
 
-def _scorer(names: list[str], weights: np.ndarray, bias: float, out: str):
+def _scorer(names: list[str], taken: int, weights: np.ndarray, bias: float):
+    """names: of the columns that stay, the first ``taken`` of a batch, whose last is the text, and of the score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = tx.text_buffer(batch.column(batch.num_columns - 1))
@@ -82,10 +84,10 @@ def _scorer(names: list[str], weights: np.ndarray, bias: float, out: str):
                 part, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 which, value, sizes = features(part, off, _stats.text_counts(part, off))
                 logit = np.bincount(np.repeat(np.arange(j - i), sizes), weights[which] * value, minlength=j - i) + bias
-                cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))], [*names, out])
+                cols = [batch.column(k).slice(i, j - i) for k in range(taken)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))], names)
 
-    return run
+    return lean(run)
 
 
 def fit(which: np.ndarray, value: np.ndarray, doc: np.ndarray, y: np.ndarray, bits: int = BITS, steps: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -120,11 +122,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows:
     return fit(np.concatenate(got["which"].tolist()).astype(np.int64), np.concatenate(got["value"].tolist()), doc, got["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "quality") -> DataFrame:
-    """Other columns of ``docs`` and the quality of each whole text, 0 to 1."""
-    keep = others(docs, text, out)
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "quality", with_text: bool = False) -> DataFrame:
+    """Other columns of ``docs``, the text if wanted, and the quality of each whole text, 0 to 1."""
+    keep = [*others(docs, text, out), *[text] * with_text]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"]
-    return docs.select(*keep, text).mapInArrow(_scorer(keep, *model, out), ", ".join(fields))
+    return docs.select(*others(docs, text, out), text).mapInArrow(_scorer([*keep, out], len(keep), *model), ", ".join(fields))
 
 
 def op7_weak_quality(spark, sf_dir: str) -> DataFrame:
