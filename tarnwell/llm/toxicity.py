@@ -8,13 +8,16 @@ longer patterns in the same automaton: an entry inside one doesn't count. The su
 of the text and mapped to a probability by a logistic curve.
 
 Learning (``learn``): rates of words and word beginnings in toxic and other training rows give each entry
-the weight log(rate in toxic / rate in others), and word pairs that hold an entry but occur in clean rows
-only, in ``PAIR_ROWS`` of them at least, become exception phrases besides the fixed ones. Rows to learn from are a bounded sample: the ``train_rows`` smallest hashes
-of labelled ids. Scoring reads every whole text.
-
-Null and empty text: score of no match. Null ids and labels: not learnt from. Repeated rows are scored
-each; extra columns pass by unread. With nothing to learn from, all scores are the prior. An empty table
-gives an empty result.
+the weight log(rate in toxic / rate in others). An entry needs a weight of ``WEIGHT`` and a rate of rows that is higher
+among toxic ones by ``SURE`` standard errors, so that as many rows as the table's size calls for have to hold it;
+all that pass are taken, words of any length. Word pairs that hold an entry but occur in clean rows only, in
+``PAIR_ROWS`` of them at least, become exception phrases besides the fixed ones. Rows to learn from are a bounded
+sample: the ``train_rows`` smallest hashes of labelled ids. Scoring reads every whole text.
+
+Null and empty text: score of no match. Very long texts are read whole; the length normalisation alone sets them apart.
+Null ids and labels: not learnt from; of several labels of an id the greatest counts. Repeated rows are scored each.
+Ties: of entries that begin at one place the heaviest counts. Extra columns pass by unread; one named like the
+score is replaced. With nothing to learn from, all scores are the prior. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, id_fold, others, table, written
+from ._common import by_value, id_fold, lean, others, table, written
 
-TRAIN_ROWS, MOST_ENTRIES, CUT, PAIR_ROWS = 20_000, 4_000, 0.3, 4
+TRAIN_ROWS, CUT, PAIR_ROWS, WEIGHT, SURE = 20_000, 0.3, 4, 1.2, 2.6
+HELD = 100_000  # words that a task remembers
 PREFIXES = (4, 5, 6, 7)
 for _m in (__name__, tx.__name__):
     by_value(_m)
@@ -62,9 +66,6 @@ _FOLD = Fold()
 _DIGITS = str.maketrans({k: v for k, v in SIGNS.items() if k.isdigit()})
 
 
-_WORDS: dict[str, tuple[str, ...]] = {}
-
-
 def _word(raw: str) -> tuple[str, ...]:
     w = raw.rstrip("!|$@").translate(_FOLD)
     if w.isalpha():
@@ -72,17 +73,18 @@ def _word(raw: str) -> tuple[str, ...]:
     return tuple(p if p.isdigit() else p.translate(_DIGITS) for p in w.split())
 
 
-def fold(text: str) -> list[str]:
-    """Folded words. Signs at the end of a word are punctuation; a word of digits alone stays as it is."""
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
+def fold(text: str, held: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """Folded words. Signs at the end of a word are punctuation; a word of digits alone stays as it is. held: words folded before."""
+    held = {} if held is None else held
+    if len(held) > HELD:
+        held.clear()
     out: list[str] = []
     for raw in text.split():
-        got = _WORDS.get(raw)
+        got = held.get(raw)
         if got is None:
             got = _word(raw)
             if len(raw) < 60:
-                _WORDS[raw] = got
+                held[raw] = got
         out += got
     return out
 
@@ -94,36 +96,35 @@ def _entries(word: str) -> Iterator[str]:
             yield f" {word[:n]}"
 
 
+def _sums(counts: dict[tuple[int, str], list[int]], name: str) -> Iterator[pa.RecordBatch]:
+    """Batches of label, key and two counts; counts is empty after."""
+    keys = list(counts)
+    for i in range(0, len(keys), 50_000):
+        part = keys[i : i + 50_000]
+        cols = [pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part], pa.string())]
+        cols += [pa.array([counts[k][x] for k in part], pa.int64()) for x in (0, 1)]
+        yield pa.RecordBatch.from_arrays(cols, ["label", name, "hits", "rows"])
+    counts.clear()
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, entry, hits, rows) of this task's training rows; entry "" has the words and rows in all."""
-    hits: dict[tuple[int, str], int] = Counter()
-    rows: dict[tuple[int, str], int] = Counter()
-    held: dict[str, list[str]] = {}
+    """(label, entry, hits, rows) of this task's training rows, in parts; entry "" has the words and rows in all."""
+    counts: dict[tuple[int, str], list[int]] = {}
+    held: dict[str, tuple[str, ...]] = {}
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = fold(text or "")
-            hits[label, ""] += len(words)
-            rows[label, ""] += 1
-            own: dict[str, int] = Counter()
+        for label, text in zip(batch.column(0), batch.column(1), strict=True):
+            label, words = label.as_py(), fold(text.as_py() or "", held)
+            own: dict[str, int] = Counter({"": len(words)})
             for w, n in Counter(words).items():
-                if len(w) > 60:
-                    continue
-                if w not in held:
-                    if len(held) > 200_000:
-                        held.clear()
-                    held[w] = list(_entries(w))
-                for e in held[w]:
+                for e in _entries(w):
                     own[e] += n
             for e, n in own.items():
-                hits[label, e] += n
-                rows[label, e] += 1
-    keys = list(hits)
-    for i in range(0, len(keys), 50_000):
-        part = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part], pa.string()), pa.array([hits[k] for k in part], pa.int64()), pa.array([rows[k] for k in part], pa.int64())],
-            ["label", "entry", "hits", "rows"],
-        )
+                c = counts.setdefault((label, e), [0, 0])
+                c[0] += n
+                c[1] += 1
+            if len(counts) > 2 * HELD:
+                yield from _sums(counts, "entry")
+    yield from _sums(counts, "entry")
 
 
 class Lexicon:
@@ -132,10 +133,10 @@ class Lexicon:
     def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, half: float = 40.0, curve: tuple[float, float] = (-3.0, 2.0)):
         self.entries, self.half, self.curve = entries, half, curve
         self.exceptions = tuple(" " + " ".join(fold(x)) + " " for x in exceptions)
-        self._auto = None
+        self._auto, self._held = None, {}
 
     def __getstate__(self):
-        return {**self.__dict__, "_auto": None}
+        return {**self.__dict__, "_auto": None, "_held": {}}
 
     def matcher(self):
         if self._auto is None:
@@ -152,7 +153,7 @@ class Lexicon:
 
     def sums(self, text: str) -> tuple[float, int]:
         """Weight of the matched words and the number of words."""
-        words = fold(text)
+        words = fold(text, self._held)
         auto = self.matcher()
         if not words or not len(auto):
             return 0.0, len(words)
@@ -182,33 +183,31 @@ class Lexicon:
 def _leveller(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            level = [lexicon.level(*lexicon.sums(t or "")) for t in batch.column(1).to_pylist()]
+            level = [lexicon.level(*lexicon.sums(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.float64())], ["label", "level"])
 
-    return run
+    return lean(run)
 
 
 def _pairer(entries: dict[str, float]):
-    """(label, pair, rows): rows of this task that hold two neighbouring words of which one matches an entry."""
+    """(label, pair, hits, rows): rows of this task that hold two neighbouring words of which one matches an entry, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[int, str], int] = Counter()
-        held: dict[str, bool] = {}
+        counts: dict[tuple[int, str], list[int]] = {}
+        held: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = fold(text or "")
-                for w in set(words):
-                    if w not in held:
-                        held[w] = any(e in entries for e in _entries(w))
-                rows.update({(label, f"{a} {b}") for a, b in zip(words, words[1:]) if (held[a] or held[b]) and len(a) <= 60 and len(b) <= 60})
-                if len(held) > 200_000:
-                    held.clear()
-        keys = list(rows)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.int32()), pa.array([k[1] for k in part], pa.string()), pa.array([rows[k] for k in part], pa.int64())], ["label", "pair", "rows"])
-
-    return run
+            for label, text in zip(batch.column(0), batch.column(1), strict=True):
+                label, words = label.as_py(), fold(text.as_py() or "", held)
+                hit = {w for w in set(words) if any(e in entries for e in _entries(w))}
+                for pair, n in Counter(f"{a} {b}" for a, b in zip(words, words[1:]) if a in hit or b in hit).items():
+                    c = counts.setdefault((label, pair), [0, 0])
+                    c[0] += n
+                    c[1] += 1
+                if len(counts) > 2 * HELD:
+                    yield from _sums(counts, "pair")
+        yield from _sums(counts, "pair")
+
+    return lean(run)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -226,31 +225,28 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -
     return float(a), float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, most: int = MOST_ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon from the labelled rows among ``docs``; at most ``train_rows`` labels, ``most`` entries and ``most`` learnt exceptions."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Lexicon from the labelled rows among ``docs``; at most ``train_rows`` labels."""
     picked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64(key), key).limit(train_rows)
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).select("label", "text")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked.withColumnRenamed(key, "id")), "id").select("label", "text")
     rows = written(rows, "toxic-rows")
-    counts = rows.mapInArrow(_counter, "label int, entry string, hits long, rows long")
     side = lambda c, v: F.sum(F.when(F.col("label") == v, F.col(c)).otherwise(0))
-    sums = counts.groupBy("entry").agg(side("hits", 1).alias("h1"), side("hits", 0).alias("h0"), side("rows", 1).alias("r1"), side("rows", 0).alias("r0"))
-    # An entry needs several toxic rows; the all-row entry "" sorts first for its counts.
-    top = sums.where((F.col("r1") >= 4) & ((F.col("entry") == "") | (F.col("h1") > 2 * F.col("h0") * 0.02))).orderBy((F.col("entry") != ""), -F.col("r1") / (F.col("r0") + 1.0), "entry").limit(most).toPandas()
-    if not len(top) or top["entry"][0] != "":
+    four = [side("hits", 1).alias("h1"), side("hits", 0).alias("h0"), side("rows", 1).alias("r1"), side("rows", 0).alias("r0")]
+    sums = written(rows.mapInArrow(lean(_counter), "label int, entry string, hits long, rows long").groupBy("entry").agg(*four), "toxic-counts")
+    all_ = sums.where("entry = ''").first()
+    if all_ is None or not all_["r1"]:
         return Lexicon({}, exceptions, curve=(-2.0, 0.0))
-    all_ = top.iloc[0]
-    top = top.iloc[1:]
-    w1, w0 = float(max(all_["h1"], 1)), float(max(all_["h0"], 1))
-    weight = np.log((top["h1"] + 0.1) / w1) - np.log((top["h0"] + 0.5) / w0)
-    spread = np.log((top["r1"] + 0.5) / (all_["r1"] + 1)) - np.log((top["r0"] + 0.5) / (all_["r0"] + 1))
-    good = (weight > 1.2) & (spread > 0.7)
-    found = {e: float(w) for e, w in zip(top["entry"][good], weight[good], strict=True)}
+    weight = F.log((F.col("h1") + 0.1) / F.lit(max(all_["h1"], 1))) - F.log((F.col("h0") + 0.5) / F.lit(max(all_["h0"], 1)))
+    spread = F.log((F.col("r1") + 0.5) / F.lit(all_["r1"] + 1)) - F.log((F.col("r0") + 0.5) / F.lit(all_["r0"] + 1))
+    error = F.sqrt(1 / (F.col("r1") + 0.5) + 1 / (F.col("r0") + 0.5))
+    good = sums.where("entry <> ''").where((weight > WEIGHT) & (spread > SURE * error)).select("entry", weight.alias("weight"))
+    found = {r["entry"]: r["weight"] for r in sorted(good.collect())}  # of the bounded sample only
     # A whole word adds nothing to a beginning of the same weight.
     entries = {e: w for e, w in found.items() if not any(w <= found.get(e[: n + 1], -1.0) + 0.05 for n in PREFIXES if n + 1 < len(e))}
     lexicon = Lexicon(entries, exceptions)
-    pairs = rows.mapInArrow(_pairer(entries), "label int, pair string, rows long").groupBy("pair").agg(side("rows", 1).alias("r1"), side("rows", 0).alias("r0"))
-    clean = pairs.where((F.col("r1") == 0) & (F.col("r0") >= PAIR_ROWS)).orderBy(-F.col("r0"), "pair").limit(most).collect()
+    pairs = rows.mapInArrow(_pairer(entries), "label int, pair string, hits long, rows long").groupBy("pair").agg(side("rows", 1).alias("r1"), side("rows", 0).alias("r0"))
+    clean = pairs.where((F.col("r1") == 0) & (F.col("r0") >= PAIR_ROWS)).select("pair").orderBy("pair").collect()
     lexicon.exceptions += tuple(f" {x['pair']} " for x in clean)
     levels = rows.mapInArrow(_leveller(lexicon), "label int, level double").groupBy("label", F.round("level", 2).alias("level")).agg(F.count("*").alias("n")).toPandas()
     if levels["label"].nunique() == 2:
@@ -258,23 +254,22 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return lexicon
 
 
-def _scorer(lexicon: Lexicon, names: list[str]):
+def _scorer(lexicon: Lexicon, names: list[str], taken: int):
+    """names: the first columns of a batch, whose last is the text, and the score. taken: how many columns stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(batch.num_columns - 1)
-            got: list[float] = []
-            for i in range(0, len(own), 256):
-                got += [lexicon.score(t) for t in own.slice(i, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names)
+            got = [lexicon.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:taken], pa.array(got, pa.float64())], names)
 
-    return run
+    return lean(run)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
-    """Other columns of ``docs`` and the score of each whole text."""
-    keep = others(docs, text, out)
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", with_text: bool = False) -> DataFrame:
+    """Other columns of ``docs``, the text if wanted, and the score of each whole text."""
+    keep = [*others(docs, text, out), *[text] * with_text]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"]
-    return docs.select(*keep, text).mapInArrow(_scorer(lexicon, [*keep, out]), ", ".join(fields))
+    return docs.select(*others(docs, text, out), text).mapInArrow(_scorer(lexicon, [*keep, out], len(keep)), ", ".join(fields))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
