@@ -27,14 +27,14 @@ from tarnwell.llm import _common, minhash, mixing, packing, quality, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, _common.table(spark, sf_dir, "labels"))
-    score = _unused(docs, "score")
-    return toxicity.score(docs.withColumn(_unused(docs, "body"), F.col("text")), lexicon, _unused(docs, "body"), score).where(F.col(score) < toxicity.CUT).select(*docs.columns)
+    score = _common.unused(docs, "score")
+    return toxicity.score(docs, lexicon, out=score, with_text=True).where(F.col(score) < toxicity.CUT).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs)
-    score = _unused(docs, "quality")
-    return quality.score(docs.withColumn(_unused(docs, "body"), F.col("text")), model, _unused(docs, "body"), score).where(F.col(score) >= quality.CUT).select(*docs.columns)
+    score = _common.unused(docs, "quality")
+    return quality.score(docs, model, out=score, with_text=True).where(F.col(score) >= quality.CUT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs is a table in files, so that a row has the same number in both reads and equal rows stay apart."""
-    row, times = _unused(docs, "row"), _unused(docs, "times")
-    taken = mixing.copies(mixing.sized_rows(docs.select("text", "source"), []), []).where("copies > 0")
-    taken = taken.select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(times))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
+    """Rows are told apart by their place in the files of docs, so that equal rows stay apart."""
+    row, times = _common.unused(docs, "row"), _common.unused(docs, "times")
+    own = _common.numbered(docs, row)
+    taken = mixing.copies(mixing.sized_rows(own, ["doc_id"], row=row), ["doc_id"])
+    taken = taken.where("copies > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(times))
+    return own.join(taken, row).withColumn(times, F.explode(times)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +65,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
