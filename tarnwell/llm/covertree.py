@@ -1,23 +1,28 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to cells around a bounded sample of pivots and each cell into blocks of a bounded
-number of rows, so a cell however hot is many blocks. Every block of data and every group of queries has a
-cover tree: a node's children are a net of its points, half its radius apart and covering them within
-half its radius. A search walks both trees together. For a query node (centre a, radius r) and a data node
-(centre b, radius s) no inner product exceeds
+Vectors are dealt to cells around pivots of a bounded sample and each cell into blocks of about ``block_rows`` rows, so
+that a cell however hot is many blocks. Every block of data and every chunk of queries sent to it has a cover tree: the
+children of a node are a net of its points, farthest point first until half the node's radius is covered, at most
+``FAN`` of them, each with the radius that covers its own points; nodes of up to ``leaf`` points, or of equal
+points, have none. A search walks both trees together. For a query node (centre a, radius r) and a data node (centre b,
+radius s) no inner product exceeds
 
     a.b + |a| s + |b| r + r s
 
-and the pair is dropped when that is below the worst k-th score among the node's queries; equal
-scores are kept, as ties go to the smaller id. Leaves meet in one matrix product.
+and the pair is dropped when that is below the worst k-th score among the node's queries; equal scores are kept, as
+ties go to the smaller id. The wider node is split first; of a query leaf, each point is held against data nodes by itself
+(r = 0). A query leaf meets the data leaves that are left in matrix products, the most promising first, and drops
+others as its k-th scores rise. Before all that it meets one near leaf, so that there is a k-th score to begin with.
 
-Two rounds: each group of queries first searches the block of its own cell, which bounds its k-th scores;
-the bounds then choose, by the same rule on whole blocks, which other blocks the group is sent to. Results
-of a query over its blocks are merged at the end. Nothing approximate remains; pruning changes only time.
+Two rounds: each query first searches the block that it lies in, which bounds its k-th score; the bounds then choose, by
+the same rule on whole cells, which other blocks a query is sent to. Queries travel to blocks in chunks of about
+``chunk_rows``; a block's rows are sent once for every chunk. Results of a query are merged at the end. Nothing
+approximate remains; pruning changes only time.
 
 Components are floor(256 * x). Vectors null, empty, or with a null or non-finite component take no part,
-nor do null ids. Only vectors of equal length meet. A query's candidates are all rows of another id;
-equal repeated rows count once. An empty table gives an empty result. Other columns are not read.
+nor do null ids. Only vectors of equal length meet. A query's candidates are all other rows: a row of equal id or equal
+contents is a candidate like any, and a query row that occurs twice is answered twice. Ties go to the smaller id. Scores are
+exact below 2**53. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,101 +35,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import by_value, table, written
+from ._common import by_value, discard, lean, numbered, table, written
 
-K, BLOCK_ROWS, GROUP_ROWS, PIVOTS, PIVOT_SAMPLE, LEAF = 5, 2048, 512, 64, 4_000, 48
+K, BLOCK_ROWS, CHUNK_ROWS, PIVOTS, PIVOT_SAMPLE, LEAF, FAN, MEET = 5, 4096, 8192, 64, 4_000, 32, 16, 512
 by_value(__name__)
 
 
 class CoverTree:
-    """Tree over the rows of x (float64 holding integers). Nodes are lists by number; children of a leaf are none."""
+    """Tree over the rows of x (float64 holding integers). A node's points are order[start:end]; its children are numbers first:last."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x, self.leaf = x, leaf
-        self.centre, self.radius, self.points, self.children = [], [], [], []
+        self.x, self.order = x, np.arange(len(x))
         square = (x * x).sum(axis=1)
-        self.norm = np.sqrt(square)
-        self.far = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0.0))
-        if len(x):
-            self._build(0, np.arange(len(x)))
-        del self.far
-        self.centre, self.radius = np.array(self.centre, np.int64), np.array(self.radius)
-
-    def _build(self, centre: int, points: np.ndarray) -> int:
-        me = len(self.centre)
-        reach = self.far[centre, points]
-        radius = float(reach.max())
-        self.centre.append(centre)
-        self.radius.append(radius)
-        self.points.append(points)
-        self.children.append([])
-        if len(points) <= self.leaf or radius == 0.0:
-            return me
-        # Net: farthest point first, until all points are within half the radius of a centre.
-        nearest, owner, centres = reach.copy(), np.zeros(len(points), np.int64), [centre]
-        while nearest.max() > radius / 2:
-            if len(centres) > len(points) // 4:  # no structure at this scale: a leaf searches it at once
-                return me
-            new = int(points[int(nearest.argmax())])
-            reach = self.far[new, points]
-            closer = reach < nearest
-            nearest[closer], owner[closer] = reach[closer], len(centres)
-            centres.append(new)
-        for k, c in enumerate(centres):
-            own = points[owner == k]
-            if len(own):
-                self.children[me].append(self._build(c, own))
-        return me
-
-
-def merge(best: np.ndarray, ids: np.ndarray, score: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k best of each row of two tables by falling score, then rising id."""
-    s, i = np.concatenate([best, score], axis=1), np.concatenate([ids, np.broadcast_to(other, score.shape)], axis=1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
-    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-
-
-def search(queries: CoverTree, q_ids: np.ndarray, data: CoverTree, d_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """k best (score, id) of every query; -inf where there are fewer. floor: known lower bounds of the k-th scores."""
-    n = len(q_ids)
-    best, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    if not n or not len(d_ids):
+        far = lambda c, points: np.sqrt(np.maximum(square[points] + square[c] - 2 * (x[points] @ x[c]), 0.0))
+        nodes = [[0, 0.0, 0, len(x), 0, 0]] if len(x) else []
+        for node in nodes:  # grows as it goes
+            centre, _, start, end, _, _ = node
+            points = self.order[start:end]
+            nearest = far(centre, points)
+            node[1] = radius = float(nearest.max())
+            if len(points) <= leaf or radius == 0.0:
+                continue
+            owner, centres = np.zeros(len(points), np.int64), [centre]
+            while len(centres) < FAN and nearest.max() > radius / 2:
+                centres.append(int(points[int(nearest.argmax())]))
+                reach = far(centres[-1], points)
+                closer = reach < nearest
+                nearest[closer], owner[closer] = reach[closer], len(centres) - 1
+            turn = np.argsort(owner, kind="stable")
+            self.order[start:end] = points[turn]
+            cut = start + np.searchsorted(owner[turn], np.arange(len(centres) + 1))
+            node[4], node[5] = len(nodes), len(nodes) + len(centres)
+            nodes += [[c, 0.0, int(a), int(b), 0, 0] for c, a, b in zip(centres, cut[:-1], cut[1:], strict=True)]
+        table_ = np.array(nodes).reshape(-1, 6)
+        self.centre, self.start, self.end, self.first, self.last = table_[:, [0, 2, 3, 4, 5]].astype(np.int64).T
+        # Rounding must not make a radius too small.
+        self.radius = table_[:, 1] * (1 + 1e-9)
+        self.at, self.norm = x[self.centre], np.sqrt(square[self.centre]) * (1 + 1e-9)
+
+    def points(self, node: int) -> np.ndarray:
+        return self.order[self.start[node] : self.end[node]]
+
+
+class Counts:
+    """Pairs of nodes whose bound was computed and that were dropped, and pairs of points that met."""
+
+    def __init__(self):
+        self.pairs = self.dropped = self.met = 0
+
+
+def search(queries: CoverTree, q_ids: np.ndarray, data: CoverTree, d_ids: np.ndarray, k: int, floor: np.ndarray, same=None, counts: Counts | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """k best (score, id) of every query; -inf where there are fewer. floor: known lower bounds of the k-th scores.
+
+    same: values of the query rows and of the data rows that are equal where both are one row; by default the ids.
+    """
+    q_rows, d_rows = same or (q_ids, d_ids)
+    none = np.iinfo(np.int64).max
+    best, ids = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), none)
+    counts = counts or Counts()
+    if not len(q_ids) or not len(d_ids):
         return best, ids
-    qx, dx = queries.x, data.x
-    bound = lambda q, d: (
-        qx[queries.centre[q]] @ dx[data.centre[d]] + queries.norm[queries.centre[q]] * data.radius[d] + data.norm[data.centre[d]] * queries.radius[q] + queries.radius[q] * data.radius[d]
-    ) * (1 + 1e-9) + 1e-3
-    stack = [(0, 0)]
-    while stack:
-        q, d = stack.pop()
-        points = queries.points[q]
-        worst = np.maximum(best[points, k - 1], floor[points]).min()
-        if bound(q, d) < worst:
-            continue
-        qc, dc = queries.children[q], data.children[d]
-        if not qc and not dc:
-            own = data.points[d]
-            score = qx[points] @ dx[own].T
-            score[q_ids[points][:, None] == d_ids[own][None, :]] = -np.inf
-            top = min(len(own), k + 4)
-            live = np.flatnonzero(score.max(axis=1) >= np.maximum(best[points, k - 1], floor[points]))
-            if len(live):
-                score = score[live]
-                if len(own) > 4 * top:
-                    # No more than the k-th score's ties are needed; those equal to it must all stay.
-                    cut = np.partition(score, len(own) - k, axis=1)[:, len(own) - k]
-                    some = (score >= cut[:, None]).any(axis=0)
-                    score, own = score[:, some], own[some]
-                other = np.where(np.isneginf(score), np.iinfo(np.int64).max, d_ids[own][None, :])
-                best[points[live]], ids[points[live]] = merge(best[points[live]], ids[points[live]], score, other, k)
-            continue
-        # Split the wider node; its best children are searched first.
-        if dc and (not qc or data.radius[d] >= queries.radius[q]):
-            pairs = [(q, c) for c in dc]
+
+    def low(points: np.ndarray) -> np.ndarray:
+        return np.maximum(best[points, k - 1], floor[points])
+
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        """Of a query node or, for a leaf, of each of its points: a row each, a column for each data node."""
+        if leaf(q):
+            points = queries.points(q)
+            got = queries.x[points] @ data.at[nodes].T + np.sqrt((queries.x[points] ** 2).sum(axis=1))[:, None] * data.radius[nodes]
         else:
-            pairs = [(c, d) for c in qc]
-        pairs.sort(key=lambda p: bound(*p))
-        stack += pairs
+            got = (data.at[nodes] @ queries.at[q] + queries.norm[q] * data.radius[nodes] + queries.radius[q] * (data.norm[nodes] + data.radius[nodes]))[None, :]
+        return got + 1e-9 * np.abs(got) + 1e-3
+
+    def leaf(q: int) -> bool:
+        return queries.first[q] == queries.last[q]
+
+    def hopeful(q: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most, need = bounds(q, nodes), low(queries.points(q))
+        keep = (most >= (need[:, None] if leaf(q) else need.min())).any(axis=0)
+        counts.pairs += len(nodes)
+        counts.dropped += int((~keep).sum())
+        return nodes[keep], most[:, keep]
+
+    def split(nodes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.concatenate([nodes[~which], *[np.arange(data.first[n], data.last[n]) for n in nodes[which]]])
+
+    def meet(q: int, nodes: np.ndarray, most: np.ndarray) -> None:
+        """A query leaf and data leaves, those of the highest bounds first; most: the bounds of each query."""
+        points = queries.points(q)
+        while len(nodes):
+            turn = np.argsort(-most.max(axis=0), kind="stable")
+            now = turn[: max(1, int(np.searchsorted(np.cumsum((data.end - data.start)[nodes[turn]]), MEET, side="right")))]
+            own = np.concatenate([data.points(n) for n in nodes[now]])
+            score = queries.x[points] @ data.x[own].T
+            score[q_rows[points][:, None] == d_rows[own][None, :]] = -np.inf
+            counts.met += score.size
+            live = score.max(axis=1) >= low(points)
+            if live.any():
+                p, s = points[live], score[live]
+                if len(own) > 4 * k:  # columns that are among the k best of some query, with all ties
+                    some = (s >= np.partition(s, len(own) - k, axis=1)[:, [len(own) - k]]).any(axis=0)
+                    s, own = s[:, some], own[some]
+                name = np.where(np.isneginf(s), none, d_ids[own][None, :])
+                s, name = np.concatenate([best[p], s], axis=1), np.concatenate([ids[p], name], axis=1)
+                order = np.lexsort((name, -s), axis=1)[:, :k]
+                best[p], ids[p] = np.take_along_axis(s, order, 1), np.take_along_axis(name, order, 1)
+            left = np.ones(len(nodes), bool)
+            left[now] = False
+            stay = left & (most >= low(points)[:, None]).any(axis=0)
+            counts.dropped += int((left & ~stay).sum())
+            nodes, most = nodes[stay], most[:, stay]
+
+    # Each query leaf first meets one data leaf, the way down to which has the highest products of centres.
+    first_met: dict[int, int] = {}
+    for q in np.flatnonzero(queries.first == queries.last).tolist():
+        n = 0
+        while data.first[n] < data.last[n]:
+            n = data.first[n] + int((data.at[data.first[n] : data.last[n]] @ queries.at[q]).argmax())
+        first_met[q] = n
+        meet(q, np.array([n]), np.full((queries.end[q] - queries.start[q], 1), np.inf))
+    stack = [(0, np.zeros(1, np.int64))]
+    while stack:
+        q, nodes = stack.pop()
+        nodes, most = hopeful(q, nodes)
+        # The wider node is split first; a query leaf splits data nodes down to leaves.
+        while len(nodes) and (wide := (data.first[nodes] < data.last[nodes]) & (leaf(q) | (data.radius[nodes] >= queries.radius[q]))).any():
+            nodes, most = hopeful(q, split(nodes, wide))
+        if leaf(q):
+            meet(q, nodes[nodes != first_met[q]], most[:, nodes != first_met[q]])
+        elif len(nodes):
+            stack += [(c, nodes) for c in range(queries.first[q], queries.last[q])]
     return best, ids
 
 
@@ -134,14 +175,14 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _searcher(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "cell": [], "vec_id": [], "score": []}
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            left, right = left.sort_values("id"), right.sort_values("id")
+            left, right = left.sort_values(["id", "row"]), right.sort_values(["id", "row"])
             q, d = CoverTree(_matrix(left["v"])), CoverTree(_matrix(right["v"]))
-            q_ids, d_ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-            best, ids = search(q, q_ids, d, d_ids, k, left["floor"].to_numpy(np.float64))
+            rows = left["row"].to_numpy(np.int64), right["row"].to_numpy(np.int64)
+            best, ids = search(q, left["id"].to_numpy(np.int64), d, right["id"].to_numpy(np.int64), k, left["floor"].to_numpy(np.float64), rows)
             row, col = np.nonzero(~np.isneginf(best))
-            out = {"query_id": q_ids[row], "cell": left["cell"].to_numpy()[row], "vec_id": ids[row, col], "score": best[row, col].astype(np.int64)}
+            out = {"query": rows[0][row], "query_id": left["id"].to_numpy()[row], "vec_id": ids[row, col], "score": best[row, col].astype(np.int64)}
         return pd.DataFrame(out)
 
     return run
@@ -157,88 +198,82 @@ def _assigner(pivots: np.ndarray):
             gap = np.sqrt(np.maximum(far[np.arange(len(x)), cell] + (x * x).sum(axis=1), 0.0)) if len(x) else np.zeros(0)
             yield b.assign(cell=cell.astype(np.int32), gap=gap)
 
-    return run
+    return lean(run)
 
 
 def _router(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray):
     """Blocks that may hold a score of a query's k-th bound or more. radius, blocks: of each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norm = np.sqrt((pivots * pivots).sum(axis=1))
-        for b in batches:
+        for b in (b.iloc[i : i + 1024] for b in batches for i in range(0, len(b), 1024)):
             x = _matrix(b["v"])
-            if not len(x):
-                continue
-            most = (x @ pivots.T + np.sqrt((x * x).sum(axis=1))[:, None] * radius[None, :]) * (1 + 1e-9) + 1e-3
+            most = x @ pivots.T + np.sqrt((x * x).sum(axis=1))[:, None] * radius[None, :]
+            most += 1e-9 * np.abs(most) + 1e-3
             row, cell = np.nonzero((most >= b["floor"].to_numpy()[:, None]) & (blocks > 0)[None, :])
             times = blocks[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
             block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             got = b.iloc[row].copy()
             got["to_cell"], got["to_block"] = cell.astype(np.int32), block.astype(np.int32)
-            own = (got["to_cell"] == got["cell"]) & (got["to_block"] == got["home"])
-            yield got[~own.to_numpy()]
+            own = (got["to_cell"] == got["cell"]) & (got["to_block"] == got["block"])
+            yield got.loc[~own.to_numpy(), ["id", "row", "v", "floor", "to_cell", "to_block"]]
 
-    return run
+    return lean(run)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` that ``is_query`` selects."""
     spark = vectors.sparkSession
-    fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.col(key).isNotNull()
-    fine &= F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    ints = vectors.where(fine).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * 256)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    ints = written(ints.distinct(), "vectors")
-    parts = []
+    own = numbered(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")), "place")
+    fine = F.col("e").isNotNull() & (F.size("e") > 0) & F.col("id").isNotNull()
+    fine &= F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    ints = own.where(fine).select("id", F.transform("e", lambda x: F.floor(x.cast("double") * 256)).alias("v"), "q", F.xxhash64("place").alias("row"))
+    ints = written(ints, "vectors")
+    got = None
     for (size,) in ints.select(F.size("v")).distinct().collect():  # vector lengths, not rows
-        parts.append(_of_length(spark, ints.where(F.size("v") == size), k, block_rows, group_rows, pivots))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    got = parts[0]
-    for p in parts[1:]:
-        got = got.unionByName(p)
-    return got
-
-
-def _of_length(spark, ints: DataFrame, k: int, block_rows: int, group_rows: int, pivots: int) -> DataFrame:
-    n = ints.count()
-    sample = _matrix(ints.orderBy(F.xxhash64("v", "id"), "id").limit(PIVOT_SAMPLE).toPandas()["v"])
-    # Pivots: farthest-first net of the sample.
-    chosen = [0]
-    near = ((sample - sample[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(pivots, max(1, n // 64)) and near.max() > 0:
+        part = _of_length(spark, ints.where(F.size("v") == size), k, block_rows, chunk_rows, pivots)
+        got = part if got is None else got.unionByName(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if got is None else got
+
+
+def _pivots(ints: DataFrame, most: int) -> np.ndarray:
+    """Farthest-first net of a bounded sample by hash."""
+    sample = _matrix(ints.orderBy(F.xxhash64("v", "id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"])
+    chosen, near = [0], ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < most and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
-    at = sample[chosen]
-    dealt = written(ints.mapInPandas(_assigner(at), "id long, v array<long>, q boolean, cell int, gap double"), "vectors-dealt")
+    return sample[chosen]
+
+
+def _of_length(spark, ints: DataFrame, k: int, block_rows: int, chunk_rows: int, pivots: int) -> DataFrame:
+    at = _pivots(ints, max(1, min(pivots, ints.count() // max(1, block_rows // 8))))
+    dealt = written(ints.mapInPandas(_assigner(at), "id long, v array<long>, q boolean, row long, cell int, gap double"), "vectors-dealt")
     cells = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.max("gap").alias("r"), F.count("*").alias("n"), F.count_if("q").alias("nq")).collect()}
-    radius = np.array([cells[c]["r"] if c in cells else 0.0 for c in range(len(at))])
+    radius = np.array([cells[c]["r"] * (1 + 1e-9) if c in cells else 0.0 for c in range(len(at))])
     blocks = np.array([-(-cells[c]["n"] // block_rows) if c in cells else 0 for c in range(len(at))], np.int64)
-    groups = np.array([max(1, -(-cells[c]["nq"] // group_rows)) if c in cells else 1 for c in range(len(at))], np.int64)
-    pick = lambda a, c: F.element_at(F.array(*[F.lit(int(v)) for v in a]), F.col(c) + 1)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "v"), pick(blocks, "cell")).cast("int"))
-    data = dealt.select("id", "v", "cell", "block")
-    queries = dealt.where("q").select("id", "v", "cell", F.col("block").alias("home"), F.lit(float("-inf")).alias("floor"), F.pmod(F.xxhash64("id", F.lit(7)), pick(groups, "cell")).cast("int").alias("group"))
-    fields = "query_id long, cell int, vec_id long, score long"
-
-    def meet(asked: DataFrame) -> DataFrame:
-        """asked: queries with to_cell, to_block and group. Blocks are sent once for every group that asks for them."""
-        asks = asked.select("to_cell", "to_block", F.col("cell").alias("from_cell"), "group").distinct()
-        asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])
-        sent = data.withColumnsRenamed({"cell": "in_cell", "block": "in_block"}).join(asks, (F.col("in_cell") == F.col("to_cell")) & (F.col("in_block") == F.col("to_block")))
-        keys = ["to_cell", "to_block", "from_cell", "group"]
-        sent = sent.select(*[F.col(c).alias(c) for c in ("id", "v", *keys)])  # columns of its own: both sides come from one table
-        asked = asked.withColumn("from_cell", F.col("cell"))
-        return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_searcher(k), fields)
-
-    home = written(meet(queries.withColumns({"to_cell": F.col("cell"), "to_block": F.col("home")})), "top-home")
-    ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kth = home.withColumn("r", F.row_number().over(ranks)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("low"))
-    bounded = queries.join(kth, "id", "left").withColumn("floor", F.coalesce("low", "floor")).drop("low")
-    schema = "id long, v array<long>, cell int, home int, floor double, group int, to_cell int, to_block int"
-    rest = meet(written(bounded.select("id", "v", "cell", "home", "floor", "group").mapInPandas(_router(at, radius, blocks), schema), "top-asked"))
-    both = home.unionByName(written(rest, "top-rest")).select("query_id", "vec_id", "score").distinct()
-    return both.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    chunks = max(1, -(-sum(c["nq"] for c in cells.values()) // chunk_rows))
+    of_cell = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1)
+    data = dealt.select("id", "row", "v", "q", "cell", F.pmod("row", of_cell).cast("int").alias("block"))
+    queries = data.where("q").drop("q")
+    fields = "query long, query_id long, vec_id long, score long"
+    kth = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+
+    # Blocks under names of their own: both sides come from one table.
+    mine = data.select("id", "row", "v", F.col("cell").alias("d_cell"), F.col("block").alias("d_block"))
+    own = queries.withColumn("floor", F.lit(float("-inf"))).groupBy("cell", "block").cogroup(mine.groupBy("d_cell", "d_block"))
+    home = written(own.applyInPandas(_searcher(k), fields), "top-home")
+    low = home.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("low"))
+    bounded = queries.join(low, "row", "left").withColumn("floor", F.coalesce("low", F.lit(float("-inf"))))
+    asked = bounded.select("id", "row", "v", "cell", "block", "floor").mapInPandas(_router(at, radius, blocks), "id long, row long, v array<long>, floor double, to_cell int, to_block int")
+    asked = written(asked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")), "top-asked")
+    asks = asked.select("to_cell", "to_block", F.col("chunk").alias("to_chunk")).distinct()
+    sent = data.join(asks, (F.col("cell") == F.col("to_cell")) & (F.col("block") == F.col("to_block")))
+    sent = sent.select(*[F.col(c).alias(f"d_{c}") for c in ("id", "row", "v", "to_cell", "to_block", "to_chunk")]).withColumnsRenamed({"d_id": "id", "d_row": "row", "d_v": "v"})
+    rest = asked.groupBy("to_cell", "to_block", "chunk").cogroup(sent.groupBy("d_to_cell", "d_to_block", "d_to_chunk")).applyInPandas(_searcher(k), fields)
+    both = home.unionByName(written(rest, "top-rest"))
+    discard(asked)
+    return both.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_cover_tree_topk(spark, sf_dir: str) -> DataFrame:
