@@ -19,8 +19,9 @@ bytes; each block asks the shards for its distinct paths, and the answers come b
 Word counts stay distributed: only words whose share is ``common`` or more (at most 1 / common) are broadcast,
 the rest is joined. Rare words are rare by definition, so that join has no hot key.
 
-Null text scores as empty text (end token only). A null id trains. Repeated rows count each time.
-An empty table gives an empty result. Other input columns are not read.
+Null text scores as empty text (end token only). A very long text is a block alone. A null id trains. Repeated rows count each
+time. Scores of equal texts are equal. An empty table gives an empty result. Other columns pass by unread, whatever their
+names; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, id_fold, others, table, written
+from ._common import by_value, discard, id_fold, lean, others, table, written
 
 ORDER = 5
 START, END = 254, 255
@@ -113,7 +114,7 @@ def _counter(order: int):
             flush(kind)
             yield from emit(kind)
 
-    return run
+    return lean(run)
 
 
 def _shard(codes, order: int, shards: int, shift=lambda x, n: x >> n, both=lambda x, y: x & y):
@@ -239,7 +240,7 @@ def _asker(order: int, shards: int, names: list[str]):
         if held:
             yield ask()
 
-    return run
+    return lean(run)
 
 
 _ANSWER = pa.schema([("__block", pa.int64()), ("__m", pa.int32()), ("__codes", pa.binary()), ("__logs", pa.binary())])
@@ -263,7 +264,7 @@ def _answerer(model):
     return run
 
 
-_SCORED = "__row long, n_tokens long, __known long, __base double, score double, __rare array<long>"
+_SCORED = "__row long, __n long, __known long, __base double, __score double, __rare array<long>"
 
 
 def _scorer(model, meta: list[pa.Field]):
@@ -297,7 +298,7 @@ def _scorer(model, meta: list[pa.Field]):
             cols = [texts.column(k).slice(i, n) for k in range(len(meta) + 1)]
             cols += [pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
             cols.append(pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(rare)))
-            done.append(pa.table(cols, [f.name for f in meta] + ["__row", "n_tokens", "__known", "__base", "score", "__rare"]))
+            done.append(pa.table(cols, [f.name for f in meta] + ["__row", "__n", "__known", "__base", "__score", "__rare"]))
         return pa.concat_tables(done)
 
     return run
@@ -307,8 +308,10 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with n_tokens, n_known, train_tokens, base_score and score in place of the text."""
     spark = docs.sparkSession
     keep = others(docs, text, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    spread = docs.select(*keep, text)
-    meta = spread.drop(text).schema
+    # Within, the columns of docs have names of their own.
+    own = [f"c{i}" for i in range(len(keep))]
+    spread = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], F.col(text).alias("__text"))
+    meta = spread.drop("__text").schema
     sent = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
     order, shards = model["order"], model["shards"]
     typed = [f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema]
@@ -319,9 +322,10 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     to = _shard(F.col("key"), order, shards, F.shiftright, lambda x, y: x.bitwiseAND(F.lit(y)))
     paths = model["counts"].where(F.col("kind") == GRAM).select(to.cast("int").alias("__shard"), "key", "n")
     answers = paths.groupBy("__shard").cogroup(asks.groupBy("__shard")).applyInArrow(_answerer(sent), "__block long, __m int, __codes binary, __logs binary")
-    texts = asked.where(F.col("__shard").isNull()).select(*keep, "__row", "__block", text)
+    texts = asked.where(F.col("__shard").isNull()).select(*own, "__row", "__block", "__text")
     fields = ", ".join([*typed[:-1], _SCORED])
     scored = written(texts.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scorer(sent, list(meta)), fields), "ppm-scored")
+    discard(asked)
     room = float(model["tokens"] + model["kinds"] + 1)
     words = scored.select("__row", F.explode("__rare").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("times"))
     seen = model["counts"].where(F.col("kind") == WORD).select("key", "n")
@@ -330,12 +334,12 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         F.sum(F.col("times") * F.log10((n + 1) / F.lit(room))).alias("__more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("__more_known")
     )
     return scored.drop("__rare").join(sums, "__row", "left").select(
-        *keep,
-        "n_tokens",
+        *[F.col(o).alias(c) for o, c in zip(own, keep, strict=True)],
+        F.col("__n").alias("n_tokens"),
         (F.col("__known") + F.coalesce("__more_known", F.lit(0))).alias("n_known"),
         F.lit(model["tokens"]).cast("long").alias("train_tokens"),
         (F.col("__base") + F.coalesce("__more", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.col("__score").alias("score"),
     )
 
 

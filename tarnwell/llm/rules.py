@@ -7,8 +7,9 @@ and errs; a document's posterior probability of good quality replaces all-must-p
 Votes are summed to counts per pattern over all documents before anything reaches the driver; with R
 rules there are at most 3**R patterns, whatever the number of documents. A hot pattern is one row.
 
-Null text counts as empty. Repeated rows vote each; null ids pass through. An empty table gives an
-empty result. Other columns are not read.
+Null text counts as empty; very long texts are read whole, and all thresholds but that of the length are shares. Repeated
+rows vote each; null ids pass through. Ties: a posterior of exactly 0.5 keeps. An empty table gives an empty result. Other
+columns pass by unread; one named like a statistic or posterior is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _stats
-from ._common import table, written
+from ._common import others, table, unused, written
 
 POSTERIOR = 0.5
 
@@ -83,14 +84,15 @@ def judged(counted: DataFrame, rule_set: dict[str, Column] | None = None) -> Dat
     code = F.lit(0)
     for vote in rule_set.values():
         code = code * 3 + (F.coalesce(vote, F.lit(-1)) + 1)
-    voted = counted.withColumn("__pattern", code)
-    sums = voted.groupBy("__pattern").agg(F.count("*").alias("n")).orderBy("__pattern").toPandas()
-    codes = sums["__pattern"].to_numpy(np.int64)
+    name = unused(counted, "pattern")
+    voted = counted.select(*others(counted, "posterior"), code.alias(name))
+    sums = voted.groupBy(F.col(name).alias("code")).agg(F.count("*").alias("n")).orderBy("code").toPandas()
+    codes = sums["code"].to_numpy(np.int64)
     votes = np.stack([codes // 3 ** (len(rule_set) - 1 - r) % 3 - 1 for r in range(len(rule_set))], axis=1)
     got = estimate(votes, sums["n"].to_numpy())
     spark = counted.sparkSession
-    near = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, got["posterior"], strict=True)], "__pattern int, posterior double")
-    return voted.join(F.broadcast(near), "__pattern", "left").drop("__pattern")  # at most 3**len(rule_set) rows
+    near = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, got["posterior"], strict=True)], f"`{name}` int, posterior double")
+    return voted.join(F.broadcast(near), name, "left").drop(name)  # at most 3**len(rule_set) rows
 
 
 def op10_weak_rules(spark, sf_dir: str) -> DataFrame:
