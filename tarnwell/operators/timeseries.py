@@ -6,7 +6,7 @@ import os
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,23 +84,23 @@ def wilder(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+RECURSIVE = ("EMA_fast", "EMA_slow", "MACD", "MACD_signal", "RSI")
+
+
 def _recursions(cfg: IndicatorConfig):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d", kind="stable").reset_index(drop=True)
-        close = pdf["close"].to_numpy(dtype=float)
-        present = ~np.isnan(close)
-        cols = {c: np.full(len(close), np.nan) for c in ("EMA_fast", "EMA_slow", "MACD", "MACD_signal", "RSI")}
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], present, [False]]).astype(int)))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            part = close[a:b]
-            fast, slow = ema(part, cfg.macd_fast), ema(part, cfg.macd_slow)
-            cols["EMA_fast"][a:b], cols["EMA_slow"][a:b], cols["MACD"][a:b] = fast, slow, fast - slow
-            cols["MACD_signal"][a:b] = ema(fast - slow, cfg.macd_signal)
-            cols["RSI"][a:b] = wilder(part, cfg.rsi_period)
+    def run(stretch: pa.Table) -> pa.Table:
+        """Rows of one series from a missing close, if it begins with one, to the next; all columns pass, RECURSIVE follow."""
+        stretch = stretch.sort_by("d")
+        close = stretch["close"].to_numpy().astype(float)
+        cols = {c: np.full(len(close), np.nan) for c in RECURSIVE}
+        at = ~np.isnan(close)
+        fast, slow = ema(close[at], cfg.macd_fast), ema(close[at], cfg.macd_slow)
+        cols["EMA_fast"][at], cols["EMA_slow"][at], cols["MACD"][at] = fast, slow, fast - slow
+        cols["MACD_signal"][at] = ema(fast - slow, cfg.macd_signal)
+        cols["RSI"][at] = wilder(close[at], cfg.rsi_period)
         for name, values in cols.items():
-            pdf[name] = pd.array(np.where(np.isnan(values), 0.0, values), dtype="Float64")
-            pdf.loc[np.isnan(values), name] = pd.NA
-        return pdf
+            stretch = stretch.append_column(name, pa.array(values, mask=np.isnan(values)))
+        return stretch
 
     return run
 
@@ -108,14 +108,13 @@ def _recursions(cfg: IndicatorConfig):
 def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig()) -> DataFrame:
     """EMA_fast, EMA_slow, MACD, MACD_signal, MACD_histogram and RSI; every recursion restarts at a missing close.
 
-    A series is one group; its rows are its days, so the group is bounded by the calendar.
+    A group is one stretch of a series between missing closes and carries all columns, so that nothing is joined back.
     """
-    names = ["series", "d", "close"]
-    keys = df.select(*names)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema) + ", EMA_fast double, EMA_slow double, MACD double, MACD_signal double, RSI double"
-    got = keys.groupBy("series").applyInPandas(_recursions(cfg), fields).drop("close")
-    got = got.withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
-    return df.join(got, ["series", "d"])
+    gap = F.sum(F.col("close").isNull().cast("int")).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
+    x = df.withColumn("__gap", gap)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema), *(f"{c} double" for c in RECURSIVE)])
+    got = x.groupBy("series", "__gap").applyInArrow(_recursions(cfg), fields).drop("__gap")
+    return got.withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
 
 
 def with_indicators(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig()) -> DataFrame:
