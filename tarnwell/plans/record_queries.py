@@ -14,7 +14,7 @@ from ..functions import rules, scalar
 from ..functions.scalar import normalized, r6, word_count
 from ..operators import dataset, evidence, signals, text
 from ..sources import bars, records, sinks
-from .catalogue import _ACC, _AGG, _FACTS, _FULL, _KEY, _NORM, _POL, _SENT, _SPLIT, _SUMMARY, _TITLES, BARS, _asked, _bars, _candidates, _docs, _indicators, _r6, _sentiments, _split, _titles, folder, query, table, written
+from .catalogue import _ACC, _AGG, _FACTS, _FULL, _KEY, _NORM, _SENT, _SPLIT, _SUMMARY, _TITLES, BARS, _asked, _bars, _candidates, _docs, _indicators, _r6, _sentiments, _split, _titles, _values, folder, query, table, written
 
 NOW = "2026-10-08 00:00:00"
 EPOCH = int(dt.datetime(2026, 10, 8, tzinfo=dt.UTC).timestamp())
@@ -170,9 +170,12 @@ def parsed_outputs(spark, sf_dir):
     return _doc(spark, sf_dir).select(i.alias("id"), body.isNotNull().alias("valid"), F.get_json_object(body, "$.a").cast("long").alias("value"))
 
 
-@query(f"""WITH {_POL}, e AS (SELECT *, CASE WHEN s = 0 THEN 'Internal policy: If ' || topic || ' checks are complete, assign low risk and approve. If ' || topic || ' checks are open, assign medium risk and ask for evidence. If ' || topic || ' checks have failed, assign high risk and hold and escalate.'
- ELSE 'Internal policy: Low risk applies when ' || topic || ' checks are complete; approve. Medium risk applies when ' || topic || ' checks are open; ask for evidence. High risk applies when ' || topic || ' checks have failed; hold and escalate.' END AS excerpt FROM pol, range(2) r(s))
- SELECT topic, CAST(s AS INTEGER) AS style, excerpt FROM e""")
+_RULES = "rules(topic, n, risk, condition, action) AS (VALUES " + _values([(t, n, r, *x) for t, _, rules_ in dataset.POLICIES for n, (r, x) in enumerate(zip(dataset.RISKS, rules_, strict=True))]) + ")"
+
+
+@query(f"""WITH {_RULES}, e AS (SELECT topic, 0 AS style, string_agg('If ' || condition || ', assign ' || risk || ' risk and ' || action || '.', ' ' ORDER BY n) AS said FROM rules GROUP BY 1
+ UNION ALL SELECT topic, 1, string_agg(upper(risk[1]) || risk[2:] || ' risk applies when ' || condition || '; ' || action || '.', ' ' ORDER BY n) FROM rules GROUP BY 1)
+ SELECT topic, CAST(style AS INTEGER) AS style, 'Internal policy: ' || said AS excerpt FROM e""")
 def policy_excerpts(spark, sf_dir):
     styles = dataset.policies(spark).withColumn("style", F.explode(F.array(F.lit(0), F.lit(1))))
     return styles.select("topic", "style", dataset.excerpt(F.col("rules"), F.col("style")).alias("excerpt"))
