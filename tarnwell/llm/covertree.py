@@ -233,6 +233,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector:
     for (size,) in ints.select(F.size("v")).distinct().collect():  # vector lengths, not rows
         part = _of_length(spark, ints.where(F.size("v") == size), k, block_rows, chunk_rows, pivots)
         got = part if got is None else got.unionByName(part)
+    discard(ints)
     return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if got is None else got
 
 
@@ -272,7 +273,7 @@ def _of_length(spark, ints: DataFrame, k: int, block_rows: int, chunk_rows: int,
     sent = sent.select(*[F.col(c).alias(f"d_{c}") for c in ("id", "row", "v", "to_cell", "to_block", "to_chunk")]).withColumnsRenamed({"d_id": "id", "d_row": "row", "d_v": "v"})
     rest = asked.groupBy("to_cell", "to_block", "chunk").cogroup(sent.groupBy("d_to_cell", "d_to_block", "d_to_chunk")).applyInPandas(_searcher(k), fields)
     both = home.unionByName(written(rest, "top-rest"))
-    discard(asked)
+    discard(asked, dealt)
     return both.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -162,6 +162,7 @@ def copies(sized: DataFrame, keys: list[str], most: int = MOST, group_rows: int
         level, groups = moved.where("groups > 1"), -(-groups // HELD)
     ends = reduce(DataFrame.unionByName, final).withColumns({"part": F.lit(0), "group": F.lit(0).cast("long")})
     done.append(written(rounded(ends, last=True), "mix-last"))
+    discard(sums, tilted, near)
     out = []
     for x in done:
         one = x.select(F.explode(F.arrays_zip(F.col("all").alias("a"), F.col("done.n").alias("n"))).alias("x")).where("x.n is not null")

@@ -10,8 +10,9 @@ sequences does not grow with the number of tasks. Only pieces (no texts) are shu
 
 Tokenisation: a text is the concatenation of its ASCII-space-separated words, which this tokenizer
 never joins, so ids are kept per word in a bounded memory and looked up again. Null text is empty text
-(the closing id alone). A document longer than a sequence is cut into full pieces and a rest; no
-other is cut. Repeated rows are packed once each. An empty table gives an empty result.
+(the closing id alone). A document longer than a sequence is cut into full pieces and a rest; no other is cut. Repeated
+rows are packed once each. Ties: of bins with equal space the latest takes a piece. Extra columns pass by unread; those named
+like the results are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

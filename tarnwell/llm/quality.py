@@ -6,8 +6,10 @@ The posteriors of a bounded sample (``train_rows`` rows by hash of the id) then
 hashed features: shapes of words (runs of lower case, upper case, digits and each sign) by their share of
 the words, and steps of the text statistics. Every whole text is scored with the linear model.
 
-Null and empty texts score by the features they lack. Null ids pass through and aren't learnt from.
-Repeated rows score each. Extra columns pass by unread. An empty table gives an empty result.
+Null and empty texts score by the features they lack; very long texts are read whole, and all features are shares or
+logarithms. Null ids pass through and aren't learnt from; of rows of one id the mean posterior counts. Repeated rows score
+each. Ties: a quality of exactly 0.5 is kept. Extra columns pass by unread; one named like the score is replaced. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _stats, rules
 from . import _text as tx
-from ._common import by_value, lean, others, table, written
+from ._common import by_value, discard, lean, others, table, written
 
 BITS, TRAIN_ROWS, CUT = 14, 20_000, 0.5
 for _m in (__name__, tx.__name__, _stats.__name__):
@@ -115,6 +117,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows:
     picked = picked.groupBy(key).agg(F.avg("posterior").alias("y")).orderBy(F.xxhash64(key), key).limit(2 * train_rows)
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked.withColumnRenamed(key, "id")), "id")
     got = chosen.select("id", "y", "text").mapInArrow(_featurer(["id", "y"]), f"id {dict(docs.dtypes)[key]}, y double, which array<int>, value array<double>").toPandas()
+    discard(counted)
     got = got.sort_values("id", kind="stable")
     if not len(got):
         return np.zeros(1 << BITS), 0.0

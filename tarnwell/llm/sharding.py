@@ -109,12 +109,13 @@ def shard(
     put = there.where("heavy_shard is not null").withColumnRenamed("heavy_shard", "shard")
     if steps:
         put = put.unionByName(there.where("heavy_shard is null").drop("heavy_shard").join(light, "item"))
+    # A cell has at most about cell_rows rows; a hash of the rows deals them.
     cells = max(1, -(-count // (cell_rows * shards)))
     put = written(put.select(*keys, "size", "tokens", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(cells)).alias("cell")), "shard-dealt")
     base = put.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     base = base.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
     own_turn = Window.partitionBy("shard", "cell").orderBy("row")
-    discard(rows)
+    discard(rows, split, items, *steps)
     return put.join(base, ["shard", "cell"]).withColumn("slot", F.col("before") + F.row_number().over(own_turn) - 1).select(
         *keys, "size", "tokens", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")
     )
