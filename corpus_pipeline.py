@@ -11,8 +11,10 @@ written as Parquet and read again as the next stage's docs. All but the last ret
    its target.
 5. packing: pieces of at most 4096 tokens and their places in sequences.
 
-Null texts count as empty in every stage, except that null texts are not copies of one another. Null ids,
-repeated rows and empty tables are allowed. There is no SQL for the stages; tests hold them against plain versions.
+Null texts count as empty in every stage, except that null texts are not copies of one another. Very long texts are read
+whole in each. Null ids, repeated rows, ties and empty tables are allowed, with the results that each operator's module states;
+further columns of docs may have any name and pass through to the last stage. A stage's table is deleted once the next one
+is written. There is no SQL for the stages; tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -67,8 +69,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = f"{_common.shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # never the input
+            _common.discard(before)
+        before = docs
     return docs
