@@ -156,6 +156,6 @@ def dedup_stats(result: DataFrame) -> DataFrame:
 
 
 def similarity_stats(result: DataFrame) -> DataFrame:
-    """Greatest similarity of a removed near duplicate and how many records were held against kept ones."""
+    """Greatest similarity of a removed near duplicate, and how many were removed as such."""
     near = F.col("status") == "near_duplicate"
     return result.agg(F.max(F.when(near, F.col("similarity"))).alias("max_similarity"), F.count_if(near).alias("near_duplicates"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import HORIZON_DAYS, EngineError, FetchError, GroundingError, ProviderError
+from ..functions.config import HORIZON_DAYS, PERIODS, EngineError, FetchError, GroundingError, ProviderError
 from ..functions.scalar import BEARER_PATTERN, FENCE, SECRET_KEY, TICKER, TOKEN_PATTERN, secret_values
 from ..operators import claims, evidence, signals, timeseries
 from ..sources.sinks import strict_json
@@ -195,6 +195,10 @@ class MarketTools:
         last = signals.latest(x).first()
         if last is None:
             raise FetchError("no prices")
+        if period not in PERIODS:
+            raise ValueError("unknown period")
+        if period != "max":
+            x = x.where(F.col("d") > F.add_months(F.lit(last["d"]), -12 * int(period.removesuffix("y"))))
         summary = signals.price_summary(x).drop("series").first().asDict()
         return {"ticker": ticker, "period": period, "summary": summary | {"pe_ratio": None}, "latest_indicators": {c: last[c] for c in signals.INDICATORS}, "row_count": x.count(), "as_of": str(last["d"])}
 
