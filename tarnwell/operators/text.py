@@ -76,7 +76,7 @@ def one_per_text(df: DataFrame, order: str = "id") -> DataFrame:
 
 
 def bags(df: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """df: id, norm. id, the number of words n, all (word, occurrence) elements as hashes, and ``prefix``: those that a near text shares one of.
+    """df: id, norm. id, the number of words n, all (word, occurrence) elements as hashes, and ``prefix``: those that a near text shares one of, with their places.
 
     Elements stand rarest first. Two texts that reach the threshold share an element among the first
     n - ceil(n t / (2 - t)) + 1 of each. Elements of one text alone are left out of the prefix.
@@ -87,24 +87,24 @@ def bags(df: DataFrame, threshold: float = NEAR) -> DataFrame:
     rarity = elements.groupBy("e").agg(F.count("*").alias("df"))
     grouped = elements.join(rarity, "e").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
     most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int") + 1
-    shared = F.filter(F.slice("all", F.lit(1), most), lambda x: x["df"] > 1)
-    return grouped.select("id", "n", F.transform("all", lambda x: x["e"]).alias("bag"), F.transform(shared, lambda x: x["e"]).alias("prefix"))
+    placed = F.transform(F.slice("all", F.lit(1), most), lambda x, i: F.struct(x["df"].alias("df"), x["e"].alias("e"), i.alias("at")))
+    return grouped.select("id", "n", F.transform("all", lambda x: x["e"]).alias("bag"), F.filter(placed, lambda x: x["df"] > 1).alias("prefix"))
 
 
 def overlap_candidates(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
     """df: id, norm, one row per normalised text. Pairs (a < b) whose bags of words share enough for the threshold, without a loss.
 
     A pair of la and lb words with o words in common (with multiplicity) has a similarity of at most
-    2 o / (la + lb). Pairs that share a prefix element and have sizes that allow it are confirmed on their bags. Sizes
-    come in classes of a factor that a near pair spans at most two of, so that a frequent element is many small keys.
+    2 o / (la + lb). Pairs that share a prefix element, and whose sizes and what stands behind the first shared element
+    allow it, are confirmed on their bags. Sizes come in classes of a factor that a near pair spans at most two of, so that a frequent element is many small keys.
     """
     own = written(bags(df, threshold))
     step = 2 / threshold - 1  # a near pair's sizes differ by this factor at most
     band = F.floor(F.log("n") / F.lit(math.log(step))).cast("int")
-    keyed = own.select("id", "n", F.explode("prefix").alias("e"), band.alias("band"))
-    left = keyed.select("e", "band", F.col("id").alias("x"), F.col("n").alias("nx"))
-    right = keyed.select("e", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own_band"), F.col("id").alias("y"), F.col("n").alias("ny"))
-    near_size = 2 * F.least("nx", "ny") >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - F.lit(1e-9)
+    keyed = own.select("id", "n", F.explode("prefix").alias("p"), band.alias("band")).select("id", "n", "p.e", "p.at", "band")
+    left = keyed.select("e", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    right = keyed.select("e", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own_band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    near_size = 2 * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - F.lit(1e-9)
     once = (F.col("x") != F.col("y")) & ((F.col("band") != F.col("own_band")) | (F.col("x") < F.col("y")))
     pairs = left.join(right, ["e", "band"]).where(once & near_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda key, n, bag: own.select(F.col("id").alias(key), F.col("n").alias(n), F.col("bag").alias(bag))
