@@ -8,9 +8,9 @@ longer patterns in the same automaton: an entry inside one doesn't count. The su
 of the text and mapped to a probability by a logistic curve.
 
 Learning (``learn``): rates of words and word beginnings in toxic and other training rows give each entry
-the weight log(rate in toxic / rate in others). An entry needs a weight of ``WEIGHT`` and a rate of rows that is higher
-among toxic ones by ``SURE`` standard errors, so that as many rows as the table's size calls for have to hold it;
-all that pass are taken, words of any length. Word pairs that hold an entry but occur in clean rows only, in
+log(rate in toxic / rate in others). An entry needs ``WEIGHT`` of it and a rate of rows that is higher among toxic ones by
+``SURE`` standard errors; its weight is what is left when so many errors are taken off, so that a rare entry counts
+little. All that pass are taken, words of any length. Word pairs that hold an entry but occur in clean rows only, in
 ``PAIR_ROWS`` of them at least, become exception phrases besides the fixed ones. Rows to learn from are a bounded
 sample: the ``train_rows`` smallest hashes of labelled ids. Scoring reads every whole text.
 
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._common import by_value, id_fold, lean, others, table, written
+from ._common import by_value, discard, id_fold, lean, others, table, written
 
-TRAIN_ROWS, CUT, PAIR_ROWS, WEIGHT, SURE = 20_000, 0.3, 4, 1.2, 2.6
+TRAIN_ROWS, CUT, PAIR_ROWS, WEIGHT, SURE = 20_000, 0.3, 4, 1.2, 2.0
 HELD = 100_000  # words that a task remembers
 PREFIXES = (4, 5, 6, 7)
 for _m in (__name__, tx.__name__):
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     weight = F.log((F.col("h1") + 0.1) / F.lit(max(all_["h1"], 1))) - F.log((F.col("h0") + 0.5) / F.lit(max(all_["h0"], 1)))
     spread = F.log((F.col("r1") + 0.5) / F.lit(all_["r1"] + 1)) - F.log((F.col("r0") + 0.5) / F.lit(all_["r0"] + 1))
     error = F.sqrt(1 / (F.col("r1") + 0.5) + 1 / (F.col("r0") + 0.5))
-    good = sums.where("entry <> ''").where((weight > WEIGHT) & (spread > SURE * error)).select("entry", weight.alias("weight"))
+    good = sums.where("entry <> ''").where((weight > WEIGHT) & (spread > SURE * error)).select("entry", (weight - SURE * error).alias("weight")).where("weight > 0")
     found = {r["entry"]: r["weight"] for r in sorted(good.collect())}  # of the bounded sample only
     # A whole word adds nothing to a beginning of the same weight.
     entries = {e: w for e, w in found.items() if not any(w <= found.get(e[: n + 1], -1.0) + 0.05 for n in PREFIXES if n + 1 < len(e))}
@@ -251,6 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     levels = rows.mapInArrow(_leveller(lexicon), "label int, level double").groupBy("label", F.round("level", 2).alias("level")).agg(F.count("*").alias("n")).toPandas()
     if levels["label"].nunique() == 2:
         lexicon.curve = logistic(levels["level"].to_numpy(float), levels["label"].to_numpy(float), levels["n"].to_numpy(float))
+    discard(rows, sums)
     return lexicon
 
 

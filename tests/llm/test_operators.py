@@ -164,8 +164,9 @@ def plain_toxicity(train):
     for e in hits[1]:
         weight = math.log((hits[1][e] + 0.1) / words_of[1]) - math.log((hits[0][e] + 0.5) / words_of[0])
         spread = math.log((rows[1][e] + 0.5) / (n_rows[1] + 1)) - math.log((rows[0][e] + 0.5) / (n_rows[0] + 1))
-        if weight > 1.2 and spread > 2.6 * math.sqrt(1 / (rows[1][e] + 0.5) + 1 / (rows[0][e] + 0.5)):
-            found[e] = weight
+        off = 2.0 * math.sqrt(1 / (rows[1][e] + 0.5) + 1 / (rows[0][e] + 0.5))
+        if weight > max(1.2, off) and spread > off:
+            found[e] = weight - off
     entries = {e: w for e, w in found.items() if not any(w <= found.get(e[: n + 1], -1.0) + 0.05 for n in (4, 5, 6, 7) if n + 1 < len(e))}
     for label, t in train:
         ws = toxicity.fold(t or "")
