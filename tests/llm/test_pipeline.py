@@ -55,8 +55,17 @@ def test_one_row_of_each_class_stays(stages):
 
 def test_mixing_repeats_rows(stages):
     _, before, after = stages[3]
+    from .test_operators import water_filled, words
+
     times = Counter(r["doc_id"] for r in after.collect())
     assert max(times.values()) <= 3 and set(times) <= {r["doc_id"] for r in before.collect()}
+    sizes, taken = Counter(), Counter()
+    for r in before.collect():
+        n = len(words(r["text"]))
+        sizes[r["source"]] += n
+        taken[r["source"]] += n * times[r["doc_id"]]
+    for source, target in water_filled(sizes).items():
+        assert abs(taken[source] - target) <= 0.02 * target + 100
 
 
 def test_all_that_is_left_is_packed(stages):
@@ -71,8 +80,10 @@ def test_stages_on_odd_and_empty_tables(spark):
 
     for rows in (ODD, []):
         docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x")).withColumn("quality", F.lit(1)).withColumn("row", F.lit(2)).withColumn("times", F.lit(3)).withColumn("length", F.lit(4))
+        for more in ("__row", "row_number", "node", "class_id", "key", "at", "turn", "size", "label", "n", "bin", "offset", "score_", "_metadata"):
+            docs = docs.withColumn(more, F.lit("y"))
         docs = written(docs, "in")
         for name, f in corpus_pipeline.STAGES:
             got = written(f(spark, docs, DIR), "out")
             if name != "packing":
-                assert got.columns == docs.columns
+                assert got.columns == docs.columns and got.where("__row <> 'y' or row_number <> 'y' or score <> 'x' or _metadata <> 'y'").isEmpty()
