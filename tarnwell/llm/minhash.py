@@ -298,7 +298,8 @@ def classes(
         discard(pairs)
     discard(live, sets, linked)
     rows_ = signed.select(*own, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = rows_.where("label is not null").groupBy("label").agg(F.min(key).alias("class_id"))
+    # A table, so that rows of a large class are dealt by no aggregate and Spark may split them in the join.
+    ids = written(rows_.where("label is not null").groupBy("label").agg(F.min(key).alias("class_id")), "class-ids")
     return rows_.join(ids, "label", "left").select(*own, "node", F.coalesce("class_id", key).alias("class_id"))
 
 
