@@ -118,4 +118,14 @@ def spread(df: DataFrame, rows: int, per_task: int) -> DataFrame:
     return df.repartition(max(1, -(-rows // per_task)))
 
 
+def joined_back(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int, hot: int = 1024) -> DataFrame:
+    """``rows`` with the columns of their class, by ``key``. ``n``: the class's number of rows, of ``total``.
+
+    Classes of more than a 1 / ``hot`` share of all rows, so fewer than ``hot``, are broadcast: no key of the shuffled join is hot.
+    """
+    frequent = F.col(n) * hot > total
+    some = F.broadcast(classes.where(frequent))
+    return rows.join(F.broadcast(classes.where(frequent).select(key)), key, "left_anti").join(classes.where(~frequent), key).unionByName(rows.join(some, key))
+
+
 by_value(__name__)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, licenses, minhash, mixing, packing, ppm, quality, rules, sharding, toxicity
+from . import clusters, covertree, licenses, media, minhash, mixing, packing, periodic, ppm, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_cover_tree_topk": covertree.op1_cover_tree_topk,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_dart_minhash": minhash.op8_dart_minhash,
     "op9_ppm_lm": ppm.op9_ppm_lm,
     "op10_weak_rules": rules.op10_weak_rules,
+    "op11_media_columns": media.op11_media_columns,
+    "op12_centroid_clustering": clusters.op12_centroid_clustering,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_cover_tree_topk": """
@@ -28,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY place ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
     """,
+    "op12_centroid_clustering": clusters.sql(),
 }
