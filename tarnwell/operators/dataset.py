@@ -152,35 +152,71 @@ def stratum_level(df: DataFrame, total: int, levels: tuple[tuple[str, ...], ...]
     return ()
 
 
-def stratified_split(df: DataFrame, seed: int = 42, minimum: int = 120, key: str = "id") -> DataFrame:
+def nth_of_group(df: DataFrame, groups: list[str], order: Column, bucket: Column, wanted: DataFrame) -> DataFrame:
+    """wanted: ``groups`` and k. Adds ``at``: the k-th smallest ``order`` of the group. ``bucket`` must not fall as ``order`` grows.
+
+    A selection instead of a sort: the buckets' counts tell in which of them a group's k-th row lies, and only that one is put in order.
+    """
+    x = df.select(*groups, order.alias("order"), bucket.alias("bucket"))
+    counts = x.groupBy(*groups, "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("before", before).join(wanted, groups).where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n")))
+    rows = x.join(ends.select(*groups, "bucket", "k", "before"), [*groups, "bucket"])
+    place = F.row_number().over(Window.partitionBy(*groups, "bucket", "k").orderBy("order"))
+    return rows.withColumn("place", place).where(F.col("place") == F.col("k") - F.col("before")).select(*groups, "k", F.col("order").alias("at"))
+
+
+def quotas(strata: DataFrame, total: int) -> DataFrame:
+    """strata: stratum and n. Adds n_test and n_validation: shares rounded down, and one more for the largest remainders, ties by name.
+
+    Strata have three rows at least (or there is one stratum), so no quota passes what a stratum has.
+    """
+    sizes = split_sizes(total)
+    names = ("test", "validation")
+    share = {c: F.col("n") * sizes[c] / F.lit(total) for c in names}
+    base = {c: F.floor(share[c]) for c in names}
+    left = strata.agg(*[(F.lit(sizes[c]) - F.sum(base[c])).alias(c) for c in names]).first()
+    ranks = F.explode(F.array(*[F.struct(F.lit(c).alias("split"), (base[c] - share[c]).alias("rest")) for c in names]))
+    x = strata.select("stratum", ranks.alias("x")).select("x.split", "x.rest", "stratum")
+    wanted = strata.sparkSession.createDataFrame([(c, left[c]) for c in names if left[c]] or [("", 0)], "split string, k long")
+    last = nth_of_group(x, ["split"], F.struct("rest", "stratum"), F.floor(F.col("rest") * 4096), wanted)
+    cut = {r["split"]: r["at"] for r in last.collect()}  # two rows
+    for c in names:
+        own = base[c] - share[c]
+        more = (own < F.lit(cut[c]["rest"])) | ((own == F.lit(cut[c]["rest"])) & (F.col("stratum") <= F.lit(cut[c]["stratum"]))) if c in cut else F.lit(False)
+        strata = strata.withColumn(f"n_{c}", base[c] + more.cast("long"))
+    return strata
+
+
+def stratified_split(df: DataFrame, seed: int = 42, minimum: int = 120, key: str = "id", bucket_rows: int = 50_000) -> DataFrame:
     """df: key, topic, risk and, if it is to be checked, scenario_key (a hash of the normalised scenario). ``split`` of every row: exact totals, stratum quotas by largest remainder, seeded order.
 
-    Rows rank within their stratum by a hash; strata are dimension values, and quotas are worked out on
-    one row per stratum, so no row leaves its executor.
+    A row's order in its stratum is a hash of its key. The keys at which a stratum's test and validation rows end are found by selection (``nth_of_group``)
+    over buckets of about ``bucket_rows`` rows by the hash's first digits, so no stratum, however hot, is sorted in one task; each row is then
+    compared with its stratum's two ends. Strata stay in tables; Spark broadcasts them if they are small.
     """
-    total = df.count()
+    total, known = df.agg(F.count("*"), F.count_distinct(key)).first()
     if total < minimum:
         raise ValueError(f"a split needs {minimum} rows")
-    for name in (key, *[c for c in ("scenario_key",) if c in df.columns]):
-        if df.select(name).distinct().count() != total:
-            raise ValueError(f"{name} must be unique")
-    level, sizes = stratum_level(df, total), split_sizes(total)
-    x = df.withColumn("stratum", F.concat_ws("|", *[F.col(c) for c in level]) if level else F.lit("all"))
-    counts = {r["stratum"]: r["count"] for r in x.groupBy("stratum").count().collect()}
-    quotas, left = {}, dict(counts)
-    for name in ("test", "validation"):
-        share = {s: counts[s] * sizes[name] / total for s in counts}
-        got = {s: min(int(share[s]), left[s]) for s in counts}
-        for s in sorted(counts, key=lambda s: (-(share[s] - int(share[s])), s)):
-            if sum(got.values()) < sizes[name] and got[s] < left[s]:
-                got[s] += 1
-        quotas[name] = got
-        left = {s: left[s] - got[s] for s in counts}
-    near = df.sparkSession.createDataFrame([(s, quotas["test"][s], quotas["validation"][s]) for s in counts], "stratum string, n_test int, n_validation int")
-    n = F.row_number().over(Window.partitionBy("stratum").orderBy(seeded(F.col(key), seed, "split"), key))
-    x = x.withColumn("place", n).join(F.broadcast(near), "stratum")
-    split = F.when(F.col("place") <= F.col("n_test"), "test").when(F.col("place") <= F.col("n_test") + F.col("n_validation"), "validation").otherwise("train")
-    return x.select(*df.columns, "stratum", split.alias("split"))
+    if known != total:
+        raise ValueError(f"{key} must be unique")
+    if "scenario_key" in df.columns and df.agg(F.count_distinct("scenario_key")).first()[0] != total:
+        raise ValueError("scenario_key must be unique")
+    level = stratum_level(df, total)
+    hashed = seeded(F.col(key), seed, "split")
+    x = df.withColumns({"stratum": F.concat_ws("|", *[F.col(c) for c in level]) if level else F.lit("all"), "__hash": hashed})
+    near = quotas(x.groupBy("stratum").agg(F.count("*").alias("n")), total)
+    digits = 0
+    while 16**digits * bucket_rows < total:
+        digits += 1
+    wanted = near.select("stratum", F.explode(F.array("n_test", F.col("n_test") + F.col("n_validation"))).alias("k")).where("k > 0").distinct()
+    ends = nth_of_group(x, ["stratum"], F.struct("__hash", F.col(key).alias("key")), F.substring("__hash", 1, digits), wanted)
+    at = near.join(ends.withColumnRenamed("stratum", "of"), F.col("stratum") == F.col("of"), "left")
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("at")))
+    cuts = at.groupBy(F.col("stratum").alias("of")).agg(pick(F.col("n_test")).alias("test_end"), pick(F.col("n_test") + F.col("n_validation")).alias("validation_end"))
+    own = F.struct("__hash", F.col(key).alias("key"))
+    split = F.when(own <= F.col("test_end"), "test").when(own <= F.col("validation_end"), "validation").otherwise("train")
+    return x.join(cuts, F.col("stratum") == F.col("of")).select(*df.columns, "stratum", split.alias("split"))
 
 
 def leakage(split: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -196,12 +232,59 @@ def crosstab(df: DataFrame, row: str = "topic", column: str = "risk", values: tu
     return df.groupBy(row).pivot(column, list(values)).count().fillna(0)
 
 
-def described(df: DataFrame, column: str) -> DataFrame:
+def nth_values(df: DataFrame, column: str, ranks: list[int], most: int = 100_000, accuracy: int = 10_000) -> dict[int, float]:
+    """The values of the given ranks (from 1) among the non-null values of ``column``, exact.
+
+    Each round narrows a rank's bracket to values that surely hold it, by an approximate percentile either side and exact counts, to a
+    thousandth or less; at most ``most`` values are put in order in the end. Ties at a bracket's ends are settled by their counts.
+    """
+    x = df.select(F.col(column).alias("x")).where("x is not null")
+    n = x.count()
+    open_, found = {r: (None, None, 0, n) for r in ranks}, {}  # the ends (exclusive), how many lie below, how many within
+    within = lambda lo, hi: (F.lit(True) if lo is None else F.col("x") > lo) & (F.lit(True) if hi is None else F.col("x") < hi)
+    while open_:
+        small = {r: b for r, b in open_.items() if b[3] <= most}
+        if small:
+            every = F.sort_array(F.collect_list("x"))
+            brackets = {b[:2] for b in small.values()}
+            for lo, hi in brackets:
+                own = [r for r, b in small.items() if b[:2] == (lo, hi)]
+                got = x.where(within(lo, hi)).agg(every.alias("all")).select(*[F.element_at("all", r - small[r][2]).cast("double") for r in own]).first()
+                found |= dict(zip(own, got, strict=True))
+        open_ = {r: b for r, b in open_.items() if r not in small}
+        if not open_:
+            break
+        ends = []
+        for r, (lo, hi, below, m) in open_.items():
+            sides = [max(0.0, (r - below - 1) / m - 2 / accuracy), min(1.0, (r - below) / m + 2 / accuracy)]
+            ends.append(F.percentile_approx(F.when(within(lo, hi), F.col("x")), sides, accuracy))
+        ends = dict(zip(open_, x.agg(*ends).first(), strict=True))
+        counted = [F.struct(F.count_if(F.col("x") < a), F.count_if(F.col("x") == a), F.count_if((F.col("x") > a) & (F.col("x") < b)), F.count_if(F.col("x") == b)) for a, b in ends.values()]
+        for r, (under, at_a, between, at_b) in zip(list(open_), x.agg(*counted).first(), strict=True):
+            (lo, hi, below, m), (a, b) = open_[r], ends[r]
+            if under < r <= under + at_a:
+                found[r] = float(a)
+            elif a != b and under + at_a + between < r <= under + at_a + between + at_b:
+                found[r] = float(b)
+            elif r <= under:  # never, by the percentile's error bound
+                open_[r] = (lo, a, below, under - below)
+            elif r > under + at_a + (between + at_b if a != b else 0):
+                open_[r] = (b, hi, under + at_a + (between + at_b if a != b else 0), below + m - under - at_a - (between + at_b if a != b else 0))
+            else:
+                open_[r] = (a, b, under + at_a, between)
+        open_ = {r: b for r, b in open_.items() if r not in found}
+    return found
+
+
+def described(df: DataFrame, column: str, most: int = 100_000) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles (between ranks by a straight line); quartiles by selection, not by a sort in one task."""
     x = F.col(column)
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"),
-        *[F.percentile(x, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max(x).alias("most"),
-    )
+    stats = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    n = df.agg(F.count(x)).first()[0]
+    at = {name: ((n - 1) * k // 4 + 1, (n - 1) * k % 4 / 4) for k, name in ((1, "q25"), (2, "q50"), (3, "q75"))}
+    value = nth_values(df, column, sorted({r + up for r, part in at.values() for up in (0, 1 if part else 0)}), most) if n else {}
+    quartile = {name: value[r] + (part and part * (value[r + 1] - value[r])) if n else None for name, (r, part) in at.items()}
+    return stats.select("n", "mean", "std", "least", *[F.lit(q).cast("double").alias(name) for name, q in quartile.items()], "most")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:

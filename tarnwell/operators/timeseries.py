@@ -1,22 +1,13 @@
-"""Indicators over daily bars. Windows and counts stay in Spark; the two recursions run in one grouped pass."""
+"""Indicators over daily bars, in built-in functions: windows for means, a parallel scan over blocks of days for recursions."""
 
 from __future__ import annotations
 
-import os
-import sys
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.config import HORIZON_DAYS, TRADING_DAYS, IndicatorConfig
 
-if os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def by_date():
     return Window.partitionBy("series").orderBy("d")
@@ -48,72 +39,118 @@ def gap_segments(df: DataFrame) -> DataFrame:
     return x.withColumns({"run_id": F.sum("__change").over(w), "gap_id": F.sum(missing.cast("int")).over(w)}).drop("__change")
 
 
-def ema(values: np.ndarray, span: int) -> np.ndarray:
-    """Exponential mean seeded by the first present value, shown from the span-th on; starts anew after a gap.
+RECURSIVE = ("EMA_fast", "EMA_slow", "MACD", "MACD_signal", "RSI")
+BLOCK_DAYS = 256
+# What a recursion knows after a day: closes since the last missing one, the last close, the means of MACD, and of gains and losses.
+STATE = ("n", "c", "fast", "slow", "signal", "gain", "loss")
+EMPTY = "named_struct('n', 0L, 'c', 0D, 'fast', 0D, 'slow', 0D, 'signal', 0D, 'gain', 0D, 'loss', 0D)"
 
-    ``values``: one stretch without gaps inside; leading missing values are passed over.
-    """
-    out = np.full(len(values), np.nan)
-    step, seen, level = 2.0 / (span + 1.0), 0, 0.0
-    for i, v in enumerate(values):
-        if v != v:
-            continue
-        level = v if not seen else level + step * (v - level)
-        seen += 1
-        if seen >= span:
-            out[i] = level
-    return out
-
-
-def wilder(values: np.ndarray, n: int) -> np.ndarray:
-    """Relative strength index of one stretch without gaps."""
-    out = np.full(len(values), np.nan)
-    if len(values) <= n:
-        return out
-    move = np.diff(values)
-    up, down = np.maximum(move, 0.0), np.maximum(-move, 0.0)
-    gain, loss = up[:n].mean(), down[:n].mean()
-    for i in range(n, len(values)):
-        if i > n:
-            gain += (up[i - 1] - gain) / n
-            loss += (down[i - 1] - loss) / n
-        if loss == 0:
-            out[i] = 100.0 if gain > 0 else 50.0
-        else:
-            out[i] = 100.0 - 100.0 / (1.0 + gain / loss)
-    return out
 
+def _towards(mean: Column, value: Column, rate: float) -> Column:
+    return mean + F.lit(rate) * (value - mean)
 
-RECURSIVE = ("EMA_fast", "EMA_slow", "MACD", "MACD_signal", "RSI")
 
+def _step(cfg: IndicatorConfig):
+    """The state after one more day; a missing close empties it."""
+    rate = {"fast": 2.0 / (cfg.macd_fast + 1.0), "slow": 2.0 / (cfg.macd_slow + 1.0), "signal": 2.0 / (cfg.macd_signal + 1.0)}
+    p = cfg.rsi_period
+
+    def step(s: Column, close: Column) -> Column:
+        n, first = s["n"] + 1, s["n"] == 0
+        fast, slow = (F.when(first, close).otherwise(_towards(s[k], close, rate[k])) for k in ("fast", "slow"))
+        macd = fast - slow
+        signal = F.when(n < cfg.macd_slow, 0.0).when(n == cfg.macd_slow, macd).otherwise(_towards(s["signal"], macd, rate["signal"]))
+
+        def wilder(mean: Column, move: Column) -> Column:  # a sum up to the seed, then a mean
+            move = F.greatest(move, F.lit(0.0))
+            return F.when(first, 0.0).when(n <= p, mean + move).when(n == p + 1, (mean + move) / p).otherwise(mean + (move - mean) / p)
+
+        values = (n, close, fast, slow, signal, wilder(s["gain"], close - s["c"]), wilder(s["loss"], s["c"] - close))
+        return F.when(close.isNull(), F.expr(EMPTY)).otherwise(F.struct(*[v.alias(k) for v, k in zip(values, STATE, strict=True)]))
+
+    return step
+
+
+def _shown(s: Column, cfg: IndicatorConfig) -> list[Column]:
+    """The indicators of a day's state, each null until it has seen enough days."""
+    rsi = F.when(s["loss"] == 0, F.when(s["gain"] > 0, 100.0).otherwise(50.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + s["gain"] / s["loss"]))
+    macd = F.when(s["n"] >= cfg.macd_slow, s["fast"] - s["slow"])
+    values = (F.when(s["n"] >= cfg.macd_fast, s["fast"]), F.when(s["n"] >= cfg.macd_slow, s["slow"]), macd, F.when(s["n"] >= cfg.macd_slow + cfg.macd_signal - 1, s["signal"]), F.when(s["n"] > cfg.rsi_period, rsi))
+    return [v.alias(k) for v, k in zip(values, RECURSIVE, strict=True)]
+
+
+def _settled(cfg: IndicatorConfig) -> int:
+    """From so many days without a gap on, a day is one affine map of the state."""
+    return max(cfg.macd_slow, cfg.rsi_period + 1)
+
+
+def _map_of(closes: Column, before: Column, cfg: IndicatorConfig) -> Column:
+    """The affine map of a stretch of days behind settled ones, folded from the maps of its days. before: the close before the first.
+
+    The ends are fast = ff * fast + f, slow = ss * slow + s, signal = gg * signal + gf * fast + gs * slow + g, gain = w * gain + u, loss = w * loss + v.
+    """
+    a, b, e, p = 2.0 / (cfg.macd_fast + 1.0), 2.0 / (cfg.macd_slow + 1.0), 2.0 / (cfg.macd_signal + 1.0), cfg.rsi_period
+    names = ("c", "ff", "f", "ss", "s", "gg", "gf", "gs", "g", "w", "u", "v")
+
+    def compose(m: Column, x: Column) -> Column:
+        ff, f, ss, s = m["ff"] * F.lit(1 - a), _towards(m["f"], x, a), m["ss"] * F.lit(1 - b), _towards(m["s"], x, b)
+        up, down = F.greatest(x - m["c"], F.lit(0.0)), F.greatest(m["c"] - x, F.lit(0.0))
+        values = (
+            x, ff, f, ss, s, m["gg"] * F.lit(1 - e), _towards(m["gf"], ff, e), _towards(m["gs"], -ss, e), _towards(m["g"], f - s, e), m["w"] * F.lit(1 - 1 / p), m["u"] + (up - m["u"]) / p, m["v"] + (down - m["v"]) / p,
+        )
+        return F.struct(*[v.alias(k) for v, k in zip(values, names, strict=True)])
+
+    ones = {"ff", "ss", "gg", "w"}
+    return F.aggregate(closes, F.struct(before.alias("c"), *[F.lit(1.0 if k in ones else 0.0).alias(k) for k in names[1:]]), compose)
 
-def _recursions(cfg: IndicatorConfig):
-    def run(stretch: pa.Table) -> pa.Table:
-        """Rows of one series from a missing close, if it begins with one, to the next; all columns pass, RECURSIVE follow."""
-        stretch = stretch.sort_by("d")
-        close = stretch["close"].to_numpy().astype(float)
-        cols = {c: np.full(len(close), np.nan) for c in RECURSIVE}
-        at = ~np.isnan(close)
-        fast, slow = ema(close[at], cfg.macd_fast), ema(close[at], cfg.macd_slow)
-        cols["EMA_fast"][at], cols["EMA_slow"][at], cols["MACD"][at] = fast, slow, fast - slow
-        cols["MACD_signal"][at] = ema(fast - slow, cfg.macd_signal)
-        cols["RSI"][at] = wilder(close[at], cfg.rsi_period)
-        for name, values in cols.items():
-            stretch = stretch.append_column(name, pa.array(values, mask=np.isnan(values)))
-        return stretch
 
-    return run
+def _moved(s: Column, m: Column, days: Column) -> Column:
+    """The state behind ``days`` days of the map ``m``."""
+    values = (
+        s["n"] + days, m["c"], m["ff"] * s["fast"] + m["f"], m["ss"] * s["slow"] + m["s"], m["gg"] * s["signal"] + m["gf"] * s["fast"] + m["gs"] * s["slow"] + m["g"], m["w"] * s["gain"] + m["u"], m["w"] * s["loss"] + m["v"],
+    )
+    return F.struct(*[v.alias(k) for v, k in zip(values, STATE, strict=True)])
 
 
-def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig()) -> DataFrame:
+def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), block_days: int = BLOCK_DAYS) -> DataFrame:
     """EMA_fast, EMA_slow, MACD, MACD_signal, MACD_histogram and RSI; every recursion restarts at a missing close.
 
-    A group is one stretch of a series between missing closes and carries all columns, so that nothing is joined back.
+    A parallel scan, in built-in functions. The days of a series fall into blocks of ``block_days`` calendar days, which many tasks work on. A block without a
+    gap moves the state by its first days, up to when the recursions are settled, and by one affine map for all others; one with a gap ends in a
+    state of its own, whatever was before. One row per block and series, no more than some thousand, is folded to the state before each block, and each block
+    is filled in from there. Columns of any type pass.
     """
-    gap = F.sum(F.col("close").isNull().cast("int")).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
-    x = df.withColumn("__gap", gap)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema), *(f"{c} double" for c in RECURSIVE)])
-    got = x.groupBy("series", "__gap").applyInArrow(_recursions(cfg), fields).drop("__gap")
+    step, settled = _step(cfg), _settled(cfg)
+    block = F.coalesce(F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / block_days), F.lit(-(1 << 40)))
+    close = F.col("close").cast("double")
+    day = F.struct(F.col("d"), F.when(~F.isnan(close), close).alias("close"), F.struct(*df.columns).alias("row"))
+    earlier = lambda x, y: F.when(x["d"].eqNullSafe(y["d"]), 0).when(x["d"].isNull() | (x["d"] < y["d"]), -1).otherwise(1)
+    blocks = df.groupBy("series", block.alias("block")).agg(F.array_sort(F.collect_list(day), earlier).alias("days"))
+    closes = F.transform("days", lambda x: x["close"])
+    gap = F.exists("closes", lambda x: x.isNull())
+    behind = F.slice("closes", settled + 1, F.greatest(F.size("closes") - settled, F.lit(0)))
+    ends = blocks.select("series", "block", closes.alias("closes")).select(
+        "block", "series", F.when(gap, F.aggregate("closes", F.expr(EMPTY), step)).alias("end"), F.slice("closes", 1, settled).alias("first"),
+        F.when(~gap & (F.size("closes") > settled), _map_of(behind, F.element_at("closes", settled), cfg)).alias("map"), F.greatest(F.size("closes") - settled, F.lit(0)).cast("long").alias("n_behind"),
+    )
+
+    def over(s: Column, b: Column) -> Column:
+        warm = F.aggregate(b["first"], s, step)
+        return F.when(b["end"].isNotNull(), b["end"]).when(b["map"].isNull(), warm).otherwise(F.transform(F.array(warm), lambda x: _moved(x, b["map"], b["n_behind"]))[0])
+
+    own = ends.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("block", "end", "first", "map", "n_behind"))).alias("all"))
+    start = F.struct(F.expr(EMPTY).alias("state"), F.expr("cast(array() as array<struct<block: bigint, state: struct<n: bigint, c: double, fast: double, slow: double, signal: double, gain: double, loss: double>>>)").alias("heads"))
+    heads = F.aggregate("all", start, lambda acc, b: F.struct(over(acc["state"], b).alias("state"), F.concat(acc["heads"], F.array(F.struct(b["block"].alias("block"), acc["state"].alias("state")))).alias("heads")))
+    heads = own.select(F.col("series").alias("of"), F.inline(heads["heads"])).withColumnRenamed("block", "of_block")
+    x = blocks.join(heads, (F.col("block") == F.col("of_block")) & F.col("series").eqNullSafe(F.col("of")))
+
+    def fill(acc: Column, x: Column) -> Column:
+        s = step(F.element_at(acc, -1), x["close"])
+        return F.concat(acc, F.array(s))
+
+    states = F.aggregate("days", F.array("state"), fill)
+    pairs = x.select(F.explode(F.arrays_zip(F.col("days").alias("day"), F.slice(states, 2, F.size("days")).alias("state"))).alias("x"))
+    got = pairs.select("x.day.row.*", *_shown(F.col("x.state"), cfg))
     return got.withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
 
 

@@ -451,26 +451,36 @@ def length_histogram(spark, sf_dir):
     return dataset.histogram(table(spark, sf_dir, "documents"), "n_chars")
 
 
-def _split(spark, sf_dir):
-    return dataset.stratified_split(_examples(spark, sf_dir).select("id", "topic", "risk", F.md5(normalized(F.col("scenario")).cast("binary")).alias("norm_md5")))
+def _split(spark, sf_dir, distinct: bool):
+    """Records by split. distinct: the first record of each normalised text only, so that the scenarios' uniqueness can be asked for."""
+    x = _examples(spark, sf_dir).select("id", "topic", "risk", F.md5(normalized(F.col("scenario")).cast("binary")).alias("norm_md5"))
+    if distinct:
+        first = x.groupBy("norm_md5").agg(F.min("id").alias("id"))
+        x = x.join(first.select("id"), "id", "left_semi").withColumnRenamed("norm_md5", "scenario_key")
+    return dataset.stratified_split(written(x))
 
 
-_SPLIT = f"""{_EX}, t AS (SELECT count(*) AS n FROM ex), sz AS (SELECT n, CASE WHEN (n % 10) * 1 >= 5 OR n % 10 = 0 THEN n // 10 + CASE WHEN n % 10 = 0 THEN 0 ELSE 1 END ELSE n // 10 END AS h FROM t),
- st AS (SELECT topic || '|' || risk AS stratum, count(*) AS c FROM ex GROUP BY 1),
- q AS (SELECT stratum, c, CAST(floor(c * h * 1.0 / n) AS BIGINT) AS base, c * h * 1.0 / n - floor(c * h * 1.0 / n) AS frac, h FROM st, sz),
- tq AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, stratum) <= h - sum(base) OVER () THEN 1 ELSE 0 END AS n_test FROM q),
- r AS (SELECT ex.*, topic || '|' || risk AS stratum, row_number() OVER (PARTITION BY topic || '|' || risk ORDER BY md5(CAST(id AS VARCHAR) || '|42|split'), id) AS place FROM ex),
- split AS (SELECT id, topic, risk, r.stratum, scenario AS text, CASE WHEN place <= n_test THEN 'test' WHEN place <= 2 * n_test THEN 'validation' ELSE 'train' END AS split FROM r JOIN tq USING (stratum))"""
+def _split_sql(rows: str) -> str:
+    rank = lambda c: f"base_{c} + CASE WHEN row_number() OVER (ORDER BY share_{c} - base_{c} DESC, stratum) <= h_{c} - sum(base_{c}) OVER () THEN 1 ELSE 0 END"
+    return f"""{_EX}, own AS ({rows}), sz AS (SELECT count(*) AS n, count(*) // 10 + CASE WHEN count(*) % 10 >= 7 THEN 1 ELSE 0 END AS h_t, count(*) // 10 + CASE WHEN count(*) % 10 >= 4 THEN 1 ELSE 0 END AS h_v FROM own),
+ st AS (SELECT topic || '|' || risk AS stratum, count(*) AS c FROM own GROUP BY 1), sh AS (SELECT *, c * h_t * 1.0 / n AS share_t, c * h_v * 1.0 / n AS share_v FROM st, sz),
+ q AS (SELECT *, CAST(floor(share_t) AS BIGINT) AS base_t, CAST(floor(share_v) AS BIGINT) AS base_v FROM sh), tq AS (SELECT stratum, {rank('t')} AS n_test, {rank('v')} AS n_validation FROM q),
+ r AS (SELECT own.*, topic || '|' || risk AS stratum, row_number() OVER (PARTITION BY topic || '|' || risk ORDER BY md5(CAST(id AS VARCHAR) || '|42|split'), id) AS place FROM own),
+ split AS (SELECT id, topic, risk, r.stratum, scenario AS text, CASE WHEN place <= n_test THEN 'test' WHEN place <= n_test + n_validation THEN 'validation' ELSE 'train' END AS split FROM r JOIN tq USING (stratum))"""
 
 
-@query(f"WITH {_SPLIT} SELECT id, topic, risk, stratum, split FROM split")
+_FIRST = f"SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY md5({_NORM.replace('text', 'scenario')}) ORDER BY id) = 1"
+
+
+@query(f"WITH {_split_sql(_FIRST)} SELECT id, topic, risk, stratum, split FROM split")
 def stratified_split(spark, sf_dir):
-    return _split(spark, sf_dir).select("id", "topic", "risk", "stratum", "split")
+    return _split(spark, sf_dir, True).select("id", "topic", "risk", "stratum", "split")
 
 
-@query(f"WITH {_SPLIT}, k AS (SELECT 'id' AS key, CAST(id AS VARCHAR) AS value, split FROM split UNION ALL SELECT 'norm_md5', md5({_NORM}), split FROM split) SELECT key, value, count(DISTINCT split) AS splits FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
+@query(f"WITH {_split_sql('SELECT * FROM ex')}, k AS (SELECT 'id' AS key, CAST(id AS VARCHAR) AS value, split FROM split UNION ALL SELECT 'norm_md5', md5({_NORM}), split FROM split) SELECT key, value, count(DISTINCT split) AS splits FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
 def split_leakage(spark, sf_dir):
-    return dataset.leakage(_split(spark, sf_dir), ("id", "norm_md5"))
+    """Records with copies, split without a look at the scenarios: copies end in different splits."""
+    return dataset.leakage(_split(spark, sf_dir, False), ("id", "norm_md5"))
 
 
 @query(f"""WITH {_EX} SELECT id, 'system|user|assistant' AS roles, 'You triage cases.' AS system, md5('Policy:' || chr(10) || 'Internal policy.' || chr(10) || chr(10) || 'Scenario:' || chr(10) || scenario) AS user_md5,

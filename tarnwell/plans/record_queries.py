@@ -14,7 +14,7 @@ from ..functions import rules, scalar
 from ..functions.scalar import normalized, r6, word_count
 from ..operators import dataset, evidence, signals, text
 from ..sources import bars, records, sinks
-from .catalogue import _ACC, _AGG, _FACTS, _FULL, _KEY, _NORM, _SENT, _SPLIT, _SUMMARY, _TITLES, BARS, _asked, _bars, _candidates, _docs, _indicators, _r6, _sentiments, _split, _titles, _values, folder, query, table, written
+from .catalogue import _ACC, _AGG, _FACTS, _FULL, _KEY, _NORM, _SENT, _SUMMARY, _TITLES, BARS, _asked, _bars, _candidates, _docs, _indicators, _r6, _sentiments, _split, _split_sql, _titles, _values, folder, query, table, written
 
 NOW = "2026-10-08 00:00:00"
 EPOCH = int(dt.datetime(2026, 10, 8, tzinfo=dt.UTC).timestamp())
@@ -210,11 +210,11 @@ def cache_lookup(spark, sf_dir):
     return records.read_cache(spark, path, "HIGH", "2026-01-02", 1).select("ticker", "as_of", "workflow", "version", "payload")
 
 
-@query(f"""WITH {_SPLIT}, l AS (SELECT split, id, '{{"id":' || id || ',"topic":"' || topic || '","risk":"' || risk || '","stratum":"' || stratum || '"}}' AS line FROM split)
+@query(f"""WITH {_split_sql('SELECT * FROM ex')}, l AS (SELECT split, id, '{{"id":' || id || ',"topic":"' || topic || '","risk":"' || risk || '","stratum":"' || stratum || '"}}' AS line FROM split)
  SELECT split, count(*) AS n, sha256(sha256(string_agg(line, chr(10) ORDER BY id))) AS sha256, 42 AS seed, 'topic' AS stratified_by FROM l GROUP BY 1""")
 def split_manifest(spark, sf_dir):
     """The manifest that goes with saved splits; the SQL holds while each is one block of rows."""
-    return sinks.manifest(_split(spark, sf_dir).select("id", "topic", "risk", "stratum", "split"), 42, "topic")
+    return sinks.manifest(_split(spark, sf_dir, False).select("id", "topic", "risk", "stratum", "split"), 42, "topic")
 
 
 @query("SELECT conv_id, turn, substr(output, 1, 200) AS output, CASE WHEN turn % 2 = 0 THEN '[REDACTED]' ELSE 'Bearer [REDACTED] of ' || conv_id END AS argument FROM (SELECT conv_id, turn, 'to [REDACTED] ' || coalesce(text, '') AS output FROM conversations)")

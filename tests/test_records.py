@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import random
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,68 @@ def test_split_sizes_and_levels(spark):
         dataset.stratified_split(df.union(df))
 
 
+def plain_split(rows, key, seed, level):
+    """Ranks in Python: rows of a stratum in hashed order, quotas by largest remainder."""
+    strata, total = {}, len(rows)
+    for r in rows:
+        strata.setdefault("|".join(str(r[c]) for c in level) or "all", []).append(r[key])
+    sizes, quota = dataset.split_sizes(total), {}
+    for name in ("test", "validation"):
+        share = {s: len(v) * sizes[name] / total for s, v in strata.items()}
+        quota[name] = {s: int(x) for s, x in share.items()}
+        rest = sizes[name] - sum(quota[name].values())
+        for s in sorted(strata, key=lambda s: (int(share[s]) - share[s], s))[:rest]:
+            quota[name][s] += 1
+    out = {}
+    for s, ids in strata.items():
+        t, v = quota["test"][s], quota["validation"][s]
+        for n, i in enumerate(sorted(ids, key=lambda i: (hashlib.md5(f"{i}|{seed}|split".encode()).hexdigest(), i))):
+            out[i] = "test" if n < t else "validation" if n < t + v else "train"
+    return out
+
+
+@pytest.mark.parametrize(("n", "strata", "bucket_rows"), [(137, 4, 50_000), (3000, 7, 20), (2500, 1, 3), (1201, 90, 10)])
+def test_split_like_plain_ranks(spark, n, strata, bucket_rows):
+    """Small buckets, so that quotas end within and between them; a third of the rows in one stratum."""
+    rows = [{"id": i, "topic": f"t{0 if i % 3 == 0 else i % strata}", "risk": "low"} for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, topic string, risk string")
+    level = dataset.stratum_level(df, n)
+    got = dataset.stratified_split(df, seed=7, bucket_rows=bucket_rows)
+    assert {r["id"]: r["split"] for r in got.collect()} == plain_split(rows, "id", 7, level)
+
+
+def test_no_stratum_is_one_task(spark):
+    """One stratum of 20,000 rows: the sorted part is a bucket, and rows are compared where they are."""
+    df = spark.range(20_000).select("id", F.lit("t").alias("topic"), F.lit("low").alias("risk")).repartition(8)
+    got = dataset.stratified_split(df, bucket_rows=100)
+    assert max(len(p) for p in got.select("id").rdd.glom().collect()) < 10_000
+    assert {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 16_000, "validation": 2_000, "test": 2_000}
+
+
+def test_copies_of_a_scenario_are_refused(spark):
+    df = spark.range(200).select("id", F.lit("t").alias("topic"), F.lit("low").alias("risk"), (F.col("id") % 199).alias("scenario_key"))
+    with pytest.raises(ValueError, match="scenario_key"):
+        dataset.stratified_split(df)
+
+
+@pytest.mark.parametrize("values", [
+    [5.0] * 1000, list(range(1001)), [0] * 400 + [1] * 600, [0.0, 1e300, -1e300, 3.0] * 50 + [7.0], [1.0], [1, None, 2, None, 4], [*range(500), *[250] * 500], [2**x for x in range(60)] * 9,
+])
+def test_quartiles_by_selection(spark, values):
+    """At most three values are put in order, so that brackets are narrowed by counts down to the end."""
+    rows = [(None if v is None else float(v),) for v in values]
+    random.Random(1).shuffle(rows)
+    got = dataset.described(spark.createDataFrame(rows, "x double"), "x", most=3).first()
+    there = [v for v, in rows if v is not None]
+    assert [got["q25"], got["q50"], got["q75"]] == pytest.approx(list(np.quantile(there, [0.25, 0.5, 0.75])))
+    assert (got["n"], got["least"], got["most"]) == (len(there), min(there), max(there))
+
+
+def test_quartiles_of_nothing(spark):
+    got = dataset.described(spark.createDataFrame([], "x long"), "x").first()
+    assert got["n"] == 0 and got["q50"] is None
+
+
 def test_saved_splits_are_not_replaced(spark, tmp_path):
     got = dataset.stratified_split(spark.createDataFrame([(i, "t", "low") for i in range(120)], "id long, topic string, risk string"))
     sinks.save_splits(got, str(tmp_path / "s"))

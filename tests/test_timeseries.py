@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -60,14 +62,87 @@ def test_rsi_edges(spark, step, want):
     assert got[:14] == [None] * 14 and all(v == pytest.approx(want) for v in got[14:])
 
 
-def test_rsi_recursion():
-    got = timeseries.wilder(np.array([100.0, 102, 101, 104, 102, 106, 105]), 3)
+def test_rsi_recursion(spark):
+    got = column(timeseries.with_recursions(history(spark, [float(x) for x in (100, 102, 101, 104, 102, 106, 105)]), IndicatorConfig(rsi_period=3)), "RSI")
     gain, loss = 5 / 3, 1 / 3
     assert got[3] == pytest.approx(100 - 100 / (1 + gain / loss))
     gain, loss = gain * 2 / 3, loss * 2 / 3 + 2 / 3
     assert got[4] == pytest.approx(100 - 100 / (1 + gain / loss))
 
 
+def plain_recursions(closes, cfg):
+    """EMA_fast, EMA_slow, MACD, MACD_signal and RSI of one series, day by day."""
+    out, n = [], 0
+    for x in closes:
+        if x is None:
+            n = 0
+            out.append((None,) * 5)
+            continue
+        n += 1
+        if n == 1:
+            fast, slow, signal, moves = x, x, 0.0, []
+        else:
+            fast, slow = fast + 2 / (cfg.macd_fast + 1) * (x - fast), slow + 2 / (cfg.macd_slow + 1) * (x - slow)
+            moves.append((max(x - last, 0.0), max(last - x, 0.0)))
+        last, macd, p, rsi = x, fast - slow, cfg.rsi_period, None
+        if n >= cfg.macd_slow:
+            signal = macd if n == cfg.macd_slow else signal + 2 / (cfg.macd_signal + 1) * (macd - signal)
+        if n > p:
+            if n == p + 1:
+                gain, loss = (sum(m[i] for m in moves) / p for i in (0, 1))
+            else:
+                gain, loss = gain + (moves[-1][0] - gain) / p, loss + (moves[-1][1] - loss) / p
+            rsi = (100.0 if gain > 0 else 50.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+        late = n >= cfg.macd_slow
+        out.append((fast if n >= cfg.macd_fast else None, slow if late else None, macd if late else None, signal if n >= cfg.macd_slow + cfg.macd_signal - 1 else None, rsi))
+    return out
+
+
+@pytest.mark.parametrize(("cfg", "block_days"), [
+    (IndicatorConfig(macd_fast=2, macd_slow=4, macd_signal=3, rsi_period=3), 7), (IndicatorConfig(macd_fast=2, macd_slow=4, macd_signal=3, rsi_period=9), 20), (IndicatorConfig(), 5), (IndicatorConfig(), 64), (IndicatorConfig(), 256),
+])
+def test_blocks_give_what_one_pass_gives(spark, cfg, block_days):
+    """Series with and without gaps, days that are far apart, a null key, a column of a type without order."""
+    rng, rows, want = random.Random(block_days), [], {}
+    for series in ("whole", "few gaps", None, "flat"):
+        day, x, days, closes = date(1969, 1, 1), 100.0, [], []
+        for _ in range(300):
+            day += timedelta(days=rng.choice([1, 1, 1, 3, 3, 40 if rng.random() < 0.05 else 1]))
+            x *= math.exp(rng.gauss(0, 0.02))
+            gone = series != "whole" and rng.random() < (0.01 if series == "few gaps" else 0.1)
+            days.append(day)
+            closes.append(None if gone else 100.0 if series == "flat" else x)
+            rows.append((series, day, closes[-1], {"k": len(rows)}))
+        want |= {(series, d): v for d, v in zip(days, plain_recursions(closes, cfg), strict=True)}
+    rng.shuffle(rows)
+    got = timeseries.with_recursions(spark.createDataFrame(rows, "series string, d date, close double, more map<string,int>"), cfg, block_days).collect()
+    assert sorted(r["more"]["k"] for r in got) == list(range(len(rows)))
+    for r in got:
+        assert [r[c] for c in timeseries.RECURSIVE] == [v if v is None else pytest.approx(v, rel=1e-9, abs=1e-9) for v in want[r["series"], r["d"]]]
+
+
+def test_one_long_series_is_many_tasks(spark):
+    """300,000 days of one series without a gap: blocks are spread, nothing runs in Python, and the end is that of one pass."""
+    days = spark.range(300_000).select(F.lit("one").alias("series"), F.date_add(F.lit("1500-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (100 + F.sin("id") * 10 + F.pmod(F.xxhash64("id"), F.lit(7))).alias("close"))
+    x = timeseries.with_recursions(days)
+    plan = x._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Window" not in plan
+    last = x.orderBy(F.col("d").desc()).first()
+    closes = [r["close"] for r in days.orderBy("d").collect()[-3000:]]
+    assert [last[c] for c in timeseries.RECURSIVE] == pytest.approx(plain_recursions(closes, IndicatorConfig())[-1], rel=1e-9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(p) for p in timeseries.with_recursions(days).select("RSI").rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.5 * sum(sizes) == 150_000
+
+
+def test_indicators_of_no_rows(spark):
+    none = timeseries.with_indicators(bars.validated(history(spark, LINEAR).limit(0)))
+    assert none.count() == 0 and {*timeseries.RECURSIVE, "MACD_histogram"} <= set(none.columns)
+
+
 def test_a_missing_close_restarts_everything(spark):
     close = list(LINEAR)
     close[250] = None
