@@ -46,112 +46,93 @@ STATE = ("n", "c", "fast", "slow", "signal", "gain", "loss")
 EMPTY = "named_struct('n', 0L, 'c', 0D, 'fast', 0D, 'slow', 0D, 'signal', 0D, 'gain', 0D, 'loss', 0D)"
 
 
-def _towards(mean: Column, value: Column, rate: float) -> Column:
-    return mean + F.lit(rate) * (value - mean)
+def _struct(values: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())})"
 
 
-def _step(cfg: IndicatorConfig):
-    """The state after one more day; a missing close empties it."""
-    rate = {"fast": 2.0 / (cfg.macd_fast + 1.0), "slow": 2.0 / (cfg.macd_slow + 1.0), "signal": 2.0 / (cfg.macd_signal + 1.0)}
-    p = cfg.rsi_period
-
-    def step(s: Column, close: Column) -> Column:
-        n, first = s["n"] + 1, s["n"] == 0
-        fast, slow = (F.when(first, close).otherwise(_towards(s[k], close, rate[k])) for k in ("fast", "slow"))
-        macd = fast - slow
-        signal = F.when(n < cfg.macd_slow, 0.0).when(n == cfg.macd_slow, macd).otherwise(_towards(s["signal"], macd, rate["signal"]))
-
-        def wilder(mean: Column, move: Column) -> Column:  # a sum up to the seed, then a mean
-            move = F.greatest(move, F.lit(0.0))
-            return F.when(first, 0.0).when(n <= p, mean + move).when(n == p + 1, (mean + move) / p).otherwise(mean + (move - mean) / p)
+def _rates(cfg: IndicatorConfig) -> tuple[float, float, float]:
+    return tuple(2.0 / (span + 1.0) for span in (cfg.macd_fast, cfg.macd_slow, cfg.macd_signal))
 
-        values = (n, close, fast, slow, signal, wilder(s["gain"], close - s["c"]), wilder(s["loss"], s["c"] - close))
-        return F.when(close.isNull(), F.expr(EMPTY)).otherwise(F.struct(*[v.alias(k) for v, k in zip(values, STATE, strict=True)]))
 
-    return step
+def _step(s: str, x: str, cfg: IndicatorConfig) -> str:
+    """SQL of the state after one more day with the close ``x``; a missing one empties it."""
+    fast_rate, slow_rate, signal_rate = _rates(cfg)
+    n, p = f"({s}.n + 1)", cfg.rsi_period
+    towards = lambda mean, value, rate: f"{mean} + {rate!r}D * ({value} - {mean})"
+    fast, slow = (f"IF({s}.n = 0, {x}, {towards(f'{s}.{k}', x, r)})" for k, r in (("fast", fast_rate), ("slow", slow_rate)))
+    macd = "(m.fast - m.slow)"
+    signal = f"CASE WHEN {n} < {cfg.macd_slow} THEN 0D WHEN {n} = {cfg.macd_slow} THEN {macd} ELSE {towards(f'{s}.signal', macd, signal_rate)} END"
 
+    def wilder(mean: str, move: str) -> str:  # a sum up to the seed, then a mean
+        move = f"greatest({move}, 0D)"
+        return f"CASE WHEN {s}.n = 0 THEN 0D WHEN {n} <= {p} THEN {mean} + {move} WHEN {n} = {p + 1} THEN ({mean} + {move}) / {p}D ELSE {mean} + ({move} - {mean}) / {p}D END"
 
-def _shown(s: Column, cfg: IndicatorConfig) -> list[Column]:
-    """The indicators of a day's state, each null until it has seen enough days."""
-    rsi = F.when(s["loss"] == 0, F.when(s["gain"] > 0, 100.0).otherwise(50.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + s["gain"] / s["loss"]))
-    macd = F.when(s["n"] >= cfg.macd_slow, s["fast"] - s["slow"])
-    values = (F.when(s["n"] >= cfg.macd_fast, s["fast"]), F.when(s["n"] >= cfg.macd_slow, s["slow"]), macd, F.when(s["n"] >= cfg.macd_slow + cfg.macd_signal - 1, s["signal"]), F.when(s["n"] > cfg.rsi_period, rsi))
-    return [v.alias(k) for v, k in zip(values, RECURSIVE, strict=True)]
+    done = _struct({"n": n, "c": x, "fast": "m.fast", "slow": "m.slow", "signal": signal, "gain": wilder(f"{s}.gain", f"{x} - {s}.c"), "loss": wilder(f"{s}.loss", f"{s}.c - {x}")})
+    return f"IF({x} IS NULL, {EMPTY}, transform(array({_struct({'fast': fast, 'slow': slow})}), m -> {done})[0])"
 
 
-def _settled(cfg: IndicatorConfig) -> int:
-    """From so many days without a gap on, a day is one affine map of the state."""
-    return max(cfg.macd_slow, cfg.rsi_period + 1)
-
-
-def _map_of(closes: Column, before: Column, cfg: IndicatorConfig) -> Column:
-    """The affine map of a stretch of days behind settled ones, folded from the maps of its days. before: the close before the first.
+def _map_of(closes: str, before: str, cfg: IndicatorConfig) -> str:
+    """SQL of the affine map of days behind settled ones, folded from the maps of the days. before: the close before the first.
 
     The ends are fast = ff * fast + f, slow = ss * slow + s, signal = gg * signal + gf * fast + gs * slow + g, gain = w * gain + u, loss = w * loss + v.
     """
-    a, b, e, p = 2.0 / (cfg.macd_fast + 1.0), 2.0 / (cfg.macd_slow + 1.0), 2.0 / (cfg.macd_signal + 1.0), cfg.rsi_period
-    names = ("c", "ff", "f", "ss", "s", "gg", "gf", "gs", "g", "w", "u", "v")
+    a, b, e = _rates(cfg)
+    p = cfg.rsi_period
+    means = _struct({"ff": f"o.ff * {1 - a!r}D", "f": f"o.f + {a!r}D * (x - o.f)", "ss": f"o.ss * {1 - b!r}D", "s": f"o.s + {b!r}D * (x - o.s)"})
+    rest = {
+        "c": "x", "ff": "m.ff", "f": "m.f", "ss": "m.ss", "s": "m.s", "gg": f"o.gg * {1 - e!r}D", "gf": f"o.gf + {e!r}D * (m.ff - o.gf)", "gs": f"o.gs + {e!r}D * (-m.ss - o.gs)", "g": f"o.g + {e!r}D * (m.f - m.s - o.g)",
+        "w": f"o.w * {1 - 1 / p!r}D", "u": f"o.u + (greatest(x - o.c, 0D) - o.u) / {p}D", "v": f"o.v + (greatest(o.c - x, 0D) - o.v) / {p}D",
+    }
+    ones = {k: "1D" if k in ("ff", "ss", "gg", "w") else "0D" for k in rest} | {"c": before}
+    return f"aggregate({closes}, {_struct(ones)}, (o, x) -> transform(array({means}), m -> {_struct(rest)})[0])"
 
-    def compose(m: Column, x: Column) -> Column:
-        ff, f, ss, s = m["ff"] * F.lit(1 - a), _towards(m["f"], x, a), m["ss"] * F.lit(1 - b), _towards(m["s"], x, b)
-        up, down = F.greatest(x - m["c"], F.lit(0.0)), F.greatest(m["c"] - x, F.lit(0.0))
-        values = (
-            x, ff, f, ss, s, m["gg"] * F.lit(1 - e), _towards(m["gf"], ff, e), _towards(m["gs"], -ss, e), _towards(m["g"], f - s, e), m["w"] * F.lit(1 - 1 / p), m["u"] + (up - m["u"]) / p, m["v"] + (down - m["v"]) / p,
-        )
-        return F.struct(*[v.alias(k) for v, k in zip(values, names, strict=True)])
 
-    ones = {"ff", "ss", "gg", "w"}
-    return F.aggregate(closes, F.struct(before.alias("c"), *[F.lit(1.0 if k in ones else 0.0).alias(k) for k in names[1:]]), compose)
+def _moved(s: str, m: str, days: str) -> str:
+    """SQL of the state behind ``days`` days of the map ``m``."""
+    return _struct({
+        "n": f"{s}.n + {days}", "c": f"{m}.c", "fast": f"{m}.ff * {s}.fast + {m}.f", "slow": f"{m}.ss * {s}.slow + {m}.s",
+        "signal": f"{m}.gg * {s}.signal + {m}.gf * {s}.fast + {m}.gs * {s}.slow + {m}.g", "gain": f"{m}.w * {s}.gain + {m}.u", "loss": f"{m}.w * {s}.loss + {m}.v",
+    })
 
 
-def _moved(s: Column, m: Column, days: Column) -> Column:
-    """The state behind ``days`` days of the map ``m``."""
-    values = (
-        s["n"] + days, m["c"], m["ff"] * s["fast"] + m["f"], m["ss"] * s["slow"] + m["s"], m["gg"] * s["signal"] + m["gf"] * s["fast"] + m["gs"] * s["slow"] + m["g"], m["w"] * s["gain"] + m["u"], m["w"] * s["loss"] + m["v"],
-    )
-    return F.struct(*[v.alias(k) for v, k in zip(values, STATE, strict=True)])
+def _shown(s: str, cfg: IndicatorConfig) -> dict[str, str]:
+    """SQL of the indicators of a day's state, each null until it has seen enough days."""
+    late, rsi = f"{s}.n >= {cfg.macd_slow}", f"CASE WHEN {s}.loss = 0 THEN IF({s}.gain > 0, 100D, 50D) ELSE 100D - 100D / (1D + {s}.gain / {s}.loss) END"
+    signal = f"IF({s}.n >= {cfg.macd_slow + cfg.macd_signal - 1}, {s}.signal, NULL)"
+    values = (f"IF({s}.n >= {cfg.macd_fast}, {s}.fast, NULL)", f"IF({late}, {s}.slow, NULL)", f"IF({late}, {s}.fast - {s}.slow, NULL)", signal, f"IF({s}.n > {cfg.rsi_period}, {rsi}, NULL)")
+    return dict(zip(RECURSIVE, values, strict=True)) | {"MACD_histogram": f"IF({late}, {s}.fast - {s}.slow, NULL) - {signal}"}
 
 
 def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), block_days: int = BLOCK_DAYS) -> DataFrame:
     """EMA_fast, EMA_slow, MACD, MACD_signal, MACD_histogram and RSI; every recursion restarts at a missing close.
 
     A parallel scan, in built-in functions. The days of a series fall into blocks of ``block_days`` calendar days, which many tasks work on. A block without a
-    gap moves the state by its first days, up to when the recursions are settled, and by one affine map for all others; one with a gap ends in a
-    state of its own, whatever was before. One row per block and series, no more than some thousand, is folded to the state before each block, and each block
-    is filled in from there. Columns of any type pass.
+    gap moves the state by its first days, up to when the recursions are settled (from then on a day is one affine map of the state), and by one map composed of all
+    others; one with a gap ends in a state of its own, whatever was before. One row per block and series, no more than some thousand, is folded to the state before each
+    block, and each block is filled in from there. Columns of any type pass.
     """
-    step, settled = _step(cfg), _settled(cfg)
-    block = F.coalesce(F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / block_days), F.lit(-(1 << 40)))
-    close = F.col("close").cast("double")
-    day = F.struct(F.col("d"), F.when(~F.isnan(close), close).alias("close"), F.struct(*df.columns).alias("row"))
-    earlier = lambda x, y: F.when(x["d"].eqNullSafe(y["d"]), 0).when(x["d"].isNull() | (x["d"] < y["d"]), -1).otherwise(1)
-    blocks = df.groupBy("series", block.alias("block")).agg(F.array_sort(F.collect_list(day), earlier).alias("days"))
-    closes = F.transform("days", lambda x: x["close"])
-    gap = F.exists("closes", lambda x: x.isNull())
-    behind = F.slice("closes", settled + 1, F.greatest(F.size("closes") - settled, F.lit(0)))
-    ends = blocks.select("series", "block", closes.alias("closes")).select(
-        "block", "series", F.when(gap, F.aggregate("closes", F.expr(EMPTY), step)).alias("end"), F.slice("closes", 1, settled).alias("first"),
-        F.when(~gap & (F.size("closes") > settled), _map_of(behind, F.element_at("closes", settled), cfg)).alias("map"), F.greatest(F.size("closes") - settled, F.lit(0)).cast("long").alias("n_behind"),
+    settled = max(cfg.macd_slow, cfg.rsi_period + 1)
+    earlier = "(x, y) -> CASE WHEN x.d <=> y.d THEN 0 WHEN x.d IS NULL OR x.d < y.d THEN -1 ELSE 1 END"
+    row = ", ".join(f"`{c}`" for c in df.columns)
+    block = f"coalesce(floor(datediff(d, DATE '1970-01-01') / {block_days}), -1L << 40)"
+    day = f"struct(d, IF(isnan(cast(close AS double)), NULL, cast(close AS double)) AS close, struct({row}) AS row)"
+    blocks = df.groupBy("series", F.expr(block).alias("block")).agg(F.expr(f"array_sort(collect_list({day}), {earlier})").alias("days"))
+    behind = f"greatest(size(closes) - {settled}, 0)"
+    ends = blocks.selectExpr("series", "block", "transform(days, x -> x.close) AS closes").selectExpr(
+        "series", "block", f"IF(exists(closes, x -> x IS NULL), aggregate(closes, {EMPTY}, (s, x) -> {_step('s', 'x', cfg)}), NULL) AS end", f"slice(closes, 1, {settled}) AS first", f"cast({behind} AS long) AS n",
+        f"IF(size(closes) > {settled} AND NOT exists(closes, x -> x IS NULL), {_map_of(f'slice(closes, {settled + 1}, {behind})', f'element_at(closes, {settled})', cfg)}, NULL) AS map",
     )
-
-    def over(s: Column, b: Column) -> Column:
-        warm = F.aggregate(b["first"], s, step)
-        return F.when(b["end"].isNotNull(), b["end"]).when(b["map"].isNull(), warm).otherwise(F.transform(F.array(warm), lambda x: _moved(x, b["map"], b["n_behind"]))[0])
-
-    own = ends.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("block", "end", "first", "map", "n_behind"))).alias("all"))
-    start = F.struct(F.expr(EMPTY).alias("state"), F.expr("cast(array() as array<struct<block: bigint, state: struct<n: bigint, c: double, fast: double, slow: double, signal: double, gain: double, loss: double>>>)").alias("heads"))
-    heads = F.aggregate("all", start, lambda acc, b: F.struct(over(acc["state"], b).alias("state"), F.concat(acc["heads"], F.array(F.struct(b["block"].alias("block"), acc["state"].alias("state")))).alias("heads")))
-    heads = own.select(F.col("series").alias("of"), F.inline(heads["heads"])).withColumnRenamed("block", "of_block")
-    x = blocks.join(heads, (F.col("block") == F.col("of_block")) & F.col("series").eqNullSafe(F.col("of")))
-
-    def fill(acc: Column, x: Column) -> Column:
-        s = step(F.element_at(acc, -1), x["close"])
-        return F.concat(acc, F.array(s))
-
-    states = F.aggregate("days", F.array("state"), fill)
-    pairs = x.select(F.explode(F.arrays_zip(F.col("days").alias("day"), F.slice(states, 2, F.size("days")).alias("state"))).alias("x"))
-    got = pairs.select("x.day.row.*", *_shown(F.col("x.state"), cfg))
-    return got.withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
+    warm = f"aggregate(b.first, acc.state, (s, x) -> {_step('s', 'x', cfg)})"
+    state = f"CASE WHEN b.end IS NOT NULL THEN b.end ELSE transform(array({warm}), w -> IF(b.map IS NULL, w, {_moved('w', 'b.map', 'b.n')}))[0] END"
+    fields = ", ".join(f"{k}: {'bigint' if k == 'n' else 'double'}" for k in STATE)
+    none = f"cast(array() AS array<struct<block: bigint, state: struct<{fields}>>>)"
+    heads = f"aggregate(all, named_struct('state', {EMPTY}, 'heads', {none}), (acc, b) -> named_struct('state', {state}, 'heads', concat(acc.heads, array(named_struct('block', b.block, 'state', acc.state))))).heads"
+    own = ends.groupBy(F.col("series").alias("of")).agg(F.expr("sort_array(collect_list(struct(block, end, first, map, n)))").alias("all"))
+    own = own.selectExpr("of", f"inline({heads}) AS (of_block, state)")
+    x = blocks.join(own, (F.col("block") == F.col("of_block")) & F.col("series").eqNullSafe(F.col("of")))
+    states = f"aggregate(days, array(state), (acc, x) -> concat(acc, transform(array(element_at(acc, -1)), s -> {_step('s', 'x.close', cfg)})))"
+    pairs = x.selectExpr(f"inline(arrays_zip(days, slice({states}, 2, size(days)))) AS (day, now)")
+    return pairs.selectExpr("day.row.*", *[f"{v} AS {k}" for k, v in _shown("now", cfg).items()])
 
 
 def with_indicators(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig()) -> DataFrame:

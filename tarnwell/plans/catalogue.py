@@ -455,8 +455,7 @@ def _split(spark, sf_dir, distinct: bool):
     """Records by split. distinct: the first record of each normalised text only, so that the scenarios' uniqueness can be asked for."""
     x = _examples(spark, sf_dir).select("id", "topic", "risk", F.md5(normalized(F.col("scenario")).cast("binary")).alias("norm_md5"))
     if distinct:
-        first = x.groupBy("norm_md5").agg(F.min("id").alias("id"))
-        x = x.join(first.select("id"), "id", "left_semi").withColumnRenamed("norm_md5", "scenario_key")
+        x = x.groupBy(F.col("norm_md5").alias("scenario_key")).agg(F.min("id").alias("first"), *[F.min_by(c, "id").alias(c) for c in ("topic", "risk")]).withColumnRenamed("first", "id")
     return dataset.stratified_split(written(x))
 
 
