@@ -24,7 +24,8 @@ tokens; a target stops at ``most`` times its source's size and the excess is res
 A null text has size 0; a document of size 0 takes nothing. Very long texts are documents like others, and rounded
 first. A null source is a source. Repeated rows are documents of their own; which of them gets a copy is open, how many
 do is not. Ties in size go by the hash. Results depend on rows alone, not on how files are split. An empty table
-gives an empty result. Other columns are not read; keys may not be named source, size, row or turn.
+gives an empty result. Other columns are not read; keys may not be named source, size, row, turn or same. A dual that Newton's
+steps don't solve is an ArithmeticError.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: i
 
     The multiplier is null where every rate is ``most`` or nothing is to be taken.
     """
-    some = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most)
+    some = F.coalesce((F.col("target") > 0) & (F.col("target") < F.col("source_size") * most), F.lit(False))
     start = F.when(some, F.lit(0.0))
     state = targets.select("*", (F.col("source_size") / F.col("documents")).alias("mean"), start.alias("multiplier"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), some.alias("open"))
     state = written(state, "mix-dual")
@@ -104,8 +105,8 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: i
         old, state = state, written(at.select(*state.columns), "mix-dual")
         discard(old)
         if state.where("open").isEmpty():
-            break
-    return state.drop("low", "high", "open")
+            return state.drop("low", "high", "open")
+    raise ArithmeticError(f"multipliers were not found in {steps} steps")
 
 
 _GROUP = ["source", "part", "group", "groups"]
@@ -116,7 +117,7 @@ def rounded(level: DataFrame, last: bool) -> DataFrame:
 
     level: the columns of a group, and either a document or what an earlier group owes.
     """
-    grouped = level.groupBy(*_GROUP).agg(F.sort_array(F.collect_list("doc"), asc=False).alias("all"), F.sum("owed").alias("owed"))
+    grouped = level.groupBy(*_GROUP).agg(F.sort_array(F.collect_list("doc"), asc=False).alias("all"), F.sum("owed").alias("owed"))  # whole parts of a word: no order of adding matters
 
     def take(done: Column, x: Column) -> Column:
         held = F.lit(False) if last else F.size(done["n"]) % HELD == HELD - 1
@@ -129,7 +130,7 @@ def rounded(level: DataFrame, last: bool) -> DataFrame:
         owed = F.when(held, done["owed"]).otherwise(want - extra * x["size"])
         return F.struct(owed.alias("owed"), F.concat(done["n"], F.array(F.when(~held, (whole + extra).cast("int")))).alias("n"))
 
-    start = F.struct(F.col("owed").alias("owed"), F.array().cast("array<int>").alias("n"))
+    start = F.struct((F.col("owed") / F.lit(float(FINE))).alias("owed"), F.array().cast("array<int>").alias("n"))
     return grouped.select(*_GROUP, "all", F.aggregate("all", start, take).alias("done"))
 
 
@@ -149,15 +150,15 @@ def copies(sized: DataFrame, keys: list[str], most: int = MOST, group_rows: int
     names = [*keys, "source", "size", "row", "source_size", "target"]
     doc = F.struct("size", "turn", rate.alias("rate"), F.lit(most).alias("most"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)]).alias("doc")
     docs = sized.where("size > 0").join(near, F.col("source").eqNullSafe(F.col("of")) & (part("size") == F.col("of_part")))
-    docs = docs.select("source", F.col("of_part").alias("part"), F.pmod("turn", F.col("groups")).alias("group"), "groups", F.lit(0.0).alias("owed"), doc)
+    docs = docs.select("source", F.col("of_part").alias("part"), F.pmod("turn", F.col("groups")).alias("group"), "groups", F.lit(0).cast("long").alias("owed"), doc)
     final, done = [docs.where("groups = 1")], []
     level, groups = docs.where("groups > 1"), near.agg(F.max("groups")).first()[0] or 0
     while groups > 1:
         done.append(written(rounded(level, last=False), "mix-level"))
         up = done[-1].withColumns({"group": F.floor(F.col("group") / HELD), "groups": F.ceil(F.col("groups") / HELD)})
         held = F.filter(F.arrays_zip(F.col("all").alias("a"), F.col("done.n").alias("n")), lambda x: x["n"].isNull())["a"]
-        moved = up.select(*_GROUP, F.lit(0.0).alias("owed"), F.explode(held).alias("doc"))
-        moved = moved.unionByName(up.select(*_GROUP, F.col("done.owed").alias("owed")), allowMissingColumns=True)
+        moved = up.select(*_GROUP, F.lit(0).cast("long").alias("owed"), F.explode(held).alias("doc"))
+        moved = moved.unionByName(up.select(*_GROUP, F.round(F.col("done.owed") * FINE).cast("long").alias("owed")), allowMissingColumns=True)
         final.append(moved.where("groups = 1"))
         level, groups = moved.where("groups > 1"), -(-groups // HELD)
     ends = reduce(DataFrame.unionByName, final).withColumns({"part": F.lit(0), "group": F.lit(0).cast("long")})
@@ -173,11 +174,19 @@ def copies(sized: DataFrame, keys: list[str], most: int = MOST, group_rows: int
 
 
 def sized_rows(docs: DataFrame, keys: list[str], text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
-    """``keys``, source, size, row (a value of each row, from the column ``row`` if given) and turn (a hash of its contents), as a table."""
+    """``keys``, source, size, row (a value of each row, from the column ``row`` if given) and turn (a hash of its contents), as a table.
+
+    The turns of rows that repeat keys, source and text more than ``GROUP_ROWS`` times depend on their places as well, so that no group holds them all.
+    """
     own = docs.select(*keys, F.col(text).alias("text"), F.col(source).alias("source"), *[F.col(c).alias("row") for c in [row] if c])
     own = own if row else numbered(own, "row")
     turn = F.xxhash64(*keys, "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return written(own.select(*keys, "source", size_of("text").alias("size"), "row", turn.alias("turn")), "mix-sizes")
+    sized = written(own.select(*keys, "source", size_of("text").alias("size"), "row", turn.alias("turn")), "mix-contents")
+    often = sized.groupBy(F.col("turn").alias("same")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("same")
+    at = F.when(F.col("same").isNull(), F.col("turn")).otherwise(F.xxhash64("turn", "row"))
+    done = written(sized.join(often, F.col("turn") == F.col("same"), "left").withColumn("turn", at).drop("same"), "mix-sizes")
+    discard(sized)
+    return done
 
 
 def op5_entropy_mix(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,6 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n < 10, n >= 40),
         "repeats": _vote(_share("n_repeat_words", "n_words") > 0.2, some & (_share("n_repeat_words", "n_words") <= 0.1) & (n >= 10)),
-        "loops": _vote(_share("n_repeat_words", "n_words") > 0.5, some & (_share("n_repeat_words", "n_words") <= 0.05) & (n >= 10)),
         "signs": _vote(_share("n_signed_words", "n_words") > 0.2, some & (_share("n_signed_words", "n_words") <= 0.02)),
         "symbols": _vote(_share("n_symbols", "word_chars") > 0.03, some & (_share("n_symbols", "word_chars") <= 0.005)),
         "capitals": _vote(_share("n_upper", "n_letters") > 0.4, (F.col("n_letters") > 20) & (_share("n_upper", "n_letters") < 0.15)),

@@ -8,8 +8,9 @@ most 2 * ``most`` of them, wait for it. While there are more than ``most`` other
 are the items of the next round. So every group is placed by its own vector, no task holds more than a block, and nothing
 but counts reaches the driver.
 
-``split_above``: a group of more than this share of a shard's bytes can't leave shards equal wherever it goes, so its
-rows are dealt by a hash to parts of about 1 / ``most`` of the bytes. None keeps every group whole, however heavy.
+Groups stay whole wherever shards can be near equal so: a group up to a whole shard fills one, and lighter ones go around it. Split are groups of more than
+``split_above`` shards, and of the groups above 1 / ``most`` of the bytes those that fit into no shard any more once the heavier ones are placed (a ninth
+group of 0.7 shards); their rows are dealt by a hash to parts of about 1 / ``most`` of the bytes. None keeps every group whole, however heavy.
 
 Law: ``bytes`` (shard sizes near equal). Slots count each shard's rows from 0, by prefix sums over cells of a bounded
 number of rows; their order is that of a hash of each row's place in the files.
@@ -31,32 +32,32 @@ from pyspark.sql.window import Window
 from ._common import by_value, discard, numbered, table, written
 from .mixing import size_of
 
-SHARDS, MOST, BLOCK_ITEMS, CELL_ROWS, SPLIT_ABOVE = 8, 4096, 4096, 50_000, 0.5
+SHARDS, MOST, BLOCK_ITEMS, CELL_ROWS, SPLIT_ABOVE = 8, 4096, 4096, 50_000, 1.0
 LOADS = ["size", "tokens", "rows"]
 by_value(__name__)
 
 
-def place(items: np.ndarray, bins: int) -> np.ndarray:
-    """items: (n, d) loads. Bin of each: largest first, to the highest dot product with the residual capacity."""
-    share = items / np.maximum(items.sum(axis=0), 1)
+def place(items: np.ndarray, bins: int, totals: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """items: (n, d) loads, of ``totals``. Bin of each, largest first, to the highest dot product with the residual capacity, and whether it fits there."""
+    share = items / np.maximum(items.sum(axis=0) if totals is None else totals, 1)
     residual = np.full((bins, items.shape[1]), 1.0 / bins)
-    out = np.zeros(len(items), np.int64)
+    out, fitted = np.zeros(len(items), np.int64), np.ones(len(items), bool)
     # Bytes decide the order and ties; the first column weighs as much as the others together.
     weight = np.array([items.shape[1] - 1.0] + [1.0] * (items.shape[1] - 1))
     for i in np.argsort(-share[:, 0], kind="stable"):
         fits = residual[:, 0] >= share[i, 0]
-        score = residual @ (share[i] * weight)
+        score = (residual * (share[i] * weight)).sum(axis=1)
         # Where it fits nowhere, the emptiest bin takes it, which keeps the law of near equal bytes.
         s = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else residual[:, 0]))
-        out[i] = s
+        out[i], fitted[i] = s, fits.any()
         residual[s] -= share[i]
-    return out
+    return out, fitted
 
 
 def _placer(bins: int):
     def run(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("item")
-        at = place(items[LOADS].to_numpy(float), bins)
+        at, _ = place(items[LOADS].to_numpy(float), bins)
         return items[["item", *LOADS]].assign(bin=items["block"].to_numpy(np.int64) * (1 << 20) + at)
 
     return run
@@ -85,10 +86,14 @@ def shard(
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     loads = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    # At most shards / split_above groups are split.
-    bound = float("inf") if split_above is None else split_above * total / shards
-    split = rows.groupBy("group").agg(F.sum("size").alias("size")).where(F.col("size") > F.lit(bound))
-    split = written(split.select("group", F.ceil(F.col("size") * most / F.lit(max(total, 1))).alias("parts")), "shard-split")
+    # Fewer than ``most`` groups are tried, fewer are split.
+    tried = rows.groupBy("group").agg(*loads).where(F.col("size") * most > total).orderBy("group").toPandas()
+    if split_above is None:
+        tried = tried.iloc[:0]
+    _, fitted = place(tried[LOADS].to_numpy(float), shards, np.array([total, np.inf, np.inf]))
+    tried = tried[(tried["size"] > (split_above or 0) * total / shards) | ~fitted]
+    parts = [(int(g), -(-int(n) * most // max(total, 1))) for g, n in zip(tried["group"], tried["size"], strict=True)]
+    split = docs.sparkSession.createDataFrame(parts, "group long, parts long")
     item = F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.xxhash64("group", F.pmod("row", F.col("parts"))))
     dealt = rows.join(F.broadcast(split), "group", "left").withColumn("item", item).drop("parts", "group")
     items = written(dealt.groupBy("item").agg(*loads), "shard-items")
@@ -115,7 +120,7 @@ def shard(
     base = put.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     base = base.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
     own_turn = Window.partitionBy("shard", "cell").orderBy("row")
-    discard(rows, split, items, *steps)
+    discard(rows, items, *steps)
     return put.join(base, ["shard", "cell"]).withColumn("slot", F.col("before") + F.row_number().over(own_turn) - 1).select(
         *keys, "size", "tokens", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")
     )

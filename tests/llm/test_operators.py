@@ -410,6 +410,22 @@ def test_newton_solves_the_dual(spark, target):
     assert got == {"a": pytest.approx(mid, rel=1e-6, abs=1e-7), "full": None, "none": None}
 
 
+def test_a_dual_that_is_not_solved_is_an_error(spark):
+    targets = spark.createDataFrame([("a", 5050, 100, 4000.0)], "source string, source_size long, documents long, target double")
+    sizes = written(spark.createDataFrame([("a", x, 1) for x in range(1, 101)], "source string, size long, n long"), "sizes")
+    with pytest.raises(ArithmeticError):
+        mixing.multipliers(sizes, targets, steps=1).collect()
+
+
+def test_rows_that_repeat_everything_are_spread(spark):
+    """A third of all rows have one id, source and text: many groups, and targets are met."""
+    rows = [(7, "one two three", "a")] * 2000 + [(i, "word " * (1 + i % 50), "ab"[i % 2]) for i in range(4000)]
+    sized = mixing.sized_rows(written(spark.createDataFrame(rows, "doc_id long, text string, source string"), "rows"), ["doc_id"])
+    assert sized.where("doc_id = 7 and size = 3").select("turn").distinct().count() > 1900
+    got = mixing.copies(sized, ["doc_id"]).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 60 for r in got)
+
+
 def test_mix_does_not_depend_on_how_files_are_split(spark):
     seen = []
     for most in ("4m", "40k"):
@@ -464,6 +480,49 @@ def test_a_hot_group_is_split(spark):
     assert whole.where("doc_id % 3 = 0").select("shard").distinct().count() == 1
 
 
+@pytest.mark.parametrize(("heavy", "split"), [([0.9], 0), ([0.9, 0.8, 0.7], 0), ([0.7] * 9, 1), ([1.2, 0.9], 1)])
+def test_groups_up_to_a_shard_stay_whole(spark, heavy, split):
+    """Only what fits nowhere is torn apart, and bytes are near equal all the same."""
+    shard_bytes, rows = 16_000, []
+    for g, share in enumerate(heavy):
+        rows += [f"group {g} ".ljust(99, "x")] * int(share * shard_bytes / 100)
+    rest = 8 * shard_bytes - sum(len(t) + 1 for t in rows)
+    rows += [f"text {i}".ljust(49, "y") for i in range(rest // 50)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() - load.min() <= 0.03 * load.mean()
+    at = got[got["size"] == 100].groupby("text_crc32")["shard"].nunique()
+    assert len(at) == len(heavy) and (at > 1).sum() == split
+
+
+def plain_shards(groups, bins):
+    """Largest first, to the bin whose residual capacity has the highest dot product with the group; where none has room, the emptiest."""
+    totals = [sum(g[k] for g in groups) for k in range(3)]
+    left, out = [[1 / bins] * 3 for _ in range(bins)], [0] * len(groups)
+    for i in sorted(range(len(groups)), key=lambda i: (-groups[i][0], i)):
+        share = [x / t for x, t in zip(groups[i], totals, strict=True)]
+        room = [b for b in range(bins) if left[b][0] >= share[0]]
+        best = max(room, key=lambda b: (2 * left[b][0] * share[0] + left[b][1] * share[1] + left[b][2] * share[2], -b)) if room else max(range(bins), key=lambda b: (left[b][0], -b))
+        out[i] = best
+        left[best] = [x - y for x, y in zip(left[best], share, strict=True)]
+    return out
+
+
+def test_placement_like_a_plain_greedy_one(spark):
+    """The numbers of a whole round, and the shards of all documents: groups by hash, in one round."""
+    rng = np.random.default_rng(4)
+    items = rng.integers(1, 1000, size=(200, 3))
+    assert sharding.place(items.astype(float), 8)[0].tolist() == plain_shards(items.tolist(), 8)
+    texts = [f"w{i} " * int(rng.integers(1, 40)) for i in range(120)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = df.select("doc_id", F.xxhash64(F.col("text").isNull(), F.md5(F.col("text").cast("binary"))).alias("group")).collect()
+    groups = sorted({r["group"] for r in keyed})
+    loads = [[sum(f(texts[r["doc_id"]]) for r in keyed if r["group"] == g) for f in (lambda t: len(t) + 1, lambda t: len(words(t)), lambda t: 1)] for g in groups]
+    want = dict(zip(groups, plain_shards(loads, 8), strict=True))
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(df, ["doc_id"]).collect()}
+    assert got == {r["doc_id"]: want[r["group"]] for r in keyed}
+
+
 # 7 and 10
 
 
