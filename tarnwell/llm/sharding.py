@@ -9,7 +9,7 @@ are the items of the next round. So every group is placed by its own vector, no
 but counts reaches the driver.
 
 Groups stay whole wherever shards can be near equal so: a group up to a whole shard fills one, and lighter ones go around it. Split are groups of more than
-``split_above`` shards, and of the groups above 1 / ``most`` of the bytes those that fit into no shard any more once the heavier ones are placed (a ninth
+``split_above`` shards, and of the groups above 1 / ``TRIED`` of a shard those that fit into no shard any more once the heavier ones are placed (a ninth
 group of 0.7 shards); their rows are dealt by a hash to parts of about 1 / ``most`` of the bytes. None keeps every group whole, however heavy.
 
 Law: ``bytes`` (shard sizes near equal). Slots count each shard's rows from 0, by prefix sums over cells of a bounded
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from ._common import by_value, discard, numbered, table, written
 from .mixing import size_of
 
-SHARDS, MOST, BLOCK_ITEMS, CELL_ROWS, SPLIT_ABOVE = 8, 4096, 4096, 50_000, 1.0
+SHARDS, MOST, BLOCK_ITEMS, CELL_ROWS, SPLIT_ABOVE, TRIED = 8, 4096, 4096, 50_000, 1.0, 64
 LOADS = ["size", "tokens", "rows"]
 by_value(__name__)
 
@@ -86,8 +86,8 @@ def shard(
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     loads = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    # Fewer than ``most`` groups are tried, fewer are split.
-    tried = rows.groupBy("group").agg(*loads).where(F.col("size") * most > total).orderBy("group").toPandas()
+    # Fewer than TRIED * shards groups are tried, fewer are split; what is lighter leaves shards near equal wherever it goes.
+    tried = rows.groupBy("group").agg(*loads).where(F.col("size") * TRIED * shards > total).orderBy("group").toPandas()
     if split_above is None:
         tried = tried.iloc[:0]
     _, fitted = place(tried[LOADS].to_numpy(float), shards, np.array([total, np.inf, np.inf]))
