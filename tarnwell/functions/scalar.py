@@ -37,7 +37,7 @@ def ticker(x: Column) -> Column:
 def normalized(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores, joined by one space."""
     low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.array_join(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}_]++", " "))
 
 
 def title_key(text: Column) -> Column:

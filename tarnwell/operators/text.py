@@ -8,6 +8,7 @@ import re
 import sys
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -71,83 +72,153 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 def one_per_text(df: DataFrame, order: str = "id") -> DataFrame:
     """df: ``order`` and norm. The first row of each normalised text; equal texts meet nobody else twice."""
-    first = df.groupBy(F.md5(F.col("norm").cast("binary")).alias("key")).agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    return df.groupBy("norm").agg(F.min(order).alias(order)).select(order, "norm")
 
 
-def bags(df: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """df: id, norm. id, the number of words n, all (word, occurrence) elements as hashes, and ``prefix``: those that a near text shares one of, with their places.
+CELL = 2_000  # texts of one element that meet in one key of a join
+PAIRS_A_ROW, JUDGED_A_ROW = 1_000, 8  # pairs a row that share an element, and that are judged, above which a batch of rows is halved
 
-    Elements stand rarest first. Two texts that reach the threshold share an element among the first
-    n - ceil(n t / (2 - t)) + 1 of each. Elements of one text alone are left out of the prefix.
+
+def bags(df: DataFrame) -> DataFrame:
+    """df: id, norm. id, the number of words n, and all (word, occurrence) elements as hashes. One shuffle, by id."""
+    words = df.where("norm <> ''").select("id", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("ws")).repartition("id")
+    counted = words.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).groupBy("id", "n", "w").agg(F.count("*").alias("times"))
+    elements = F.transform(F.sequence(F.lit(1).cast("long"), F.col("times")), lambda k: F.xxhash64("w", k))
+    return counted.groupBy("id", "n").agg(F.flatten(F.collect_list(elements)).alias("bag"))
+
+
+def prefixes(own: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """own: a table of ``bags``. (id, n, e, at, df, band): the elements of each text that a near text shares one of.
+
+    Elements stand rarest first, ``at`` is a place in that order and df the number of texts with the element. Two texts that reach the threshold share an element
+    among the first n - ceil(n t / (2 - t)) + 1 of each. Elements of one text alone stand first and are left out. Sizes come in bands
+    of a factor that a near pair spans at most two of.
     """
-    words = df.where("norm <> ''").select("id", F.split("norm", " ").alias("ws")).repartition("id")
-    counted = words.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).groupBy("id", "n", "w").agg(F.count("*").cast("int").alias("times"))
-    elements = counted.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: F.xxhash64("w", k))).alias("e"))
-    rarity = elements.groupBy("e").agg(F.count("*").alias("df"))
-    grouped = elements.join(rarity, "e").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
+    elements = own.select("id", "n", F.explode("bag").alias("e"))
+    rarity = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    shared = elements.join(rarity, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("all"))
+    alone = F.col("n") - F.size("all")
     most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int") + 1
-    placed = F.transform(F.slice("all", F.lit(1), most), lambda x, i: F.struct(x["df"].alias("df"), x["e"].alias("e"), i.alias("at")))
-    return grouped.select("id", "n", F.transform("all", lambda x: x["e"]).alias("bag"), F.filter(placed, lambda x: x["df"] > 1).alias("prefix"))
+    first = shared.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("all", F.lit(1), F.greatest(most - alone, F.lit(0)))).alias("i", "x"))
+    band = F.floor(F.log("n") / F.lit(math.log(2 / threshold - 1))).cast("int")
+    return first.select("id", "n", F.col("x.e").alias("e"), (F.col("alone") + F.col("i")).alias("at"), F.col("x.df").alias("df"), band.alias("band"))
 
 
-def overlap_candidates(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
-    """df: id, norm, one row per normalised text. Pairs (a < b) whose bags of words share enough for the threshold, without a loss.
+def _met(left: DataFrame, right: DataFrame, threshold: float, one_side: bool) -> DataFrame:
+    """Distinct (x, y) that share an element of their prefixes, of sizes that allow the threshold. one_side: of one set of rows each pair once; else left rows come before all right ones.
 
-    A pair of la and lb words with o words in common (with multiplicity) has a similarity of at most
-    2 o / (la + lb). Pairs that share a prefix element, and whose sizes and what stands behind the first shared element
-    allow it, are confirmed on their bags. Sizes come in classes of a factor that a near pair spans at most two of, so that a frequent element is many small keys.
+    An element of many texts is a grid of cells of about ``CELL`` texts a side, so that no key of the join is hot.
     """
-    own = written(bags(df, threshold))
-    step = 2 / threshold - 1  # a near pair's sizes differ by this factor at most
-    band = F.floor(F.log("n") / F.lit(math.log(step))).cast("int")
-    keyed = own.select("id", "n", F.explode("prefix").alias("p"), band.alias("band")).select("id", "n", "p.e", "p.at", "band")
-    left = keyed.select("e", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    right = keyed.select("e", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own_band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    near_size = 2 * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - F.lit(1e-9)
-    once = (F.col("x") != F.col("y")) & ((F.col("band") != F.col("own_band")) | (F.col("x") < F.col("y")))
-    pairs = left.join(right, ["e", "band"]).where(once & near_size).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cells = F.ceil(F.col("df") / CELL)
+    own = F.pmod(F.xxhash64("id"), cells)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))
+    steps = (0, 1) if one_side else (-1, 0, 1)
+    a = left.select("e", "band", own.alias("row"), every.alias("col"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    b = right.select("e", "band", every.alias("row"), own.alias("col"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    b = b.withColumnRenamed("band", "own_band").withColumn("band", F.explode(F.array(*[F.col("own_band") + k for k in steps])))
+    fits = 2 * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= F.lit(threshold) * (F.col("nx") + F.col("ny")) - F.lit(1e-9)
+    once = (F.col("x") != F.col("y")) & ((F.col("band") != F.col("own_band")) | (F.col("x") < F.col("y"))) if one_side else F.lit(True)
+    return a.join(b, ["e", "band", "row", "col"]).where(once & fits).select("x", "y").distinct()
+
+
+def _overlapping(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (x, y) those whose bags share enough, as a before b."""
     side = lambda key, n, bag: own.select(F.col("id").alias(key), F.col("n").alias(n), F.col("bag").alias(bag))
-    got = pairs.join(side("a", "la", "ba"), "a").join(side("b", "lb", "bb"), "b")
+    got = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(side("a", "la", "ba"), "a").join(side("b", "lb", "bb"), "b")
     got = got.select("a", "b", "la", "lb", F.size(F.array_intersect("ba", "bb")).cast("long").alias("overlap"))
     return got.where(2 * F.col("overlap") >= F.lit(threshold) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
 
 
-def deduplicated(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
-    """df: rank (order of priority, unique), id, text. Every row with status kept or a removal reason.
+def overlap_candidates(df: DataFrame, written, threshold: float = NEAR) -> DataFrame:
+    """df: id, norm, one row per normalised text. Pairs (a < b) whose bags of words share enough for the threshold, without a loss.
 
-    One ordered pass, told as a fix-point: a row with an earlier row of the same id is duplicate_id; of the others, the
-    first of each normalised text is decided and its equals follow it: duplicates of it where it is kept, else near
-    what it is near. A first row is kept when no kept earlier row is near it. Rows whose near neighbours before
-    them are all decided are decided together, until none is left. ``written`` cuts the lineage of each round.
+    A pair of la and lb words with o words in common (with multiplicity) has a similarity of at most
+    2 o / (la + lb). Pairs that share a prefix element, and whose sizes and what stands behind the first shared element
+    allow it, are confirmed on their bags.
     """
-    first_id = F.row_number().over(Window.partitionBy("id").orderBy("rank")) == 1
-    rows = df.withColumn("norm", normalize_any("text")).withColumn("own", first_id)
-    rows = written(rows.select("rank", "id", "norm", "own", F.md5(F.col("norm").cast("binary")).alias("key")))
-    reps = rows.where("own").groupBy("key").agg(F.min("rank").alias("rep"))
-    live = written(rows.join(reps, F.col("rank") == F.col("rep"), "left_semi").select(F.col("rank").alias("id"), "norm"))
-    pairs = overlap_candidates(live, written, threshold).select("a", "b")
-    texts = live.select(F.col("id").alias("a"), F.col("norm").alias("na"))
-    judged = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
-    edges = written(judged.withColumn("ratio", similarity_of("nb", "na")).where(F.col("ratio") >= threshold).select("a", "b", "ratio"))
-    state = written(live.select("id", F.lit(None).cast("boolean").alias("kept")))
+    own = written(bags(df))
+    keyed = written(prefixes(own, threshold))
+    return _overlapping(_met(keyed, keyed, threshold, True), own, threshold)
+
+
+def _ratios(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ratio) of the pairs that reach the threshold. texts: id, norm."""
+    n = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
+    judged = pairs.select("a", "b").join(n, "a").join(n.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
+    return judged.withColumn("ratio", similarity_of("nb", "na")).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+
+
+def _settled(rows: DataFrame, edges: DataFrame, written) -> DataFrame:
+    """(id, kept) of ``rows``: kept is a row that no kept earlier row has an edge with. Rows whose earlier neighbours are all decided are decided together."""
+    state = written(rows.select("id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         e = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         seen = e.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.count_if(F.col("ka").isNull()).alias("open"))
         decided = F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
         state = written(state.join(seen, "id", "left").select("id", F.coalesce("kept", decided).alias("kept")))
         if state.where("kept is null").isEmpty():
-            break
-    kept = state.where("kept").select(F.col("id").alias("a"))
-    near = edges.join(kept, "a").groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("a", "ratio")).alias("near"))
-    x = rows.join(reps, "key", "left").join(state.select(F.col("id").alias("rep"), "kept"), "rep", "left").join(near, "rep", "left")
-    status = F.when(~F.col("own"), "duplicate_id").when(~F.col("kept"), "near_duplicate").when(F.col("rank") == F.col("rep"), "kept").otherwise("exact_duplicate")
+            return state
+
+
+def near_pass(live: DataFrame, written, threshold: float = NEAR, pairs_a_row: int = PAIRS_A_ROW, judged_a_row: int = JUDGED_A_ROW, least_judged: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """live: id (the order) and norm, one row per text. Tables of the kept ids, and of (id, of, ratio): near which kept earlier row, the first, a row is.
+
+    Rows are decided in batches in their order. Within a batch rows meet each other; the kept ones of it, its leaders, then meet all later rows, and only
+    rows that are near none stay open. A batch is all that is left, but is halved while elements make more than ``pairs_a_row`` pairs a row of all rows, or bags leave more
+    than ``judged_a_row`` pairs a row of the batch (and ``least_judged``) to judge. So of a cluster of near copies few rows meet
+    each other before it has a leader, and all others meet that leader alone.
+    """
+    own = written(bags(live))
+    keyed = written(prefixes(own, threshold))
+    limit = pairs_a_row * max(live.count(), 1)
+    first = lambda e: e.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("of"), "ratio")).alias("x")).select("id", "x.of", "x.ratio")
+    open_, all_kept, all_near, end = written(live.select("id")), [], [], None
+    while True:
+        batch = open_ if end is None else open_.where(F.col("id") <= F.lit(end))
+        prefix = keyed.join(batch, "id", "left_semi")
+        met = prefix.select("e", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("e", "band").agg(F.count("*").alias("m"))
+        rows, middle, most = batch.agg(F.count("*"), F.percentile_approx("id", 0.5, 1000), F.max("id")).first()
+        too_many = (met.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0) > limit
+        if not too_many or rows < 2:
+            close = written(_overlapping(_met(prefix, prefix, threshold, True), own, threshold).select("a", "b"))
+            too_many = close.count() > max(least_judged, judged_a_row * rows)
+        if too_many and rows > 1:
+            end = middle if middle < most else batch.agg(F.min("id")).first()[0]
+            continue
+        edges = written(_ratios(close, live, threshold))
+        kept = written(_settled(batch, edges, written).where("kept").select("id"))
+        all_kept.append(kept)
+        all_near.append(first(edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi")))
+        if end is None:
+            return reduce(DataFrame.unionByName, all_kept), reduce(DataFrame.unionByName, all_near)
+        later, leaders = open_.where(F.col("id") > F.lit(end)), keyed.join(kept, "id", "left_semi")
+        near = written(first(_ratios(_overlapping(_met(leaders, keyed.join(later, "id", "left_semi"), threshold, False), own, threshold), live, threshold)))
+        all_near.append(near)
+        open_, end = written(later.join(near.select("id"), "id", "left_anti")), None
+
+
+def deduplicated(df: DataFrame, written, threshold: float = NEAR, **limits: int) -> DataFrame:
+    """df: rank (order of priority, unique), id, text. Every row with status kept or a removal reason, and the rank of the row it repeats.
+
+    One ordered pass: a row with an earlier row of the same id is duplicate_id; of the others, the
+    first of each normalised text is decided and its equals follow it: duplicates of it where it is kept, else near
+    what it is near. A first row is kept when no kept earlier row is near it (``near_pass``, which takes ``limits``). ``written`` cuts the lineage of each step.
+    """
+    first_id = F.row_number().over(Window.partitionBy("id").orderBy("rank")) == 1
+    rows = df.withColumn("norm", normalize_any("text")).withColumn("own", first_id)
+    rows = written(rows.select("rank", "id", "norm", "own", F.md5(F.coalesce("norm", F.lit("")).cast("binary")).alias("key")))
+    reps = written(rows.where("own").groupBy("key").agg(F.min("rank").alias("rep")))
+    live = written(rows.join(reps, F.col("rank") == F.col("rep"), "left_semi").select(F.col("rank").alias("id"), F.coalesce("norm", F.lit("")).alias("norm")))
+    kept, near = near_pass(live, written, threshold, **limits)
+    state = kept.select(F.col("id").alias("rep"), F.lit(True).alias("kept"))
+    x = rows.join(reps, "key", "left").join(state, "rep", "left").join(near.select(F.col("id").alias("rep"), F.col("of").alias("near_of"), "ratio"), "rep", "left")
+    status = F.when(~F.col("own"), "duplicate_id").when(F.col("kept").isNull(), "near_duplicate").when(F.col("rank") == F.col("rep"), "kept").otherwise("exact_duplicate")
     x = x.withColumn("status", status)
-    of = F.when(F.col("status") == "exact_duplicate", F.col("rep")).when(F.col("status") == "near_duplicate", F.col("near.a"))
-    ratio = F.when(F.col("status") == "exact_duplicate", 1.0).when(F.col("status") == "near_duplicate", F.col("near.ratio"))
+    of = F.when(F.col("status") == "exact_duplicate", F.col("rep")).when(F.col("status") == "near_duplicate", F.col("near_of"))
+    ratio = F.when(F.col("status") == "exact_duplicate", 1.0).when(F.col("status") == "near_duplicate", F.col("ratio"))
     x = x.select("rank", "id", "status", of.alias("of"), ratio.alias("similarity"))
     ids = rows.select(F.col("rank").alias("of"), F.col("id").alias("of_id"))
-    return x.join(ids, "of", "left").select("rank", "id", "status", F.when(F.col("status") == "duplicate_id", F.col("id")).otherwise(F.col("of_id")).alias("duplicate_of"), "similarity")
+    return x.join(ids, "of", "left").select("rank", "id", "status", F.when(F.col("status") == "duplicate_id", F.col("id")).otherwise(F.col("of_id")).alias("duplicate_of"), "similarity", "of")
 
 
 def dedup_stats(result: DataFrame) -> DataFrame:
@@ -155,7 +226,39 @@ def dedup_stats(result: DataFrame) -> DataFrame:
     return result.agg(F.count("*").alias("input_count"), hit("kept").alias("kept_count"), hit("duplicate_id").alias("duplicate_ids"), hit("exact_duplicate").alias("exact_duplicates"), hit("near_duplicate").alias("near_duplicates"))
 
 
-def similarity_stats(result: DataFrame) -> DataFrame:
-    """Greatest similarity of a removed near duplicate, and how many were removed as such."""
-    near = F.col("status") == "near_duplicate"
-    return result.agg(F.max(F.when(near, F.col("similarity"))).alias("max_similarity"), F.count_if(near).alias("near_duplicates"))
+def places(df: DataFrame, order: str, written) -> DataFrame:
+    """``df`` with ``place``, from 1, in the order of a column without ties: rows are sorted in ranges, and counts of the ranges before are added."""
+    at = [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")]
+    ordered = written(df.orderBy(order).select("*", *at))
+    before = ordered.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ordered.join(before, "part").withColumn("place", F.col("before") + F.col("nth") + 1).drop("part", "nth", "before")
+
+
+def highest_similarity(live: DataFrame, written, below: float = NEAR) -> float:
+    """The highest similarity of two texts, all below ``below``. live: id, norm.
+
+    A join for the best pair: pairs whose words allow a threshold are judged, and the threshold is lowered until the best pair found reaches it. At the last one any
+    two texts with a word in common are allowed, and without such texts it is 0.
+    """
+    longest = live.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
+    for threshold in [t for t in (0.8, 0.6, 0.4, 0.2, 0.1) if t < below] + [1 / longest]:
+        best = _ratios(overlap_candidates(live, written, min(threshold, 0.99)), live, 0.0).agg(F.max("ratio")).first()[0]
+        if best is not None and best >= threshold:
+            return best
+    return best or 0.0
+
+
+def similarity_stats(df: DataFrame, result: DataFrame, written, threshold: float = NEAR) -> DataFrame:
+    """One row: how many comparisons one ordered pass makes, the highest similarity among them, and the threshold. df: rank, text; result: of ``deduplicated``, a table.
+
+    A kept row is compared with all kept rows before it; a near duplicate with those up to the one it is near, the only one of them that reaches the threshold.
+    """
+    at = places(result.where("status = 'kept'").select("rank"), "rank", written)
+    near = result.where("status = 'near_duplicate'")
+    made = at.select((F.col("place") - 1).alias("made")).unionByName(near.select("of").join(at.withColumnRenamed("rank", "of"), "of").select(F.col("place").alias("made")))
+    most = near.agg(F.max("similarity")).first()[0]
+    if most is None:
+        kept = df.join(at, "rank", "left_semi").select(F.col("rank").alias("id"), F.coalesce(normalize_any("text"), F.lit("")).alias("norm"))
+        most = highest_similarity(written(kept), written, threshold)
+    return made.agg(F.coalesce(F.sum("made"), F.lit(0)).alias("comparisons"), F.lit(float(most)).alias("maximum_similarity"), F.lit(threshold).alias("near_duplicate_threshold"))

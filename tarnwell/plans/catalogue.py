@@ -309,7 +309,7 @@ def word_counts(spark, sf_dir):
  SELECT a, b, CAST(la AS INTEGER) AS la, CAST(lb AS INTEGER) AS lb, CAST(o AS BIGINT) AS overlap FROM p WHERE 2 * o >= 0.88 * (la + lb) - 1e-9""")
 def near_dup_overlap(spark, sf_dir):
     """Pairs of first documents of their texts; exact_duplicates tells who else has the text."""
-    x = written(_docs(spark, sf_dir).select("id", normalized(F.col("text")).alias("norm")))
+    x = _docs(spark, sf_dir).select("id", normalized(F.col("text")).alias("norm"))
     return text.overlap_candidates(text.one_per_text(x), written)
 
 
@@ -327,6 +327,13 @@ def dedup_stats(spark, sf_dir):
     return text.dedup_stats(_deduped(spark, sf_dir))
 
 
+@query()
+def similarity_stats(spark, sf_dir):
+    """Comparisons of the ordered pass over all documents, and the highest similarity among them."""
+    got = text.similarity_stats(_docs(spark, sf_dir).withColumn("rank", F.col("id")), written(_deduped(spark, sf_dir)), written)
+    return got.withColumn("maximum_similarity", r6(F.col("maximum_similarity")))
+
+
 def _values(pairs) -> str:
     q = lambda s: "'" + str(s).replace("'", "''") + "'"
     return ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in pairs)

@@ -45,10 +45,9 @@ def plain_pass(rows, threshold=0.88):
     return out
 
 
-def test_dedup_equals_one_pass(spark):
-    rng = random.Random(11)
-    rows = []
-    for i in range(120):
+def noisy_copies(seed, n):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
         if rows and rng.random() < 0.7:
             w = rng.choice(rows)[1].split()
             for _ in range(rng.randrange(3)):
@@ -57,10 +56,74 @@ def test_dedup_equals_one_pass(spark):
             t = " ".join(w)
         else:
             t = " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randrange(0, 14)))
-        rows.append((f"id{rng.randrange(110)}", t))
+        rows.append((f"id{rng.randrange(n - n // 12)}", t))
+    return rows
+
+
+def plain_stats(rows, threshold=0.88):
+    """Comparisons and highest similarity of one ordered pass."""
+    ids, kept, made, most = set(), [], 0, 0.0
+    for i, t in rows:
+        n = text.normalize(t)
+        if i in ids or n in kept:
+            ids.add(i)
+            continue
+        ids.add(i)
+        for m in kept:
+            made += 1
+            score = SequenceMatcher(None, n.split(), m.split(), autojunk=False).ratio()
+            most = max(most, score)
+            if score >= threshold:
+                break
+        else:
+            kept.append(n)
+    return made, most
+
+
+@pytest.mark.parametrize(("seed", "limits"), [(11, {}), (12, {"pairs_a_row": 4}), (13, {"judged_a_row": 0, "least_judged": 6})])
+def test_dedup_equals_one_pass(spark, monkeypatch, seed, limits):
+    """In one batch, and in several as elements or pairs to judge are too many; elements in cells of three texts."""
+    if limits:
+        monkeypatch.setattr(text, "CELL", 3)
+    rows = noisy_copies(seed, 120)
     df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "rank long, id string, text string")
-    got = [(r["id"], r["status"], r["duplicate_of"]) for r in text.deduplicated(df, written).orderBy("rank").collect()]
+    result = written(text.deduplicated(df, written, **limits))
+    got = [(r["id"], r["status"], r["duplicate_of"]) for r in result.orderBy("rank").collect()]
     assert got == plain_pass(rows)
+    stats = text.similarity_stats(df, result, written).first()
+    assert (stats["comparisons"], stats["maximum_similarity"]) == (plain_stats(rows)[0], pytest.approx(plain_stats(rows)[1]))
+
+
+def test_similarity_without_near_rows(spark):
+    """The highest similarity lies far below the threshold, or no two texts share a word, or there is one text."""
+    for rows in ([("a", "u v w x y z"), ("b", "u b c d e f"), ("c", "p q r x y s")], [("a", "one two"), ("b", "three four"), ("c", "")], [("a", "one")]):
+        df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "rank long, id string, text string")
+        stats = text.similarity_stats(df, written(text.deduplicated(df, written)), written).first()
+        assert (stats["comparisons"], stats["maximum_similarity"]) == (plain_stats(rows)[0], pytest.approx(plain_stats(rows)[1]))
+
+
+def test_a_large_cluster_meets_its_leader_only(spark, monkeypatch):
+    """20,000 near copies of one text: the pairs that are judged are in proportion to the rows."""
+    judged = []
+    ratios = text._ratios
+
+    def counted(pairs, texts, threshold):
+        judged.append(pairs.count())
+        return ratios(pairs, texts, threshold)
+
+    monkeypatch.setattr(text, "_ratios", counted)
+    base = [f"w{i}" for i in range(30)]
+    at = F.array(*[F.when(F.pmod("rank", F.lit(30)) == i, F.concat(F.lit("own"), F.col("rank").cast("string"))).otherwise(F.lit(w)) for i, w in enumerate(base)])
+    df = spark.range(20_000).withColumnRenamed("id", "rank").select("rank", F.col("rank").cast("string").alias("id"), F.array_join(at, " ").alias("text"))
+    got = text.deduplicated(df, written, least_judged=2_000)
+    assert {(r["status"], r["of"]): r["count"] for r in got.groupBy("status", "of").count().collect()} == {("kept", None): 1, ("near_duplicate", 0): 19_999}
+    assert sum(judged) < 3 * 20_000
+
+
+def test_places_without_one_sorted_task(spark):
+    df = spark.range(0, 5000, 7).withColumnRenamed("id", "x").repartition(6)
+    got = text.places(df, "x", written).orderBy("x").collect()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1))
 
 
 def test_normalisation():
