@@ -317,17 +317,45 @@ def _deduped(spark, sf_dir):
     return text.deduplicated(_docs(spark, sf_dir).withColumn("rank", F.col("id")), written)
 
 
-@query()
+def _dedup_sql(rounds: int = 12) -> str:
+    """The ordered pass in SQL: pairs whose words suffice, matching blocks of each pair by recursion (the longest, then what is left and right of it), and
+    rounds that decide rows whose earlier near rows are decided. It holds while chains of near rows are no longer than ``rounds``."""
+    state = ["s0 AS (SELECT id, CAST(NULL AS BOOLEAN) AS kept FROM live)"]
+    for r in range(rounds):
+        state.append(f"""s{r + 1} AS MATERIALIZED (SELECT s.id, coalesce(any_value(s.kept), CASE WHEN bool_or(coalesce(x.kept, false)) THEN false WHEN count(*) FILTER (WHERE x.id IS NOT NULL AND x.kept IS NULL) = 0 THEN true END) AS kept
+ FROM s{r} s LEFT JOIN edges e ON e.b = s.id LEFT JOIN s{r} x ON x.id = e.a GROUP BY s.id)""")
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id AS id, {_NORM} AS n FROM documents), live AS MATERIALIZED (SELECT min(id) AS id, n, string_split(n, ' ') AS ws FROM docs GROUP BY n),
+ el AS (SELECT id, w, count(*) AS k, any_value(l) AS l FROM (SELECT id, unnest(ws) AS w, len(ws) AS l FROM live WHERE n <> '') GROUP BY id, w),
+ p AS MATERIALIZED (SELECT a, b, la, lb FROM (SELECT x.id AS a, y.id AS b, x.l AS la, y.l AS lb, sum(least(x.k, y.k)) AS o FROM el x JOIN el y ON x.w = y.w AND x.id < y.id AND 2 * least(x.l, y.l) >= 0.88 * (x.l + y.l) - 1e-9 GROUP BY 1, 2, 3, 4) WHERE 2 * o >= 0.88 * (la + lb) - 1e-9),
+ pos AS (SELECT id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM live WHERE id IN (SELECT a FROM p UNION SELECT b FROM p)),
+ hit AS (SELECT p.a, p.b, x.i, x.i - y.i AS d FROM p JOIN pos x ON x.id = p.b JOIN pos y ON y.id = p.a AND y.w = x.w),
+ run AS MATERIALIZED (SELECT a, b, d, min(i) AS i0, max(i) + 1 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS g FROM hit) GROUP BY a, b, d, g),
+ work AS (SELECT a, b, CAST(0 AS BIGINT) AS x0, CAST(lb AS BIGINT) AS x1, CAST(0 AS BIGINT) AS y0, CAST(la AS BIGINT) AS y1, CAST(0 AS BIGINT) AS k FROM p
+  UNION ALL
+  SELECT a, b, t.x0, t.x1, t.y0, t.y1, t.k FROM (SELECT a, b, unnest([{{'x0': x0, 'x1': -best.s, 'y0': y0, 'y1': -best.s - best.d, 'k': best.k}}, {{'x0': -best.s + best.k, 'x1': x1, 'y0': -best.s - best.d + best.k, 'y1': y1, 'k': 0}}]) AS t
+   FROM (SELECT w.a, w.b, x0, x1, y0, y1, max({{'k': least(i1, x1, y1 + d) - greatest(i0, x0, y0 + d), 's': -greatest(i0, x0, y0 + d), 'd': d}}) AS best
+    FROM work w JOIN run r ON w.a = r.a AND w.b = r.b AND least(i1, x1, y1 + d) > greatest(i0, x0, y0 + d) WHERE x0 < x1 AND y0 < y1 GROUP BY w.a, w.b, x0, x1, y0, y1))),
+ edges AS MATERIALIZED (SELECT a, b, ratio FROM (SELECT a, b, 2.0 * sum(k) / (any_value(la) + any_value(lb)) AS ratio FROM work JOIN p USING (a, b) GROUP BY a, b) WHERE ratio >= 0.88),
+ {", ".join(state)},
+ near AS (SELECT b AS id, min(a) AS of, arg_min(ratio, a) AS ratio FROM edges JOIN s{rounds} s ON s.id = a AND s.kept GROUP BY b),
+ result AS (SELECT docs.id, CASE WHEN NOT s.kept THEN 'near_duplicate' WHEN docs.id = live.id THEN 'kept' ELSE 'exact_duplicate' END AS status, CASE WHEN NOT s.kept THEN near.of WHEN docs.id <> live.id THEN live.id END AS of,
+  CASE WHEN NOT s.kept THEN near.ratio WHEN docs.id <> live.id THEN 1.0 END AS similarity FROM docs JOIN live USING (n) JOIN s{rounds} s ON s.id = live.id LEFT JOIN near ON near.id = live.id),
+ place AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM result WHERE status = 'kept')"""
+
+
+@query(f"{_dedup_sql()} SELECT id, status, of AS duplicate_of, {_r6('CAST(similarity AS DOUBLE)')} AS similarity FROM result WHERE status <> 'kept'")
 def near_dup_removed(spark, sf_dir):
     return _deduped(spark, sf_dir).where("status <> 'kept'").select("id", "status", "duplicate_of", r6(F.col("similarity")).alias("similarity"))
 
 
-@query()
+@query(f"""{_dedup_sql()} SELECT count(*) AS input_count, count(*) FILTER (WHERE status = 'kept') AS kept_count, CAST(0 AS BIGINT) AS duplicate_ids, count(*) FILTER (WHERE status = 'exact_duplicate') AS exact_duplicates,
+ count(*) FILTER (WHERE status = 'near_duplicate') AS near_duplicates FROM result""")
 def dedup_stats(spark, sf_dir):
     return text.dedup_stats(_deduped(spark, sf_dir))
 
 
-@query()
+@query(f"""{_dedup_sql()} SELECT CAST((SELECT sum(place - 1) FROM place) + (SELECT sum(place) FROM result JOIN place ON place.id = result.of WHERE status = 'near_duplicate') AS BIGINT) AS comparisons,
+ {_r6("CAST((SELECT max(similarity) FROM result WHERE status = 'near_duplicate') AS DOUBLE)")} AS maximum_similarity, CAST(0.88 AS DOUBLE) AS near_duplicate_threshold""")
 def similarity_stats(spark, sf_dir):
     """Comparisons of the ordered pass over all documents, and the highest similarity among them."""
     got = text.similarity_stats(_docs(spark, sf_dir).withColumn("rank", F.col("id")), written(_deduped(spark, sf_dir)), written)
