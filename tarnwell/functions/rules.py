@@ -34,11 +34,11 @@ def sentences(text: Column) -> Column:
 
 
 def recommendation() -> dict[str, Column]:
-    """A known signal and three to five sentences in at most 900 characters, each closed."""
+    """A known signal and three to five sentences in 1 to 900 characters, each closed."""
     s = sentences(F.col("reasoning"))
     return {
-        "signal": F.col("signal").isin("BULLISH", "BEARISH", "NEUTRAL"),
-        "length": F.length("reasoning") <= 900,
+        "signal": F.col("signal").isin("BUY", "HOLD", "SELL"),
+        "length": F.length(F.trim("reasoning")).between(1, 900),
         "sentences": F.size(s).between(3, 5),
         "closed": F.forall(s, lambda x: x.rlike(r"[.!?]\z")),
     }

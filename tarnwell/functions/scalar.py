@@ -96,6 +96,30 @@ def redacted_values(values: Column, secrets: tuple[str, ...] = ()) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit("[REDACTED]")).otherwise(redacted(v, secrets)))
 
 
+def redacted_json(text: Column, secrets: tuple[str, ...] = (), depth: int = 8) -> Column:
+    """A JSON text without secrets at any depth: values under secret-like keys whole, tokens and given secrets within texts.
+
+    The text is taken apart as VARIANT, object by object and list by list, and put together again. Lists and objects nested more than
+    ``depth`` deep go whole. Keys come out in order. Text that is no JSON is redacted as a text and becomes a JSON string.
+    """
+    gone = "parse_json('\"[REDACTED]\"')"
+
+    def level(v: Column, left: int) -> Column:
+        kind = F.schema_of_variant(v)
+        words = F.parse_json(F.to_json(redacted(F.try_variant_get(v, "$", "string"), secrets).cast("variant")))
+        if not left:
+            return F.when(kind == "STRING", words).when(kind.rlike("^(OBJECT|ARRAY)"), F.expr(gone)).otherwise(v)
+        keyed = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit(None).cast("string").alias("k"), e.alias("v")))
+        parts = F.when(kind.startswith("OBJECT"), keyed).otherwise(listed)
+        done = F.transform(parts, lambda e: F.struct(e["k"].alias("k"), F.when(e["k"].rlike(SECRET_KEY), F.expr(gone)).otherwise(level(e["v"], left - 1)).alias("v")))
+        put = F.transform(F.array(done), lambda x: F.when(kind.startswith("OBJECT"), F.to_variant_object(F.map_from_entries(x)).cast("variant")).otherwise(F.to_variant_object(F.transform(x, lambda e: e["v"])).cast("variant")))[0]
+        return F.when(kind == "STRING", words).when(kind.rlike("^(OBJECT|ARRAY)"), put).otherwise(v)
+
+    v = F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    return F.to_json(level(v, depth))
+
+
 def secret_values() -> tuple[str, ...]:
     """Values of this process's environment variables that have secret-like names, longest first."""
     return tuple(sorted({v for k, v in os.environ.items() if v and re.search(SECRET_KEY, k)}, key=lambda v: (-len(v), v)))

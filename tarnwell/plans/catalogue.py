@@ -226,7 +226,7 @@ def history_sufficiency(spark, sf_dir):
     return last.groupBy("series").agg(F.count("*").alias("n_rows"), ((F.count("*") >= 200) & F.bool_and("valid")).alias("sufficient"))
 
 
-WANTED = 2_000  # headlines that a union of sources is cut to
+WANTED = 500  # headlines that a union of sources is cut to
 
 # Headlines: first line of each document by id, and page titles as the fallback source.
 _TITLES = "titles AS (SELECT doc_id AS pos, trim(split_part(text, chr(10), 1)) AS title FROM documents)"
@@ -663,12 +663,12 @@ def indicator_sanity(spark, sf_dir):
 _SENTENCES = "string_split(regexp_replace(regexp_replace(trim(r), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Za-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 3 = 0 THEN 'BULLISH' WHEN doc_id % 3 = 1 THEN 'NEUTRAL' ELSE 'HOLD' END AS signal FROM documents), s AS (SELECT *, {_SENTENCES} AS x FROM d)
- SELECT doc_id, signal IN ('BULLISH', 'BEARISH', 'NEUTRAL') AS signal_ok, length(r) <= 900 AS length_ok, CAST(len(x) AS INTEGER) AS n_sentences, len(x) BETWEEN 3 AND 5 AS sentences_ok,
+@query(f"""WITH d AS (SELECT doc_id, text AS r, CASE WHEN doc_id % 3 = 0 THEN 'BUY' WHEN doc_id % 3 = 1 THEN 'BULLISH' ELSE 'HOLD' END AS signal FROM documents), s AS (SELECT *, {_SENTENCES} AS x FROM d)
+ SELECT doc_id, signal IN ('BUY', 'HOLD', 'SELL') AS signal_ok, length(trim(r)) BETWEEN 1 AND 900 AS length_ok, CAST(len(x) AS INTEGER) AS n_sentences, len(x) BETWEEN 3 AND 5 AS sentences_ok,
  len(list_filter(x, lambda y : NOT regexp_matches(y, '[.!?]\\z'))) = 0 AS closed_ok FROM s""")
 def recommendation_rules(spark, sf_dir):
     i = F.col("doc_id")
-    x = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reasoning"), F.when(i % 3 == 0, "BULLISH").when(i % 3 == 1, "NEUTRAL").otherwise("HOLD").alias("signal"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("reasoning"), F.when(i % 3 == 0, "BUY").when(i % 3 == 1, "BULLISH").otherwise("HOLD").alias("signal"))
     ok = rules.recommendation()
     return x.select("doc_id", ok["signal"].alias("signal_ok"), ok["length"].alias("length_ok"), F.size(rules.sentences(F.col("reasoning"))).alias("n_sentences"), ok["sentences"].alias("sentences_ok"), ok["closed"].alias("closed_ok"))
 

@@ -34,7 +34,7 @@ def scan_history(spark: SparkSession, path: str, as_of: str | None = None, perio
     if period != "max":
         last = F.to_date(F.lit(as_of)) if as_of else F.lit(df.agg(F.max("d")).first()[0])
         df = df.where(F.col("d") >= F.add_months(last, -12 * int(period.removesuffix("y"))))
-    return df
+    return df.where(F.col("d") <= F.to_date(F.lit(as_of))) if as_of else df
 
 
 def keep_last(df: DataFrame, keys: tuple[str, ...] = ("series", "d"), order: str = "seq") -> DataFrame:

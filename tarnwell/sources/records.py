@@ -127,3 +127,34 @@ def read_trace(spark: SparkSession, path: str, last: int | None = None) -> DataF
 
 def read_prompt(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
+
+
+def price_views(observations: DataFrame) -> DataFrame:
+    """observations: evidence_id and output (JSON) of price calls. All but the rows, which are counted and dated by the last."""
+    v = F.try_parse_json("output")
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    rows = at("$.rows", "array<variant>")
+    last = F.try_variant_get(F.try_element_at(rows, F.lit(-1)), "$.date", "string")
+    kept = [at(f"$.{c}", "string").alias(c) for c in ("ticker", "period", "price_basis")] + [F.to_json(at(f"$.{c}", "variant")).alias(c) for c in ("summary", "latest_indicators")]
+    count = F.coalesce(at("$.row_count", "long"), F.size(rows).cast("long"), F.lit(0).cast("long"))
+    return observations.select("evidence_id", *kept, count.alias("row_count"), F.coalesce(at("$.as_of", "string"), last).alias("as_of"))
+
+
+def news_views(observations: DataFrame) -> DataFrame:
+    """observations: evidence_id and output (JSON) of news calls. Titles, publishers and dates, no addresses."""
+    x = F.from_json("output", "ticker string, headlines array<struct<title:string,publisher:string,published_at:string>>")
+    return observations.select("evidence_id", x["ticker"].alias("ticker"), x["headlines"].alias("headlines"))
+
+
+def sentiment_views(observations: DataFrame) -> DataFrame:
+    """observations: evidence_id, arguments and output (JSON) of sentiment calls. The aggregate, and the number of headlines asked for."""
+    asked = F.try_parse_json("arguments")
+    count = F.coalesce(F.try_variant_get(asked, "$.headline_count", "long"), F.size(F.try_variant_get(asked, "$.headlines", "array<variant>")).cast("long"), F.lit(0).cast("long"))
+    return observations.select("evidence_id", F.to_json(F.try_variant_get(F.try_parse_json("output"), "$.aggregate", "variant")).alias("aggregate"), count.alias("headline_count"))
+
+
+def rss_address(ticker: Column, days: int = 7) -> Column:
+    """The address of a search feed for recent news of a ticker, its parts encoded as a form."""
+    encoded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    asked = F.concat(F.lit('"'), ticker, F.lit(f'" stock when:{days}d'))
+    return F.concat(F.lit("https://news.google.com/rss/search?q="), encoded(asked), F.lit("&hl=en-US&gl=US&ceid="), encoded(F.lit("US:en")))

@@ -399,7 +399,7 @@ def test_record_rules(spark):
         return [r["b"] for r in spark.createDataFrame(rows, schema).select(rules.broken(rule_set).alias("b")).collect()]
 
     good = "One is so. Two is 3.5 now! Three is it?"
-    assert names([("BULLISH", good), ("UP", "One. Two"), (None, None)], "signal string, reasoning string", rules.recommendation()) == [[], ["signal", "sentences", "closed"], ["signal", "length", "sentences", "closed"]]
+    assert names([("SELL", good), ("UP", "One. Two"), (None, None)], "signal string, reasoning string", rules.recommendation()) == [[], ["signal", "sentences", "closed"], ["signal", "length", "sentences", "closed"]]
     assert names([("h", "positive", 1.0, "r"), (" ", "good", float("nan"), "")], "headline string, sentiment string, confidence double, brief_reason string", rules.headline_sentiment()) == [[], ["headline", "sentiment", "confidence", "brief_reason"]]
     assert names([("tool", "x", None), ("tool", None, "o"), ("finish", None, "o"), ("finish", "x", None), ("stop", None, None)], "kind string, tool_name string, output string", rules.agent_action()) == [[], ["tool"], [], ["finish"], ["kind"]]
     assert names([(2, 1, ["a"], "q"), (1, 11, [], "")], "window int, n int, headlines array<string>, query string", rules.tool_arguments()) == [[], ["window", "n", "headlines", "query"]]
