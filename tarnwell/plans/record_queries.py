@@ -210,10 +210,12 @@ def cache_lookup(spark, sf_dir):
     return records.read_cache(spark, path, "HIGH", "2026-01-02", 1).select("ticker", "as_of", "workflow", "version", "payload")
 
 
-@query(f"""WITH {_split_sql('SELECT * FROM ex')}, l AS (SELECT split, id, '{{"id":' || id || ',"topic":"' || topic || '","risk":"' || risk || '","stratum":"' || stratum || '"}}' AS line FROM split)
- SELECT split, count(*) AS n, sha256(sha256(string_agg(line, chr(10) ORDER BY id))) AS sha256, 42 AS seed, 'topic' AS stratified_by FROM l GROUP BY 1""")
+@query(f"""WITH {_split_sql('SELECT * FROM ex')}, l AS (SELECT split, id, '{{"id":' || id || ',"topic":"' || topic || '","risk":"' || risk || '","stratum":"' || stratum || '"}}' AS line FROM split),
+ n AS (SELECT split, count(*) AS n, CAST(ceil(count(*) / {sinks.MANIFEST_ROWS}.0) AS BIGINT) AS blocks FROM l GROUP BY 1), b AS (SELECT l.*, n.n, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 7) AS BIGINT) % n.blocks AS block FROM l JOIN n USING (split)),
+ s AS (SELECT split, n, block, sha256(string_agg(line, chr(10) ORDER BY id)) AS sha FROM b GROUP BY ALL)
+ SELECT split, n, sha256(string_agg(sha, chr(10) ORDER BY block)) AS sha256, 42 AS seed, 'topic' AS stratified_by FROM s GROUP BY split, n""")
 def split_manifest(spark, sf_dir):
-    """The manifest that goes with saved splits; the SQL holds while each is one block of rows."""
+    """The manifest that goes with saved splits, in blocks of rows."""
     return sinks.manifest(_split(spark, sf_dir, False).select("id", "topic", "risk", "stratum", "split"), 42, "topic")
 
 

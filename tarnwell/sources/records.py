@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import JournalError
 from ..functions.scalar import finite, host, title_key
+from ..operators import dataset
+from . import commits, sinks
 
 NEWS_SCHEMA = (
     "title string, publisher string, link string, pubDate string, providerPublishTime double, provider struct<displayName:string>, canonicalUrl struct<url:string>, clickThroughUrl struct<url:string>, "
@@ -68,7 +72,7 @@ def search_rows(results: DataFrame, most: int = 5, snippet: int = 1500) -> DataF
 
 def read_journal(spark: SparkSession, path: str, seed: int | None = None, prompt_sha: str | None = None, model: str | None = None) -> DataFrame:
     """Journal lines, blank ones skipped. Any unreadable or foreign line, or a repeated batch, is an error before anything is used."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", JOURNAL_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     wrong = F.col("j").isNull() | F.col("j._bad").isNotNull() | F.col("j.batch_id").isNull()
     for name, want in (("seed", seed), ("system_prompt_sha256", prompt_sha), ("teacher_model", model)):
@@ -80,6 +84,29 @@ def read_journal(spark: SparkSession, path: str, seed: int | None = None, prompt
     return parsed.select("j.*").drop("_bad")
 
 
+def resume(spark: SparkSession, path: str, plan: DataFrame, accepted: Callable[[DataFrame], DataFrame], produce: Callable[[DataFrame, int], DataFrame], seed: int, prompt_sha: str, model: str, **batching: int) -> int:
+    """One run of a generation that goes on where the journal at ``path`` ends. The number of records that were asked for.
+
+    The whole journal is judged first: unreadable or foreign lines, repeated batches, and assignments that the plan doesn't have are errors before anything is written. Then
+    ``produce`` gets the assignments that no accepted record has, in batches that count on from the journal's last, and gives their lines, which are
+    judged alike and published in one step under the first new batch's name: of two runs at once one is refused and nothing of it is seen.
+    """
+    found = read_journal(spark, path, seed, prompt_sha, model) if commits.any_batch(spark, path) else spark.createDataFrame([], JOURNAL_SCHEMA)
+    asked = lambda lines: lines.select("batch_id", F.explode("assignments").alias("a")).select("batch_id", *[F.col("a")[c].alias(c) for c in plan.columns])
+    if not dataset.journal_mismatches(asked(found), plan).isEmpty():
+        raise JournalError("the journal has assignments that the plan doesn't have")
+    first = dataset.next_batch(found).first()[0]
+    todo = dataset.pending(plan, accepted(found))
+    n = todo.count()
+    if n:
+        lines = produce(dataset.batches(todo.withColumn("place", F.col("id")), first=first, **batching).drop("place"), first)
+        wrong = (~F.col("seed").eqNullSafe(F.lit(seed))) | (~F.col("system_prompt_sha256").eqNullSafe(F.lit(prompt_sha))) | (~F.col("teacher_model").eqNullSafe(F.lit(model))) | (F.col("batch_id") < first)
+        if not lines.where(wrong).isEmpty():
+            raise JournalError("the new lines are of another run")
+        sinks.append_journal(lines, path, f"from-{first}")
+    return n
+
+
 def batch_candidates(journal: DataFrame, fields: str) -> DataFrame:
     """One row per returned record: batch_id, pos, record; answers that are no object with one array ``examples`` give none."""
     body = F.regexp_replace(F.trim("response"), r"(?is)^```(?:json)?\s*\n?(.*?)\n?```$", "$1")
@@ -121,7 +148,7 @@ def observation_views(observations: DataFrame, most: int = 400) -> DataFrame:
 
 
 def read_trace(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
-    df = spark.read.schema(TRACE_SCHEMA).json(path)
+    df = spark.read.schema(TRACE_SCHEMA).option("recursiveFileLookup", "true").json(path)
     return df if last is None else df.orderBy(F.col("timestamp").desc()).limit(last)
 
 

@@ -6,10 +6,12 @@ import json
 import math
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import html_escaped, redacted, redacted_values, secret_values
+from ..operators.dataset import SPLITS
+from . import commits
 
 
 def no_nan(df: DataFrame) -> DataFrame:
@@ -23,14 +25,19 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", one_file: boo
     (df.coalesce(1) if one_file else df).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def append_journal(df: DataFrame, path: str) -> None:
-    """New part files; earlier ones stay as they are, and a failed job leaves none."""
-    write_jsonl(df, path, "append")
+def append_journal(df: DataFrame, path: str, batch: str | None = None) -> str:
+    """New part files, visible together in one step (``commits``); earlier ones stay as they are. A ``batch`` that is there already is an error."""
+    return commits.publish(no_nan(df), path, batch, ignoreNullFields="false")
 
 
 MANIFEST_ROWS = 10_000
 
 
+def block_of(key: Column, blocks: Column) -> Column:
+    """A block's number by the first 28 bits of the key's MD5, which any engine can compute."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 7), 16, 10).cast("long") % blocks
+
+
 def manifest(split: DataFrame, seed: int, stratified_by: str, block_rows: int = MANIFEST_ROWS) -> DataFrame:
     """Per split: rows and a SHA-256 over the hashes of its blocks, each the SHA-256 of its rows' JSON in the order of ids.
 
@@ -38,18 +45,32 @@ def manifest(split: DataFrame, seed: int, stratified_by: str, block_rows: int =
     """
     line = F.to_json(F.struct(*[c for c in split.columns if c != "split"]))
     n = split.groupBy("split").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_rows))
-    dealt = split.select("split", "id", line.alias("line")).join(n, "split").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = split.select("split", "id", line.alias("line")).join(n, "split").withColumn("block", block_of(F.col("id"), F.col("blocks")))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"])
     block = dealt.groupBy("split", "n", "block").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
     whole = F.transform(F.sort_array(F.collect_list(F.struct("block", "sha"))), lambda x: x["sha"])
     return block.groupBy("split", "n").agg(F.sha2(F.array_join(whole, "\n"), 256).alias("sha256")).select("split", "n", "sha256", F.lit(seed).alias("seed"), F.lit(stratified_by).alias("stratified_by"))
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(split, file, bytes, sha256) of every written file of the splits below ``path``, read back as bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("split", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def save_splits(split: DataFrame, path: str, seed: int = 42, stratified_by: str = "topic") -> None:
-    """Refuses to replace an existing split or manifest. ``ids`` lists the ids of each split in order."""
+    """Refuses to replace an existing split or manifest. ``ids`` lists the ids of each split in order, ``files`` the digest of each written file.
+
+    The manifest has a row for each split: its rows and share, seed, stratification, a digest over its rows, and one over its files' names and digests in order.
+    """
     split.write.mode("errorifexists").partitionBy("split").option("ignoreNullFields", "false").json(f"{path}/splits")
     split.select("split", "id").repartitionByRange("split", "id").sortWithinPartitions("split", "id").write.mode("errorifexists").json(f"{path}/ids")
-    manifest(split, seed, stratified_by).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    file_digests(split.sparkSession, f"{path}/splits").write.mode("errorifexists").json(f"{path}/files")
+    files = split.sparkSession.read.schema("split string, file string, bytes long, sha256 string").json(f"{path}/files")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("file", "sha256"))), lambda x: F.concat(x["file"], F.lit(" "), x["sha256"]))
+    own = files.groupBy("split").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("files_sha256"))
+    ratio = F.element_at(F.create_map(*[F.lit(x) for name, tenths in SPLITS for x in (name, tenths / 10)]), F.col("split"))
+    manifest(split, seed, stratified_by).join(own, "split").withColumn("ratio", ratio).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def save_cache(df: DataFrame, path: str) -> None:
@@ -65,7 +86,8 @@ def run_summary(config: dict, counters: DataFrame) -> str:
 def append_trace(events: DataFrame, path: str, most: int = 200) -> None:
     """New JSON lines of trace events; outputs lose their secrets, then all beyond ``most`` characters."""
     shown = F.substring(redacted(F.col("output"), secret_values()), 1, most)
-    write_jsonl(events.withColumns({"output": shown, "input_arguments": redacted_values(F.col("input_arguments"), secret_values())}), path, "append")
+    clean = events.withColumns({"output": shown, "input_arguments": redacted_values(F.col("input_arguments"), secret_values())})
+    commits.publish(no_nan(clean), path, ignoreNullFields="false")
 
 
 def strict_json(value) -> str:

@@ -173,9 +173,10 @@ def test_journal_round_trip_and_refusal(spark, tmp_path):
     line = lambda b, seed=1: (b, "m", seed, "sha", [{"id": "a"}], json.dumps({"examples": [{"id": "a", "topic": "KYC"}, {"id": "b", "topic": 5}]}), None)
     df = spark.createDataFrame([line(1)], records.JOURNAL_SCHEMA)
     sinks.append_journal(df, path)
-    before = {p.name: p.read_bytes() for p in (tmp_path / "journal").glob("part*")}
+    before = {p: p.read_bytes() for p in (tmp_path / "journal").rglob("part*")}
+    assert before
     sinks.append_journal(spark.createDataFrame([line(2)], records.JOURNAL_SCHEMA), path)
-    assert all((tmp_path / "journal" / n).read_bytes() == b for n, b in before.items())
+    assert all(p.read_bytes() == b for p, b in before.items())
     got = records.read_journal(spark, path, 1, "sha", "m")
     assert got.count() == 2 and dataset.next_batch(got).first()[0] == 3
     assert records.batch_candidates(got, "id:string,topic:string").where("batch_id = 1").count() == 2
