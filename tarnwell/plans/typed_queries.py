@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scalar, typed
 from ..operators import dataset
-from ..sources import bars, records
+from ..sources import bars, ledger, provider, records
 from .catalogue import BARS, _bars, folder, query, table
 
 _TRIMMED = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
@@ -144,3 +144,30 @@ def sentiment_views(spark, sf_dir):
 @query("""SELECT c_custkey, 'https://news.google.com/rss/search?q=%22' || replace(url_encode(c_name), '%20', '+') || '%22+stock+when%3A7d&hl=en-US&gl=US&ceid=US%3Aen' AS url FROM customer""")
 def rss_addresses(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", records.rss_address(F.col("c_name")).alias("url"))
+
+
+def _measure(system: str, payload: str) -> str:
+    """Stands in for a provider: what it is asked, and how long that is."""
+    return f"{system}: {len(payload)}"
+
+
+@query("SELECT doc_id, 'length: ' || length(text) AS answer FROM documents")
+def ledger_answers(spark, sf_dir):
+    """Every text is asked for once by way of the ledger: half of the rows by a first run, the others by a second one."""
+    path = f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload"))
+    ledger.completed(d.where("doc_id % 2 = 0"), _measure, "length", path)
+    return ledger.completed(d, _measure, "length", path).select("doc_id", "answer")
+
+
+@query(f"WITH {BARS} SELECT CASE series WHEN '1-URGENT' THEN 'urgent' ELSE 'low' END AS series, d, open, high, low, close, volume FROM bars WHERE series IN ('1-URGENT', '5-LOW') AND d >= DATE '1994-03-01' AND d < DATE '1996-01-01'")
+def provider_history(spark, sf_dir):
+    """Bars of two series by the provider source, which is asked for the wanted days only."""
+    base = f"{folder(spark)}/provider-{uuid.uuid4().hex}"
+    own = _bars(spark, sf_dir)
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low"}
+    for key, name in names.items():  # a provider's files, one a series
+        own.where(F.col("series") == key).withColumn("series", F.lit(name)).coalesce(1).write.parquet(f"{base}/{name}.parquet")
+    provider.register(spark)
+    x = spark.read.format("price_history").option("folder", base).option("series", ",".join(names.values())).option("start", "1990-01-01").option("end", "2005-12-31").option("days", "365").load()
+    return x.where(F.col("series").isin("urgent", "low") & (F.col("d") >= F.lit("1994-03-01").cast("date")) & (F.col("d") < F.lit("1996-01-01").cast("date")))

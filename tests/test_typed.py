@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import threading
+from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from tarnwell.functions import rules, scalar, typed
-from tarnwell.functions.config import JournalError
+from tarnwell.functions.config import JournalError, ProviderError
 from tarnwell.operators import dataset
-from tarnwell.sources import bars, commits, records, sinks
+from tarnwell.sources import bars, commits, ledger, provider, records, sinks
 
 
 def broken(spark, rule_set, *values):
@@ -200,3 +203,69 @@ def test_a_period_reaches_the_scan(spark, tmp_path):
     got = bars.scan_history(spark, f"{tmp_path}/h", "2024-06-01", "2y")
     assert (got.agg(F.min("d").cast("string"), F.max("d").cast("string")).first()[:]) == ("2022-06-01", "2024-06-01")
     assert "PushedFilters: [IsNotNull(d), GreaterThanOrEqual(d,2022-06-01)" in got._jdf.queryExecution().toString()
+
+
+# Providers
+
+
+def test_a_request_is_asked_once(spark, tmp_path):
+    """Rows that repeat, runs that follow, a run that was killed after some answers, and a failed request."""
+    asked, path = tmp_path / "asked", f"file://{tmp_path}/ledger"
+    asked.mkdir()
+
+    def complete(system, payload):
+        import uuid as u
+
+        (asked / u.uuid4().hex).write_text(payload)
+        if payload == "down":
+            raise ProviderError("down")
+        return payload.upper()
+
+    calls = lambda: sorted(p.read_text() for p in asked.iterdir())
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "a", None, "down", "b"])], "i int, payload string")
+    got = lambda x: {r["i"]: r["answer"] for r in ledger.completed(x, complete, "s", path).collect()}
+    want = {0: "A", 1: "B", 2: "A", 3: None, 4: None, 5: "B"}
+    assert got(df) == want and calls() == ["a", "b", "down"]
+    assert got(df) == want and calls() == ["a", "b", "down", "down"]
+    notes = tmp_path / "ledger" / "_notes" / "killed"
+    notes.mkdir(parents=True)
+    keys = {r["payload"]: r["k"] for r in spark.createDataFrame([("c",), ("d",)], "payload string").select("payload", ledger.request_key("s", F.col("payload")).alias("k")).collect()}
+    (notes / "0-x.jsonl").write_text(json.dumps({"request": keys["c"], "answer": "C!"}) + '\n{"request": "' + keys["d"][:9])
+    assert got(spark.createDataFrame([(0, "c"), (1, "d")], df.schema)) == {0: "C!", 1: "D"} and calls() == ["a", "b", "d", "down", "down"]
+    assert not list((tmp_path / "ledger" / "_notes").iterdir())
+    assert ledger.completed(df, lambda s, p: p, "other system", path).where("i = 0").first()["answer"] == "a"
+
+
+def test_a_task_that_is_tried_again_goes_on(tmp_path):
+    """The second attempt of a task asks only for what the first has not noted."""
+    folder, asked = f"file://{tmp_path}/notes", []
+
+    def complete(system, payload):
+        asked.append(payload)
+        if payload == "p3" and asked.count("p3") == 1:
+            raise RuntimeError("executor lost")
+        return payload.upper()
+
+    rows = pd.DataFrame({"request": [f"k{i}" for i in range(6)], "payload": [f"p{i}" for i in range(6)]})
+    run = ledger.asker(complete, "s", folder, partition=lambda: 4)
+    with pytest.raises(RuntimeError):
+        list(run(iter([rows])))
+    got = pd.concat(list(run(iter([rows]))))
+    assert got["answer"].tolist() == [f"P{i}" for i in range(6)]
+    assert asked == ["p0", "p1", "p2", "p3", "p3", "p4", "p5"]
+
+
+def test_filters_narrow_what_a_provider_is_asked(spark, tmp_path):
+    days = spark.range(1000).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    for s in ("a", "b"):
+        days.select(F.lit(s).alias("series"), "*").coalesce(1).write.parquet(f"{tmp_path}/{s}.parquet")
+    provider.register(spark)
+    load = lambda series: spark.read.format("price_history").options(folder=f"file://{tmp_path}", series=series, start="2020-01-01", end="2022-12-31", days="100").load()
+    x = load("a,b").where((F.col("series") == "a") & (F.col("d") >= F.lit("2020-03-01").cast("date")) & (F.col("d") < F.lit("2020-08-01").cast("date")) & (F.col("close") > 0))
+    assert x.count() == 153 and x.rdd.getNumPartitions() == 2
+    assert load("a,b").count() == 2000 and load("a").where("d > '2030-01-01'").count() == 0
+    with pytest.raises(Exception, match="no history of c"):
+        load("c").count()
+    reader = provider.HistoryReader({"folder": "f", "series": "a,b,c", "start": "2020-01-01", "end": "2020-12-31"})
+    left = list(reader.pushFilters([In(("series",), ("a", "c", "z")), GreaterThan(("d",), date(2020, 5, 1)), EqualTo(("close",), 1.0)]))
+    assert left == [EqualTo(("close",), 1.0)] and [(s.series, s.start, s.end) for s in reader.partitions()] == [(s, date(2020, 5, 2), date(2020, 12, 31)) for s in "ac"]
