@@ -18,6 +18,7 @@ from ..sources import bars
 from ..streaming import windowed_bars
 
 _LOCAL: list[str] = []
+_OWN: set[str] = set()
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -33,16 +34,27 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that executors share; only a local master may leave spark.checkpoint.dir unset, and gets one that goes with the process."""
+    """The application's own folder for tables between steps, in the folder that executors share; it is deleted when the driver ends.
+
+    Only a local master may leave spark.checkpoint.dir unset, and gets one that goes with the process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="tarnwell-plans-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        base = f"file://{_LOCAL[0]}"
-    return base.rstrip("/")
+        return f"file://{_LOCAL[0]}"
+    own = f"{base.rstrip('/')}/plans-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(own)
+    return own
 
 
 def written(df: DataFrame) -> DataFrame:
