@@ -116,10 +116,11 @@ def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), blo
     row = ", ".join(f"`{c}`" for c in df.columns)
     block = f"coalesce(floor(datediff(d, DATE '1970-01-01') / {block_days}), -1L << 40)"
     day = f"struct(d, IF(isnan(cast(close AS double)), NULL, cast(close AS double)) AS close, struct({row}) AS row)"
-    blocks = df.groupBy("series", F.expr(block).alias("block")).agg(F.expr(f"array_sort(collect_list({day}), {earlier})").alias("days"))
+    # As a struct, a null series equals itself, so that all steps share one partitioning.
+    blocks = df.groupBy(F.struct("series").alias("key"), F.expr(block).alias("block")).agg(F.expr(f"array_sort(collect_list({day}), {earlier})").alias("days"))
     behind = f"greatest(size(closes) - {settled}, 0)"
-    ends = blocks.selectExpr("series", "block", "transform(days, x -> x.close) AS closes").selectExpr(
-        "series", "block", f"IF(exists(closes, x -> x IS NULL), aggregate(closes, {EMPTY}, (s, x) -> {_step('s', 'x', cfg)}), NULL) AS end", f"slice(closes, 1, {settled}) AS first", f"cast({behind} AS long) AS n",
+    ends = blocks.selectExpr("key", "block", "transform(days, x -> x.close) AS closes").selectExpr(
+        "key", "block", f"IF(exists(closes, x -> x IS NULL), aggregate(closes, {EMPTY}, (s, x) -> {_step('s', 'x', cfg)}), NULL) AS end", f"slice(closes, 1, {settled}) AS first", f"cast({behind} AS long) AS n",
         f"IF(size(closes) > {settled} AND NOT exists(closes, x -> x IS NULL), {_map_of(f'slice(closes, {settled + 1}, {behind})', f'element_at(closes, {settled})', cfg)}, NULL) AS map",
     )
     warm = f"aggregate(b.first, acc.state, (s, x) -> {_step('s', 'x', cfg)})"
@@ -127,9 +128,9 @@ def with_recursions(df: DataFrame, cfg: IndicatorConfig = IndicatorConfig(), blo
     fields = ", ".join(f"{k}: {'bigint' if k == 'n' else 'double'}" for k in STATE)
     none = f"cast(array() AS array<struct<block: bigint, state: struct<{fields}>>>)"
     heads = f"aggregate(all, named_struct('state', {EMPTY}, 'heads', {none}), (acc, b) -> named_struct('state', {state}, 'heads', concat(acc.heads, array(named_struct('block', b.block, 'state', acc.state))))).heads"
-    own = ends.groupBy(F.col("series").alias("of")).agg(F.expr("sort_array(collect_list(struct(block, end, first, map, n)))").alias("all"))
-    own = own.selectExpr("of", f"inline({heads}) AS (of_block, state)")
-    x = blocks.join(own, (F.col("block") == F.col("of_block")) & F.col("series").eqNullSafe(F.col("of")))
+    own = ends.groupBy("key").agg(F.expr("sort_array(collect_list(struct(block, end, first, map, n)))").alias("all"))
+    own = own.selectExpr("key", f"inline({heads}) AS (block, state)")
+    x = blocks.join(own.hint("shuffle_hash"), ["key", "block"])  # blocks stay where they are spread
     states = f"aggregate(days, array(state), (acc, x) -> concat(acc, transform(array(element_at(acc, -1)), s -> {_step('s', 'x.close', cfg)})))"
     pairs = x.selectExpr(f"inline(arrays_zip(days, slice({states}, 2, size(days)))) AS (day, now)")
     return pairs.selectExpr("day.row.*", *[f"{v} AS {k}" for k, v in _shown("now", cfg).items()])
