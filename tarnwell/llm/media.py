@@ -256,10 +256,13 @@ def with_media(docs: DataFrame, folder: str, keys: list[str], text: str = "text"
     size = index.agg(F.sum("media_bytes")).first()[0] or 0
     tasks = max(-(-size // READ_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
     at = index.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
-    known = written(contents(described(at, folder), folder), "media-known")
+    read = contents(described(at, folder), folder)
+    # What was read back has the digest that it is stored under, so one of the two goes on.
+    same = F.when(F.col("payload_sha256") == F.col("digest"), F.col("payload_sha256")).otherwise(F.raise_error(F.concat(F.lit("another payload is stored as "), "digest")))
+    known = written(read.withColumn("digest", same).drop("payload_sha256"), "media-known")
     discard(index)
     own = rows.select(*keys, "n_bytes", "payload_bytes", "digest")
-    return joined_back(own, known, "digest", "copies", rows.count())
+    return joined_back(own, known, "digest", "copies", rows.count()).withColumn("payload_sha256", F.col("digest"))
 
 
 def op11_media_columns(spark, sf_dir: str) -> DataFrame:

@@ -112,6 +112,13 @@ def test_media_of_odd_rows(spark, odd, empty, tmp_path):
     assert media.with_media(empty, f"file://{tmp_path}/none", ["doc_id"]).count() == 0
 
 
+def test_a_payload_under_a_wrong_digest_is_an_error(spark, odd, tmp_path, monkeypatch):
+    """The digests that the query gives are of what was read back."""
+    monkeypatch.setattr(media, "members", lambda rows: rows.groupBy().agg(F.max("digest").alias("digest"), F.min(F.struct("shard", "offset", "media_bytes")).alias("at"), F.count("*").alias("copies")).select("digest", "at.*", "copies"))
+    with pytest.raises(Exception, match="another payload is stored as"):
+        media.with_media(odd.coalesce(1), f"file://{tmp_path}", ["doc_id"])
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 100_000])
 def test_images_keep_every_byte(n):
     payload = media.payload_of(random.Random(n).randbytes(n))
