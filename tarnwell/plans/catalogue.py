@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
-from ..functions.scalar import normalized, r6, redacted, title_key, word_count
+from ..functions.scalar import normalized, r6, title_key
 from ..operators import claims, dataset, evidence, signals, text, timeseries
 from ..sources import bars
-from ..streaming import windowed_bars
 
 _LOCAL: list[str] = []
 _OWN: set[str] = set()
