@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import json
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import duckdb
@@ -120,6 +121,36 @@ def test_a_large_cluster_meets_its_leader_only(spark, monkeypatch):
     assert sum(judged) < 3 * 20_000
 
 
+@pytest.mark.parametrize("threshold", [0.88, 0.5])
+def test_few_texts_are_copied_for_pairs(spark, monkeypatch, threshold):
+    """Texts of common words: all pairs whose words suffice are found, and few others get so far that texts are joined, which is what filled disks."""
+    judged, paired = [], text._paired
+
+    def counted(pairs, texts):
+        judged.append(pairs.count())
+        return paired(pairs, texts)
+
+    monkeypatch.setattr(text, "_paired", counted)
+    rng, rows = random.Random(5), []
+    for i in range(240):
+        w = rng.choice(rows)[1].split() if i % 3 == 2 else [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randrange(1, 160))]
+        for _ in range(rng.randrange(1 + len(w) // 5)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    bags = [Counter(t.split()) for _, t in rows]
+    want = {}
+    for b, y in enumerate(bags):
+        for a, x in enumerate(bags[:b]):
+            o, n = (x & y).total(), x.total() + y.total()
+            if rows[a][1] != rows[b][1] and 2 * o >= threshold * n - 1e-9:
+                want[a, b] = o
+    df = written(spark.createDataFrame(rows, "id long, norm string"))
+    got = text.overlap_candidates(df, written, threshold, text.one_per_text(df)).collect()
+    first = {i for i, (_, t) in enumerate(rows) if t not in [u for _, u in rows[:i]]}
+    assert {(r["a"], r["b"]): r["overlap"] for r in got} == {k: o for k, o in want.items() if set(k) <= first}
+    assert judged[0] < 3 * len(got) + 100
+
+
 def test_places_without_one_sorted_task(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "x").repartition(6)
     got = text.places(df, "x", written).orderBy("x").collect()
