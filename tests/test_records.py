@@ -228,6 +228,15 @@ def test_plan_is_balanced_and_the_same_again(spark):
     assert batch.groupBy("batch_id").count().where("count <> 5").isEmpty() and batch.agg(F.max("batch_id")).first()[0] == 32
 
 
+def test_all_headlines_of_both_sources(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["headlines_fallback"](spark, "/root/testdata/sf0.01").collect())
+    assert got == sorted(con.execute(ORACLE_SQL["headlines_fallback"]).fetchall()) and len(got) > 500
+    assert {r[2] for r in got} == {0, 1}
+
+
 def test_acceptance_reasons(spark):
     ask = spark.createDataFrame([(1, "a", "KYC", "KYC", "p" * 40, "low"), (1, "b", "KYC", "KYC", "p" * 40, "low"), (2, "c", "KYC", "KYC", "p" * 40, "low")], "batch_id long, id string, topic string, category string, policy_excerpt string, target_risk string")
     rows = [
