@@ -237,6 +237,21 @@ def test_all_headlines_of_both_sources(spark):
     assert {r[2] for r in got} == {0, 1}
 
 
+def equal_over_table(spark, name):
+    """The query's rows over sf0.01, equal to its SQL."""
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    got = QUERIES[name](spark, "/root/testdata/sf0.01")
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall(), key=str)
+    return rows
+
+
+def test_an_assignment_for_each_document(spark):
+    assert len(equal_over_table(spark, "assignment_plan")) == 1000
+
+
 def test_acceptance_reasons(spark):
     ask = spark.createDataFrame([(1, "a", "KYC", "KYC", "p" * 40, "low"), (1, "b", "KYC", "KYC", "p" * 40, "low"), (2, "c", "KYC", "KYC", "p" * 40, "low")], "batch_id long, id string, topic string, category string, policy_excerpt string, target_risk string")
     rows = [
