@@ -256,6 +256,11 @@ def test_pending_assignments_of_all_documents(spark):
     assert len(equal_over_table(spark, "pending_assignments")) == 1000 - 5 * (200 // 3)
 
 
+def test_error_categories_of_all_events(spark):
+    rows = equal_over_table(spark, "error_categories")
+    assert len(rows) == 10_000 and len({r[1] for r in rows}) == 501
+
+
 def test_acceptance_reasons(spark):
     ask = spark.createDataFrame([(1, "a", "KYC", "KYC", "p" * 40, "low"), (1, "b", "KYC", "KYC", "p" * 40, "low"), (2, "c", "KYC", "KYC", "p" * 40, "low")], "batch_id long, id string, topic string, category string, policy_excerpt string, target_risk string")
     rows = [
