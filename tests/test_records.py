@@ -261,6 +261,11 @@ def test_error_categories_of_all_events(spark):
     assert len(rows) == 10_000 and len({r[1] for r in rows}) == 501
 
 
+def test_policy_excerpts_of_all_documents(spark):
+    rows = equal_over_table(spark, "policy_excerpts")
+    assert len(rows) == 1000 and {r[2] for r in rows} == {0, 1}
+
+
 def test_acceptance_reasons(spark):
     ask = spark.createDataFrame([(1, "a", "KYC", "KYC", "p" * 40, "low"), (1, "b", "KYC", "KYC", "p" * 40, "low"), (2, "c", "KYC", "KYC", "p" * 40, "low")], "batch_id long, id string, topic string, category string, policy_excerpt string, target_risk string")
     rows = [
