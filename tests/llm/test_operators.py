@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,47 @@ def test_packing_is_a_gapless_exact_round_trip(spark, docs):
     assert len(by_seq) <= 1.15 * total / 4096 + 4
 
 
+def coded(coder, texts):
+    data, at = tx.text_buffer(pa.array(texts, pa.string()))
+    ids, ends = coder.encode(data, at)
+    return [ids[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_packing_ids_are_those_of_the_tokenizer():
+    coder = packing.Coder(packing.VOCABULARY)
+    texts = [None, "", " \n", "A, b.c...  d", "don't 's '.s we'll!", "le\u00e8, \u00d7. \u00c9T\u00c9-x (a\u2026,b)", "1,234.5% e@f.g/h?i=j", "x<|endoftext|>, <|ENDOFTEXT|>Y <| z"]
+    texts += ["H\u0331 W\u030a x", "T\u0308. J\u030c", "H\u0323\u0331 A\u030a", "a\u0331, B=\u0338", "\u0130 \u212a \u03a3\u03c2", "\u0085a\u00a0b\u3000c\x1cd"]  # small letters compose, or not
+    rng = np.random.default_rng(3)
+    signs = [*"abTHJs019.,'$|<> \t\n", "\u0308", "\u0331", "\u00e9", "\u00c9", "\u00d7", "\u00bd", "\u2019", "\u4e2d", "<|endoftext|>"]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 20))) for _ in range(2000)]
+    want = [coder.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert coded(coder, texts) == want
+    coder.forget()
+    coder.closes[:] = False  # a vocabulary without ids that end a unit
+    assert coded(coder, texts) == want
+
+
+def test_packing_composes_accents_before_case(spark):
+    texts = ["H\u0331ello W\u030a x", "T\u0308. J\u030c"]
+    t = packing._tokenizer(packing.VOCABULARY)
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
+
+
+def test_packing_encodes_a_part_once_and_plain_ones_by_merges_alone(monkeypatch):
+    seen = []
+    for name in ("_plain", "_any"):
+        own = getattr(packing.Coder, name)
+        monkeypatch.setattr(packing.Coder, name, lambda self, parts, own=own, name=name: seen.append((name, sorted(parts))) or own(self, parts))
+    coder = packing.Coder(packing.VOCABULARY)
+    first = coded(coder, ["The cat, the hat\u00e9.", "cat 7"])
+    assert seen == [("_plain", [",", ".", "cat", "hat\u00e9", "the"]), ("_any", ["7"])]
+    assert coded(coder, ["CAT 7", "new"])[0] == first[1]
+    assert seen[2:] == [("_plain", ["new"]), ("_any", [])]
+    monkeypatch.setattr(packing, "PARTS_HELD", 2)
+    assert coded(coder, ["cat 7"])[0] == first[1] and len(coder.held) == 2
+
+
 def test_bins_choose_the_tightest_and_close_the_fullest():
     b = packing.Bins(10, 2)
     assert [b.put(6), b.put(5), b.put(4), b.put(5)] == [(0, 0), (1, 0), (0, 6), (1, 5)]
