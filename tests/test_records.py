@@ -121,6 +121,27 @@ def test_a_large_cluster_meets_its_leader_only(spark, monkeypatch):
     assert sum(judged) < 3 * 20_000
 
 
+def test_few_keys_are_told_of_and_few_texts_shuffled(spark):
+    """Texts of one small vocabulary, where every element is in many: no near pair is lost, few others meet, and texts without a near one are left out of the joins of texts."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        w = rng.choice(rows)[1].split() if i % 10 == 9 else [f"w{min(int(rng.paretovariate(0.5)), 600)}" for _ in range(rng.randrange(2, 260))]
+        for _ in range(rng.randrange(1 + len(w) // 12) if i % 10 == 9 else 0):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+        rows.append((i, " ".join(w + [f"w{rng.randrange(400)}" for _ in range(len(w) // 9)] if i % 20 == 19 else w)))
+    bags = [Counter(t.split()) for _, t in rows]
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if 2 * (bags[i] & bags[j]).total() >= 0.88 * (bags[i].total() + bags[j].total()) - 1e-9}
+    df = spark.createDataFrame(rows, "id long, norm string")
+    own = written(text.profiles(df))
+    told = [{tuple(sorted(r)) for r in text._met(own, own, 0.88, True, t).collect()} for t in range(text.PASSES)]
+    assert want <= set().union(*told) and sum(map(len, told)) < 79_800 // 4  # of all pairs
+    got = {(r["a"], r["b"]) for r in text.overlap_candidates(df, written).collect()}
+    assert got == want and len(want) > 15
+    near = df.sparkSession.createDataFrame(sorted(want), "a long, b long")
+    kept = {r["id"] for r in text._marked(df, near).select("id").collect()}
+    assert {i for p in want for i in p} <= kept and len(kept) < 200
+
+
 @pytest.mark.parametrize("threshold", [0.88, 0.5])
 def test_few_texts_are_copied_for_pairs(spark, monkeypatch, threshold):
     """Texts of common words: all pairs whose words suffice are found, and few others get so far that texts are joined, which is what filled disks."""
